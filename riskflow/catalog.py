@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from riskflow.plans import collections as col
+from riskflow.plans import retry_cost as rc
 from riskflow.sources.testdata import PARAMS, TestData
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +27,12 @@ def register(name: str):
     return deco
 
 
+def rounded(df: DataFrame, scale: int = 4) -> DataFrame:
+    """Round double columns for engine-independent comparison (sums of money)."""
+    return df.withColumns({f.name: F.round(f.name, scale) for f in df.schema.fields
+                           if isinstance(f.dataType, DoubleType)})
+
+
 # ---------------------------------------------------------------- collections
 def _list(td: TestData, as_of) -> DataFrame:
     return col.build_list(td.journal_entry, td.dim_approval, td.lease_view,
@@ -68,3 +77,50 @@ def q_collection_new_only(spark, sf_dir):
     td = TestData(spark, sf_dir)
     stored = _list(td, PARAMS.collections_prev_as_of)
     return col.new_entries(_list(td, PARAMS.collections_as_of), stored)
+
+
+# ------------------------------------------------------ balance x retry cost
+def _by_day(spark, td: TestData) -> DataFrame:
+    return rc.balance_by_day(spark, td.dq_journal_events, td.dim_approval, td.fact_leasesum,
+                             td.dim_store, td.lease_view, PARAMS.report_start,
+                             PARAMS.report_end, PARAMS.report_end)
+
+
+def _costs(td: TestData) -> DataFrame:
+    return rc.retry_cost(td.card_attempts, td.dim_approval, td.fact_leasesum, td.dim_store,
+                         PARAMS.report_start, PARAMS.report_end)
+
+
+def _master(spark, td: TestData) -> DataFrame:
+    return rc.retry_master(_by_day(spark, td), rc.retry_daily(_costs(td)))
+
+
+@register("balance_by_day")
+def q_balance_by_day(spark, sf_dir):
+    return rounded(_by_day(spark, TestData(spark, sf_dir)))
+
+
+@register("retry_cost")
+def q_retry_cost(spark, sf_dir):
+    return rounded(_costs(TestData(spark, sf_dir)))
+
+
+@register("retry_daily")
+def q_retry_daily(spark, sf_dir):
+    return rounded(rc.retry_daily(_costs(TestData(spark, sf_dir))))
+
+
+@register("retry_master")
+def q_retry_master(spark, sf_dir):
+    return rounded(_master(spark, TestData(spark, sf_dir)))
+
+
+@register("retry_running")
+def q_retry_running(spark, sf_dir):
+    return rounded(rc.retry_running(_master(spark, TestData(spark, sf_dir)), PARAMS.report_end))
+
+
+@register("retry_segments")
+def q_retry_segments(spark, sf_dir):
+    run = rc.retry_running(_master(spark, TestData(spark, sf_dir)), PARAMS.report_end)
+    return rounded(rc.retry_segments(run, PARAMS.report_keep_from))

@@ -7,8 +7,8 @@ source warehouse script does, so it shares no plan with the Spark operators.
 
 
 def all_sql() -> dict[str, str]:
-    from sqlcheck import collections
+    from sqlcheck import collections, retry_cost
     out: dict[str, str] = {}
-    for mod in (collections,):
+    for mod in (collections, retry_cost):
         out.update(mod.SQL)
     return out
