@@ -124,3 +124,204 @@ def q_retry_running(spark, sf_dir):
 def q_retry_segments(spark, sf_dir):
     run = rc.retry_running(_master(spark, TestData(spark, sf_dir)), PARAMS.report_end)
     return rounded(rc.retry_segments(run, PARAMS.report_keep_from))
+
+
+# ------------------------------------------------------------------ features
+from riskflow.plans import features as fe  # noqa: E402
+from riskflow.plans import risk_codes as rk  # noqa: E402
+from riskflow.plans import scoring as sc  # noqa: E402
+
+
+class _Features:
+    """The attribute tables of one run, built lazily from the testdata views."""
+
+    def __init__(self, spark, sf_dir):
+        self.spark = spark
+        self.td = td = TestData(spark, sf_dir)
+        self.cohort = fe.single_lease_cohort(td.lease_view, td.lease_period, td.dim_approval,
+                                             td.fact_leasesum, td.dim_store,
+                                             PARAMS.scoring_as_of)
+        self.lease_attrs = fe.lease_attributes(td.lease_view, self.cohort)
+
+    def risk_codes(self):
+        td = self.td
+        return rk.risk_codes(td.lease_view, td.fp_applicant, td.fp_risk_indicators)
+
+    def master(self):
+        td, la = self.td, self.lease_attrs
+        return fe.feature_master(
+            self.cohort, la,
+            fe.bank_top1(td.bank, la),
+            fe.cart_diversity(td.cart),
+            fe.card_sharing(td.bank, la),
+            fe.client_attributes(td.client_info, la),
+            fe.store_attributes(td.retail_stores, la),
+            fe.fp_attributes(td.fp_results, self.cohort),
+            fe.approval_amount(td.approval, self.cohort),
+            fe.payment_at_origination(la, td.bank),
+            fe.customer_zip_top1(td.address),
+            fe.store_inception(td.lease_view),
+            rk.risk_flags_absence(self.risk_codes()),
+            td.zip_codes,
+            fe.online_approvals(td.decision_system))
+
+    def bins(self):
+        return fe.bin_features(fe.with_distance(self.master()), PARAMS.quintile_cutover)
+
+    def coefs(self):
+        return sc.testdata_coefficients(self.spark)
+
+    def scores(self):
+        return sc.score(self.bins(), self.coefs())
+
+
+@register("single_lease_cohort")
+def q_single_lease_cohort(spark, sf_dir):
+    return rounded(_Features(spark, sf_dir).cohort)
+
+
+@register("lease_attrs")
+def q_lease_attrs(spark, sf_dir):
+    return rounded(_Features(spark, sf_dir).lease_attrs)
+
+
+@register("bank_top1")
+def q_bank_top1(spark, sf_dir):
+    f = _Features(spark, sf_dir)
+    return fe.bank_top1(f.td.bank, f.lease_attrs)
+
+
+@register("card_sharing")
+def q_card_sharing(spark, sf_dir):
+    f = _Features(spark, sf_dir)
+    return fe.card_sharing(f.td.bank, f.lease_attrs)
+
+
+@register("store_attrs")
+def q_store_attrs(spark, sf_dir):
+    f = _Features(spark, sf_dir)
+    return fe.store_attributes(f.td.retail_stores, f.lease_attrs)
+
+
+@register("cart_diversity")
+def q_cart_diversity(spark, sf_dir):
+    return rounded(fe.cart_diversity(TestData(spark, sf_dir).cart), 6)
+
+
+@register("client_attrs")
+def q_client_attrs(spark, sf_dir):
+    f = _Features(spark, sf_dir)
+    return fe.client_attributes(f.td.client_info, f.lease_attrs)
+
+
+@register("fp_attrs")
+def q_fp_attrs(spark, sf_dir):
+    f = _Features(spark, sf_dir)
+    return fe.fp_attributes(f.td.fp_results, f.cohort)
+
+
+@register("approval_amount")
+def q_approval_amount(spark, sf_dir):
+    f = _Features(spark, sf_dir)
+    return rounded(fe.approval_amount(f.td.approval, f.cohort))
+
+
+@register("payment_at_origination")
+def q_payment_at_origination(spark, sf_dir):
+    f = _Features(spark, sf_dir)
+    return fe.payment_at_origination(f.lease_attrs, f.td.bank)
+
+
+@register("store_inception")
+def q_store_inception(spark, sf_dir):
+    return fe.store_inception(TestData(spark, sf_dir).lease_view)
+
+
+@register("customer_zip_top1")
+def q_customer_zip_top1(spark, sf_dir):
+    return fe.customer_zip_top1(TestData(spark, sf_dir).address)
+
+
+@register("risk_dedup")
+def q_risk_dedup(spark, sf_dir):
+    return _Features(spark, sf_dir).risk_codes()
+
+
+@register("risk_onehot_presence")
+def q_risk_onehot_presence(spark, sf_dir):
+    return rk.risk_flags_presence(_Features(spark, sf_dir).risk_codes())
+
+
+@register("risk_onehot_absence")
+def q_risk_onehot_absence(spark, sf_dir):
+    return rk.risk_flags_absence(_Features(spark, sf_dir).risk_codes())
+
+
+@register("risk_catalogue")
+def q_risk_catalogue(spark, sf_dir):
+    return rk.risk_catalogue(TestData(spark, sf_dir).fp_risk_indicators)
+
+
+@register("feature_master")
+def q_feature_master(spark, sf_dir):
+    return rounded(_Features(spark, sf_dir).master())
+
+
+@register("geo_distance")
+def q_geo_distance(spark, sf_dir):
+    m = fe.with_distance(_Features(spark, sf_dir).master())
+    return rounded(m.select("approvalid", "customer_zip", "zip", "cus_lat", "cus_long",
+                            "store_lat", "store_long", "distance"))
+
+
+@register("feature_bins")
+def q_feature_bins(spark, sf_dir):
+    b = _Features(spark, sf_dir).bins()
+    return rounded(b.select("approvalid", *fe.BIN_COLUMNS), 6)
+
+
+# ------------------------------------------------------------ score and grade
+@register("score_core")
+def q_score_core(spark, sf_dir):
+    s = _Features(spark, sf_dir).scores()
+    return rounded(s.filter(F.col("storetype") == "CORE"), 6)
+
+
+@register("score_noncore")
+def q_score_noncore(spark, sf_dir):
+    s = _Features(spark, sf_dir).scores()
+    return rounded(s.filter(F.col("storetype") != "CORE"), 6)
+
+
+@register("score_explain")
+def q_score_explain(spark, sf_dir):
+    f = _Features(spark, sf_dir)
+    return rounded(sc.explain(f.bins(), f.coefs()), 6)
+
+
+def _prep(spark, sf_dir):
+    return sc.combined(_Features(spark, sf_dir).scores())
+
+
+@register("scores_all")
+def q_scores_all(spark, sf_dir):
+    return rounded(_prep(spark, sf_dir), 6)
+
+
+@register("store_grade")
+def q_store_grade(spark, sf_dir):
+    return rounded(sc.store_grade(_prep(spark, sf_dir), PARAMS.grade_from), 6)
+
+
+@register("person_grade")
+def q_person_grade(spark, sf_dir):
+    prep = _prep(spark, sf_dir)
+    return rounded(sc.person_grade(prep, sc.store_grade(prep, PARAMS.grade_from),
+                                   PARAMS.grade_from), 6)
+
+
+@register("final_scores")
+def q_final_scores(spark, sf_dir):
+    prep = _prep(spark, sf_dir)
+    persons = sc.person_grade(prep, sc.store_grade(prep, PARAMS.grade_from), PARAMS.grade_from)
+    return rounded(sc.final_scores(prep, persons), 6)
