@@ -325,3 +325,38 @@ def q_final_scores(spark, sf_dir):
     prep = _prep(spark, sf_dir)
     persons = sc.person_grade(prep, sc.store_grade(prep, PARAMS.grade_from), PARAMS.grade_from)
     return rounded(sc.final_scores(prep, persons), 6)
+
+
+# -------------------------------------------------------------------- ingest
+import uuid  # noqa: E402
+
+from pyspark.sql import types as T  # noqa: E402
+
+from riskflow.plans import ingest as ig  # noqa: E402
+from riskflow.session import scratch_path  # noqa: E402
+
+
+@register("xml_codes")
+def q_xml_codes(spark, sf_dir):
+    """Reports written as text files (one per line) to the shared scratch folder, then read back."""
+    path = scratch_path(spark, f"xml_reports/{uuid.uuid4().hex}")
+    TestData(spark, sf_dir).xml_reports.select("doc").write.text(path)
+    return ig.xml_codes(spark, path, one_per_file=False)
+
+
+@register("xml_column_codes")
+def q_xml_column_codes(spark, sf_dir):
+    return ig.xml_column_codes(TestData(spark, sf_dir).xml_column)
+
+
+SUPPLIER_TYPES = (T.LongType(), T.StringType(), T.IntegerType(), T.DoubleType())
+
+
+@register("combine_tsv")
+def q_combine_tsv(spark, sf_dir):
+    """Supplier rows written as several headerless TSV parts, then combined by one scan."""
+    path = scratch_path(spark, f"tsv_parts/{uuid.uuid4().hex}")
+    sup = TestData(spark, sf_dir).supplier
+    (sup.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+        .repartition(4).write.option("sep", "\t").option("header", "false").csv(path))
+    return ig.combine_delimited(spark, path, SUPPLIER_TYPES)

@@ -205,6 +205,30 @@ SELECT l_orderkey AS approvalid, l_shipdate AS ts,
        CASE l_returnflag WHEN 'A' THEN 'Percent100' WHEN 'R' THEN 'Percent50'
             ELSE 'Dollars25' END AS cardprocessingdescription
 FROM {lineitem}""", ("events", "lineitem")),
+    # credit reports, one per shipped line: repeated code elements at two depths,
+    # a default namespace, and single-code reports for first lines
+    "xml_reports": ("""
+SELECT l_orderkey AS id,
+       '<creditBureau xmlns="http://example.com/credit"><subject><userRefNumber>'
+       || CAST(l_orderkey AS STRING) || '</userRefNumber></subject><code>'
+       || l_returnflag || l_linestatus || '</code>'
+       || CASE WHEN l_linenumber > 1
+               THEN '<alerts><alert><code>' || l_returnflag || '</code></alert><alert><code>'
+                    || l_linestatus || '</code></alert></alerts>'
+               ELSE '' END
+       || '</creditBureau>' AS doc
+FROM {lineitem}""", ("lineitem",)),
+    # analytics..xml1: the same reports with a prefixed namespace, as a column
+    "xml_column": ("""
+SELECT l_orderkey AS id,
+       '<ns:creditBureau xmlns:ns="http://example.com/credit"><ns:code>'
+       || l_returnflag || l_linestatus || '</ns:code>'
+       || CASE WHEN l_linenumber > 1
+               THEN '<ns:alerts><ns:alert><ns:code>' || l_returnflag
+                    || '</ns:code></ns:alert></ns:alerts>'
+               ELSE '' END
+       || '</ns:creditBureau>' AS testxml
+FROM {lineitem}""", ("lineitem",)),
 }
 
 

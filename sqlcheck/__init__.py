@@ -7,8 +7,8 @@ source warehouse script does, so it shares no plan with the Spark operators.
 
 
 def all_sql() -> dict[str, str]:
-    from sqlcheck import collections, features, retry_cost
+    from sqlcheck import collections, features, ingest, retry_cost
     out: dict[str, str] = {}
-    for mod in (collections, retry_cost, features):
+    for mod in (collections, retry_cost, features, ingest):
         out.update(mod.SQL)
     return out
