@@ -138,10 +138,9 @@ class _Features:
     def __init__(self, spark, sf_dir):
         self.spark = spark
         self.td = td = TestData(spark, sf_dir)
-        self.cohort = fe.single_lease_cohort(td.lease_view, td.lease_period, td.dim_approval,
-                                             td.fact_leasesum, td.dim_store,
-                                             PARAMS.scoring_as_of)
-        self.lease_attrs = fe.lease_attributes(td.lease_view, self.cohort)
+        self.cohort, self.lease_attrs = fe.cohort_tables(
+            td.lease_view, td.lease_period, td.dim_approval, td.fact_leasesum, td.dim_store,
+            PARAMS.scoring_as_of)
 
     def risk_codes(self):
         td = self.td
@@ -299,32 +298,28 @@ def q_score_explain(spark, sf_dir):
     return rounded(sc.explain(f.bins(), f.coefs()), 6)
 
 
-def _prep(spark, sf_dir):
-    return sc.combined(_Features(spark, sf_dir).scores())
+def _graded(spark, sf_dir):
+    return sc.grade_all(_Features(spark, sf_dir).scores(), PARAMS.grade_from)
 
 
 @register("scores_all")
 def q_scores_all(spark, sf_dir):
-    return rounded(_prep(spark, sf_dir), 6)
+    return rounded(sc.combined(_Features(spark, sf_dir).scores()), 6)
 
 
 @register("store_grade")
 def q_store_grade(spark, sf_dir):
-    return rounded(sc.store_grade(_prep(spark, sf_dir), PARAMS.grade_from), 6)
+    return rounded(_graded(spark, sf_dir)["stores"], 6)
 
 
 @register("person_grade")
 def q_person_grade(spark, sf_dir):
-    prep = _prep(spark, sf_dir)
-    return rounded(sc.person_grade(prep, sc.store_grade(prep, PARAMS.grade_from),
-                                   PARAMS.grade_from), 6)
+    return rounded(_graded(spark, sf_dir)["persons"], 6)
 
 
 @register("final_scores")
 def q_final_scores(spark, sf_dir):
-    prep = _prep(spark, sf_dir)
-    persons = sc.person_grade(prep, sc.store_grade(prep, PARAMS.grade_from), PARAMS.grade_from)
-    return rounded(sc.final_scores(prep, persons), 6)
+    return rounded(_graded(spark, sf_dir)["final"], 6)
 
 
 # -------------------------------------------------------------------- ingest

@@ -1,8 +1,10 @@
 """One-hot encoding of a (key, code) relation into one flag column per code.
 
 The code list is explicit (never read back from the data on the driver), so the
-output schema is fixed and the whole encoding is one hash aggregate on the key,
-with map-side partial aggregation.
+output schema is fixed. Each code gets a bit position; the aggregate per key is
+a ``bit_or`` of 64-bit masks (one long per 63 codes), so the partial aggregate
+and the shuffle carry a couple of longs per key instead of one buffer per code,
+and the flags are unpacked afterwards in a plain projection (whole-stage codegen).
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_BITS = 63  # bits used per long (keeps the sign bit clear)
+
 
 def onehot(pairs: DataFrame, key: str, code: str, codes: Sequence[str], prefix: str,
            polarity: str = "presence", count_col: str | None = None) -> DataFrame:
@@ -21,15 +25,29 @@ def onehot(pairs: DataFrame, key: str, code: str, codes: Sequence[str], prefix:
     polarity='absence' : 0 when the key has the code, else 1.
     ``count_col`` adds the number of codes per key; ``pairs`` must already be
     distinct on (key, code), as ``risk_codes`` produces, so a plain count is the
-    distinct count and the aggregate needs no extra expand stage.
+    distinct count. Codes outside ``codes`` set no flag but are counted.
     """
     if polarity not in ("presence", "absence"):
         raise ValueError(polarity)
-    c = F.col(code)
-    aggs = [F.coalesce(F.max(F.when(c == v, F.lit(1))), F.lit(0)) for v in codes]
-    if polarity == "absence":
-        aggs = [F.lit(1) - a for a in aggs]
-    named = [a.cast("int").alias(prefix + v) for a, v in zip(aggs, codes)]
+    codes = list(codes)
+    n_words = (len(codes) + _BITS - 1) // _BITS
+    code_array = "array(" + ", ".join("'" + c.replace("'", "\\'") + "'" for c in codes) + ")"
+    pos = f"(array_position({code_array}, `{code}`) - 1)"  # -1 when not listed
+    words = []
+    for w in range(n_words):
+        lo = w * _BITS
+        bit = (f"CASE WHEN {pos} >= {lo} AND {pos} < {lo + _BITS} "
+               f"THEN shiftleft(1L, CAST({pos} - {lo} AS INT)) END")
+        words.append(F.coalesce(F.expr(f"bit_or({bit})"), F.lit(0).cast("long"))
+                     .alias(f"_w{w}"))
+    aggs = list(words)
     if count_col:
-        named.append(F.count(c).cast("long").alias(count_col))
-    return pairs.groupBy(key).agg(*named)
+        aggs.append(F.count(F.col(code)).cast("long").alias(count_col))
+    g = pairs.groupBy(key).agg(*aggs)
+    flags = []
+    for i, c in enumerate(codes):
+        w, b = divmod(i, _BITS)
+        has = F.shiftright(F.col(f"_w{w}"), b).bitwiseAND(F.lit(1).cast("long")).cast("int")
+        flags.append((has if polarity == "presence" else F.lit(1) - has).alias(prefix + c))
+    rest = [count_col] if count_col else []
+    return g.select(key, *flags, *rest)

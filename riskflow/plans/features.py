@@ -21,6 +21,7 @@ from riskflow.functions.numeric import great_circle_miles, safe_ratio
 from riskflow.functions.strings import is_blank, not_blank_or, pad_right2
 from riskflow.operators.binning import capped_levels, range_bins
 from riskflow.operators.dedup import top1_per_key
+from riskflow.operators.materialize import materialize
 from riskflow.sources.codes import NO_CODE, ONLINE_STORE_NUMBERS, RISK_CODES, RISK_PREFIX
 
 # A lease counts as seasoned after this many days.
@@ -71,6 +72,25 @@ def lease_attributes(lease_view: DataFrame, cohort: DataFrame) -> DataFrame:
     return _in_keys(lease_view.select(*LEASE_ATTR_COLUMNS), "approvalid", cohort, "approvalid")
 
 
+def cohort_tables(lease_view: DataFrame, lease_period: DataFrame, dim_approval: DataFrame,
+                  fact_leasesum: DataFrame, dim_store: DataFrame, as_of
+                  ) -> tuple[DataFrame, DataFrame]:
+    """(cohort, lease attributes), computed by one plan and materialised once.
+
+    Every attribute table filters on the cohort's approval, client or store keys,
+    and the assembly joins onto it; materialising it keeps the lease table from
+    being re-scanned and re-aggregated in each of those branches.
+    """
+    cohort = single_lease_cohort(lease_view, lease_period, dim_approval, fact_leasesum,
+                                 dim_store, as_of)
+    lv = lease_view.select(*[F.col(c).alias("_lv_" + c) for c in LEASE_ATTR_COLUMNS])
+    both = materialize(cohort.join(lv, cohort["approvalid"] == lv["_lv_approvalid"], "inner"))
+    lease_attrs = both.select(*[F.col("_lv_" + c).alias(c) for c in LEASE_ATTR_COLUMNS])
+    cohort_cols = ["approvalid", "totalpaymentsmade", "clientid", "firstrentpayment",
+                   "storetype", "origination_date", "fraud", "seasoned_lease"]
+    return both.select(*cohort_cols), lease_attrs
+
+
 # ------------------------------------------------------------------- P03 - P08
 def bank_top1(bank: DataFrame, lease_attrs: DataFrame) -> DataFrame:
     """One active payment record per client: latest first, then the other columns."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from riskflow.functions.numeric import logistic
 from riskflow.operators.grading import distributed_ntile, letter
+from riskflow.operators.materialize import materialize
 from riskflow.operators.scoring import (
     ZERO, Model, Term, coefficient_map, contributions, linear_sql, routed_sql,
 )
@@ -181,6 +182,19 @@ def combined(scores: DataFrame) -> DataFrame:
                          "storeid").distinct()
 
 
+def grade_all(scores: DataFrame, grade_from=GRADE_FROM) -> dict[str, DataFrame]:
+    """Combined scores, store grades, person grades and the final table.
+
+    The combined scores are read by all three steps, so they are materialised
+    once (the whole feature and scoring plan runs once).
+    """
+    prep = materialize(combined(scores))
+    stores = store_grade(prep, grade_from)
+    persons = person_grade(prep, stores, grade_from)
+    return {"prep": prep, "stores": stores, "persons": persons,
+            "final": final_scores(prep, persons)}
+
+
 def store_grade(prep: DataFrame, grade_from=GRADE_FROM) -> DataFrame:
     """Mean probability per store and its quintile letter within the store type."""
     stores = (prep.filter(F.col("leaseaddeddate") > F.lit(grade_from))
