@@ -8,17 +8,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top1_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Keep the first row per key under a total order (``ROW_NUMBER() ... = 1``).
+def _sort_key(df: DataFrame, name: str, desc: bool, nulls_last: bool) -> list[Column]:
+    """Ascending-comparable encoding of one ORDER BY item (NULL placement first)."""
+    c = F.col(name)
+    dtype = df.schema[name].dataType.simpleString()
+    parts = [c.isNull() if nulls_last else c.isNotNull()]
+    if not desc:
+        return parts + [c]
+    if dtype == "date":
+        return parts + [-F.unix_date(c)]
+    if dtype.startswith("timestamp"):
+        return parts + [-F.unix_micros(c.cast("timestamp"))]
+    if dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or \
+            dtype.startswith("decimal"):
+        return parts + [-c]
+    raise TypeError(f"descending order on {dtype} is not supported by top1_per_key")
 
-    ``order`` must make the pick deterministic; pass every remaining column as a
-    final tie-breaker when the natural order has ties. One shuffle on ``keys``
-    (rows of one key meet in one task; a key with a third of all rows is still
-    sorted with spill, never collected).
+
+def top1_per_key(df: DataFrame, keys: Sequence[str],
+                 order: Sequence[tuple[str, str]]) -> DataFrame:
+    """Keep the first row per key (``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY ...) = 1``).
+
+    ``order`` is a list of ``(column, 'asc'|'desc')``; ascending puts NULLs first
+    and descending puts them last, as the window form does. Make it a total
+    order (end with the remaining columns) so the pick is deterministic.
+
+    Written as ``min_by(row, ordering struct)``, an aggregate with map-side
+    partial aggregation: a key holding a third of all rows is reduced to one row
+    per map task before the shuffle, instead of being sorted in one task.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return (df.withColumn("_rn", F.row_number().over(w))
-              .filter(F.col("_rn") == 1).drop("_rn"))
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    ordering = []
+    for name, direction in order:
+        desc = direction.lower() == "desc"
+        ordering += _sort_key(df, name, desc, nulls_last=desc)
+    ord_struct = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(ordering)])
+    row = F.struct(*[F.col(c) for c in rest])
+    return (df.groupBy(*keys).agg(F.min_by(row, ord_struct).alias("_top"))
+              .select(*keys, *[F.col("_top")[c].alias(c) for c in rest]))
 
 
 def rows_with_duplicate_key(df: DataFrame, key: str) -> DataFrame:

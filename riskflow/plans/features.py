@@ -95,9 +95,8 @@ def cohort_tables(lease_view: DataFrame, lease_period: DataFrame, dim_approval:
 def bank_top1(bank: DataFrame, lease_attrs: DataFrame) -> DataFrame:
     """One active payment record per client: latest first, then the other columns."""
     b = _in_keys(bank.filter(F.col("active") == 1), "clientid", lease_attrs, "clientid")
-    order = [F.col("ts").desc_nulls_last()] + [
-        F.col(c).asc_nulls_first() for c in ("primarypaymentmethod", "cardnumbertoken",
-                                             "expdate")]
+    order = [("ts", "desc"), ("primarypaymentmethod", "asc"), ("cardnumbertoken", "asc"),
+             ("expdate", "asc"), ("active", "asc")]
     return top1_per_key(b, ["clientid"], order)
 
 
@@ -181,8 +180,7 @@ def customer_zip_top1(address: DataFrame) -> DataFrame:
     """One active 5-digit zip per client: latest record first, then the zip."""
     a = (address.filter(F.col("active") == 1)
          .select("clientid", F.substring("zip", 1, 5).alias("customer_zip"), "ts"))
-    return top1_per_key(a, ["clientid"], [F.col("ts").desc_nulls_last(),
-                                          F.col("customer_zip").asc_nulls_first()]
+    return top1_per_key(a, ["clientid"], [("ts", "desc"), ("customer_zip", "asc")]
                         ).drop("ts")
 
 

@@ -18,10 +18,18 @@ def _rows(df, *cols):
 
 
 def test_top1_is_deterministic(spark):
-    df = spark.createDataFrame([(1, "2020-01-02", "b"), (1, "2020-01-02", "a"),
-                                (1, "2020-01-01", "c"), (2, None, "x")], "k int, t string, v string")
-    got = top1_per_key(df, ["k"], [F.col("t").desc_nulls_last(), F.col("v").asc()])
-    assert _rows(got, "k", "t", "v") == [(1, "2020-01-02", "a"), (2, None, "x")]
+    d = dt.date
+    df = spark.createDataFrame([(1, d(2020, 1, 2), "b"), (1, d(2020, 1, 2), "a"),
+                                (1, d(2020, 1, 1), "c"), (1, None, "0"), (2, None, "x"),
+                                (3, d(2020, 1, 1), None), (3, d(2020, 1, 1), "y")],
+                               "k int, t date, v string")
+    got = top1_per_key(df, ["k"], [("t", "desc"), ("v", "asc")])
+    ref = (df.withColumn("rn", F.row_number().over(
+        Window.partitionBy("k").orderBy(F.col("t").desc_nulls_last(), F.col("v").asc_nulls_first())))
+        .filter("rn = 1"))
+    assert _rows(got, "k", "t", "v") == _rows(ref, "k", "t", "v")
+    assert _rows(got, "k", "t", "v") == sorted([(1, d(2020, 1, 2), "a"), (2, None, "x"),
+                                                (3, d(2020, 1, 1), None)], key=repr)
 
 
 def test_duplicate_audit_ignores_null_keys(spark):
