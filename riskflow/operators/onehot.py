@@ -44,10 +44,12 @@ def onehot(pairs: DataFrame, key: str, code: str, codes: Sequence[str], prefix:
     if count_col:
         aggs.append(F.count(F.col(code)).cast("long").alias(count_col))
     g = pairs.groupBy(key).agg(*aggs)
+    # unpack all flags in one projection, sent to the JVM as expression text
     flags = []
     for i, c in enumerate(codes):
         w, b = divmod(i, _BITS)
-        has = F.shiftright(F.col(f"_w{w}"), b).bitwiseAND(F.lit(1).cast("long")).cast("int")
-        flags.append((has if polarity == "presence" else F.lit(1) - has).alias(prefix + c))
-    rest = [count_col] if count_col else []
-    return g.select(key, *flags, *rest)
+        has = f"CAST(shiftright(`_w{w}`, {b}) & 1L AS INT)"
+        expr = has if polarity == "presence" else f"1 - {has}"
+        flags.append(f"{expr} AS `{prefix + c}`")
+    rest = [f"`{count_col}`"] if count_col else []
+    return g.selectExpr(f"`{key}`", *flags, *rest)

@@ -47,11 +47,23 @@ class Model:
         return sorted({t.column for t in self.terms if t.column})
 
 
+def coefficient_maps(coefs: DataFrame, models: Sequence[str]
+                     ) -> dict[str, dict[tuple[str, str], float | None]]:
+    """Read the models' (feature, level) -> weight dicts in one job.
+
+    The coefficient table is a fitted model's parameters: its size is bounded by
+    the model spec (a few hundred rows), not by the data being scored.
+    """
+    rows = (coefs.filter(F.col("model").isin(*models))
+            .select("model", "feature", "level", "weight").collect())
+    out: dict[str, dict] = {m: {} for m in models}
+    for r in rows:
+        out[r["model"]][(r["feature"], r["level"] or "")] = r["weight"]
+    return out
+
+
 def coefficient_map(coefs: DataFrame, model: str) -> dict[tuple[str, str], float | None]:
-    """Read one model's (feature, level) -> weight into a dict (a bounded parameter table)."""
-    rows = (coefs.filter(F.col("model") == model)
-            .select("feature", "level", "weight").collect())
-    return {(r["feature"], r["level"] or ""): r["weight"] for r in rows}
+    return coefficient_maps(coefs, [model])[model]
 
 
 def _lit(w) -> str:

@@ -229,6 +229,7 @@ def feature_master(cohort, lease_attrs, bank1, cart, cards, clients, stores, fp,
          .join(geo_c, F.col("customer_zip") == F.col("_gc_zip"), "left")
          .join(geo_s, F.col("zip") == F.col("_gs_zip"), "left"))
     none_raw = F.col(NONE_FLAG)
+    flags = [F.expr(f"coalesce(`{c}`, 1) AS `{c}`") for c in RISK_FLAG_COLUMNS]
     return j.select(
         F.coalesce(F.col("_mc_v2_z_sum"), F.lit(1)).alias("_mc_v2_z_sum"),
         "origination_date", "storetype", "fraud", "seasoned_lease",
@@ -241,7 +242,7 @@ def feature_master(cohort, lease_attrs, bank1, cart, cards, clients, stores, fp,
         "fraudscore", "cvi", "nasindex", "napindex", "fp_timestamp", "approvalamount",
         "ach_orig", "cc_orig", "customer_zip", "st_inception_date",
         "store_lat", "store_long", "cus_lat", "cus_long",
-        *[F.coalesce(F.col(c), F.lit(1)).alias(c) for c in RISK_FLAG_COLUMNS],
+        *flags,
         # flag for "no risk code": the absence-polarity NONE column flipped
         F.when(none_raw.isNull(), 1).when(none_raw == 1, 0).when(none_raw == 0, 1)
          .alias(NONE_FLAG),

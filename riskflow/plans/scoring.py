@@ -18,7 +18,7 @@ from riskflow.functions.numeric import logistic
 from riskflow.operators.grading import distributed_ntile, letter
 from riskflow.operators.materialize import materialize
 from riskflow.operators.scoring import (
-    ZERO, Model, Term, coefficient_map, contributions, linear_sql, routed_sql,
+    ZERO, Model, Term, coefficient_maps, contributions, linear_sql, routed_sql,
 )
 from riskflow.sources.codes import NO_CODE, RISK_CODES, RISK_PREFIX
 
@@ -149,7 +149,8 @@ SCORE_KEYS = ["approvalid", "storetype", "leaseaddeddate", "storeid"]
 def score(bins: DataFrame, coefs: DataFrame) -> DataFrame:
     """Probability per lease from the model of its store type (one pass, literals)."""
     core, non = core_model(), noncore_model()
-    wc, wn = coefficient_map(coefs, CORE), coefficient_map(coefs, NONCORE)
+    maps = coefficient_maps(coefs, [CORE, NONCORE])
+    wc, wn = maps[CORE], maps[NONCORE]
     inputs = sorted(set(core.columns()) | set(non.columns()))
     st = F.col("storetype")
     lin = F.expr(routed_sql([("storetype = 'CORE'", linear_sql(core, wc)),
@@ -164,7 +165,8 @@ def score(bins: DataFrame, coefs: DataFrame) -> DataFrame:
 def explain(bins: DataFrame, coefs: DataFrame) -> DataFrame:
     """Contribution of every model term (columns ``t_<term>``); they sum to score_linear."""
     core, non = core_model(), noncore_model()
-    wc, wn = coefficient_map(coefs, CORE), coefficient_map(coefs, NONCORE)
+    maps = coefficient_maps(coefs, [CORE, NONCORE])
+    wc, wn = maps[CORE], maps[NONCORE]
     cc, cn = contributions(core, wc), contributions(non, wn)
     names = list(dict.fromkeys(list(cc) + list(cn)))
     st = F.col("storetype")
