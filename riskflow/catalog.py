@@ -146,7 +146,7 @@ class _Features:
         td = self.td
         return rk.risk_codes(td.lease_view, td.fp_applicant, td.fp_risk_indicators)
 
-    def master(self):
+    def master(self, unpack_flags: bool = True):
         td, la = self.td, self.lease_attrs
         return fe.feature_master(
             self.cohort, la,
@@ -160,11 +160,15 @@ class _Features:
             fe.payment_at_origination(la, td.bank),
             fe.customer_zip_top1(td.address),
             fe.store_inception(td.lease_view),
-            rk.risk_flags_absence(self.risk_codes()),
+            rk.risk_masks(self.risk_codes()),
             td.zip_codes,
-            fe.online_approvals(td.decision_system))
+            fe.online_approvals(td.decision_system),
+            unpack_flags=unpack_flags)
 
     def bins(self):
+        # flags travel packed in two longs through the joins and are unpacked once in
+        # the final assembly projection; inlining all 2 x 71 bit reads into the score
+        # expression would exceed the 64 KB generated-method limit
         return fe.bin_features(fe.with_distance(self.master()), PARAMS.quintile_cutover)
 
     def coefs(self):

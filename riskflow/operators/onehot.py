@@ -1,10 +1,11 @@
-"""One-hot encoding of a (key, code) relation into one flag column per code.
+"""One-hot encoding of a (key, code) relation, packed as bitmasks.
 
 The code list is explicit (never read back from the data on the driver), so the
 output schema is fixed. Each code gets a bit position; the aggregate per key is
 a ``bit_or`` of 64-bit masks (one long per 63 codes), so the partial aggregate
-and the shuffle carry a couple of longs per key instead of one buffer per code,
-and the flags are unpacked afterwards in a plain projection (whole-stage codegen).
+and the shuffle carry a couple of longs per key instead of one buffer per code.
+Downstream joins can carry the masks (a narrow row that stays under the
+whole-stage-codegen field limit) and unpack flags only where they are read.
 """
 
 from __future__ import annotations
@@ -17,39 +18,57 @@ from pyspark.sql import functions as F
 _BITS = 63  # bits used per long (keeps the sign bit clear)
 
 
-def onehot(pairs: DataFrame, key: str, code: str, codes: Sequence[str], prefix: str,
-           polarity: str = "presence", count_col: str | None = None) -> DataFrame:
-    """Pivot ``(key, code)`` pairs into ``prefix + code`` flag columns.
+def mask_columns(n_codes: int, prefix: str = "_w") -> list[str]:
+    return [f"{prefix}{w}" for w in range((n_codes + _BITS - 1) // _BITS)]
 
-    polarity='presence': 1 when the key has the code, else 0.
-    polarity='absence' : 0 when the key has the code, else 1.
-    ``count_col`` adds the number of codes per key; ``pairs`` must already be
-    distinct on (key, code), as ``risk_codes`` produces, so a plain count is the
-    distinct count. Codes outside ``codes`` set no flag but are counted.
+
+def onehot_masks(pairs: DataFrame, key: str, code: str, codes: Sequence[str],
+                 count_col: str | None = None, mask_prefix: str = "_w") -> DataFrame:
+    """``key, <mask longs>[, count]``: bit i set when the key has ``codes[i]``.
+
+    ``pairs`` must be distinct on (key, code) for ``count_col`` to be the number
+    of distinct codes; codes outside ``codes`` set no bit but are counted.
     """
-    if polarity not in ("presence", "absence"):
-        raise ValueError(polarity)
     codes = list(codes)
-    n_words = (len(codes) + _BITS - 1) // _BITS
     code_array = "array(" + ", ".join("'" + c.replace("'", "\\'") + "'" for c in codes) + ")"
     pos = f"(array_position({code_array}, `{code}`) - 1)"  # -1 when not listed
-    words = []
-    for w in range(n_words):
+    aggs = []
+    for w, name in enumerate(mask_columns(len(codes), mask_prefix)):
         lo = w * _BITS
         bit = (f"CASE WHEN {pos} >= {lo} AND {pos} < {lo + _BITS} "
                f"THEN shiftleft(1L, CAST({pos} - {lo} AS INT)) END")
-        words.append(F.coalesce(F.expr(f"bit_or({bit})"), F.lit(0).cast("long"))
-                     .alias(f"_w{w}"))
-    aggs = list(words)
+        aggs.append(F.coalesce(F.expr(f"bit_or({bit})"), F.lit(0).cast("long")).alias(name))
     if count_col:
         aggs.append(F.count(F.col(code)).cast("long").alias(count_col))
-    g = pairs.groupBy(key).agg(*aggs)
-    # unpack all flags in one projection, sent to the JVM as expression text
-    flags = []
-    for i, c in enumerate(codes):
-        w, b = divmod(i, _BITS)
-        has = f"CAST(shiftright(`_w{w}`, {b}) & 1L AS INT)"
-        expr = has if polarity == "presence" else f"1 - {has}"
-        flags.append(f"{expr} AS `{prefix + c}`")
+    return pairs.groupBy(key).agg(*aggs)
+
+
+def flag_sql(index: int, polarity: str = "presence", mask_prefix: str = "_w",
+             missing: int | None = None) -> str:
+    """SQL text of one flag read from the masks.
+
+    ``missing`` is the value when the masks are NULL (the key had no pairs, e.g.
+    after a left join); None keeps NULL.
+    """
+    if polarity not in ("presence", "absence"):
+        raise ValueError(polarity)
+    w, b = divmod(index, _BITS)
+    has = f"CAST(shiftright(`{mask_prefix}{w}`, {b}) & 1L AS INT)"
+    expr = has if polarity == "presence" else f"(1 - {has})"
+    if missing is not None:
+        expr = f"coalesce({expr}, {int(missing)})"
+    return expr
+
+
+def onehot(pairs: DataFrame, key: str, code: str, codes: Sequence[str], prefix: str,
+           polarity: str = "presence", count_col: str | None = None) -> DataFrame:
+    """Pivot ``(key, code)`` pairs into ``prefix + code`` flag columns.
+
+    polarity='presence': 1 when the key has the code, else 0.
+    polarity='absence' : 0 when the key has the code, else 1.
+    """
+    codes = list(codes)
+    g = onehot_masks(pairs, key, code, codes, count_col)
+    flags = [f"{flag_sql(i, polarity)} AS `{prefix + c}`" for i, c in enumerate(codes)]
     rest = [f"`{count_col}`"] if count_col else []
     return g.selectExpr(f"`{key}`", *flags, *rest)

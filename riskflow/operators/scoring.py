@@ -74,16 +74,18 @@ def _sql_str(v: str) -> str:
     return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def term_sql(term: Term, weights: dict) -> str:
+def term_sql(term: Term, weights: dict, inputs: dict[str, str] | None = None) -> str:
     """Spark SQL text of one term's contribution.
 
     The whole model is handed to the JVM as expression text (one parse) rather
-    than assembled from thousands of Python-side Column calls.
+    than assembled from thousands of Python-side Column calls. ``inputs`` maps an
+    input column to an SQL expression that computes it (e.g. a flag read from a
+    bitmask), so the expression is inlined instead of materialised as a column.
     """
     feat = term.coef_feature or term.name
     if term.kind == "intercept":
         return _lit(weights.get((feat, "")))
-    col = f"`{term.column}`"
+    col = f"({inputs[term.column]})" if inputs and term.column in inputs else f"`{term.column}`"
     if term.kind == "flag":
         return f"coalesce(CAST({col} AS DOUBLE), 0D) * coalesce({_lit(weights.get((feat, '')))}, 0D)"
     if term.kind == "flag_off":
@@ -107,21 +109,23 @@ def term_sql(term: Term, weights: dict) -> str:
     return "CASE " + " ".join(parts) + (" ELSE 0D END" if term.has_else else " END")
 
 
-def term_column(term: Term, weights: dict) -> Column:
-    return F.expr(term_sql(term, weights))
+def term_column(term: Term, weights: dict, inputs: dict[str, str] | None = None) -> Column:
+    return F.expr(term_sql(term, weights, inputs))
 
 
-def linear_sql(model: Model, weights: dict) -> str:
-    return " + ".join(f"({term_sql(t, weights)})" for t in model.terms) or "0D"
+def linear_sql(model: Model, weights: dict, inputs: dict[str, str] | None = None) -> str:
+    return " + ".join(f"({term_sql(t, weights, inputs)})" for t in model.terms) or "0D"
 
 
-def linear_predictor(model: Model, weights: dict) -> Column:
-    return F.expr(linear_sql(model, weights))
+def linear_predictor(model: Model, weights: dict, inputs: dict[str, str] | None = None
+                     ) -> Column:
+    return F.expr(linear_sql(model, weights, inputs))
 
 
-def contributions(model: Model, weights: dict, prefix: str = "t_") -> dict[str, str]:
+def contributions(model: Model, weights: dict, prefix: str = "t_",
+                  inputs: dict[str, str] | None = None) -> dict[str, str]:
     """Term name -> SQL text of its contribution."""
-    return {prefix + t.name: term_sql(t, weights) for t in model.terms}
+    return {prefix + t.name: term_sql(t, weights, inputs) for t in model.terms}
 
 
 def routed_sql(branches: Sequence[tuple[str, str]]) -> str:

@@ -195,8 +195,16 @@ def online_approvals(decision_system: DataFrame) -> DataFrame:
 
 
 def feature_master(cohort, lease_attrs, bank1, cart, cards, clients, stores, fp, approval,
-                   pay_orig, zips, inception, risk_flags, zip_codes, online) -> DataFrame:
-    """Join every attribute table onto the cohort (one row per cohort lease)."""
+                   pay_orig, zips, inception, risk, zip_codes, online,
+                   unpack_flags: bool = True) -> DataFrame:
+    """Join every attribute table onto the cohort (one row per cohort lease).
+
+    ``risk`` is the packed risk-code table (``risk_codes.risk_masks``). With
+    ``unpack_flags`` the 71 flag columns are produced at the end; without it the
+    two mask longs are kept (scoring reads flags straight from them), so the
+    joined row stays narrow through every join.
+    """
+    from riskflow.plans.risk_codes import RISK_MASKS, risk_flag_exprs
     ll = cohort.select("approvalid", "origination_date", "storetype", "fraud", "seasoned_lease")
     la = lease_attrs.withColumnRenamed("approvalid", "_la_id")
     # approval-keyed lookups
@@ -204,7 +212,7 @@ def feature_master(cohort, lease_attrs, bank1, cart, cards, clients, stores, fp,
          .join(cart, "approvalid", "left")
          .join(fp, "approvalid", "left")
          .join(approval, "approvalid", "left")
-         .join(risk_flags, ll["approvalid"] == risk_flags["appid"], "left")
+         .join(risk, ll["approvalid"] == risk["appid"], "left")
          .join(online, ll["approvalid"] == online["_online_id"], "left"))
     # client-keyed lookups
     j = (j.join(bank1.drop("active", "ts").withColumnRenamed("clientid", "_b_cid"),
@@ -228,8 +236,11 @@ def feature_master(cohort, lease_attrs, bank1, cart, cards, clients, stores, fp,
                F.col("storeid") == F.col("_i_id"), "left")
          .join(geo_c, F.col("customer_zip") == F.col("_gc_zip"), "left")
          .join(geo_s, F.col("zip") == F.col("_gs_zip"), "left"))
-    none_raw = F.col(NONE_FLAG)
-    flags = [F.expr(f"coalesce(`{c}`, 1) AS `{c}`") for c in RISK_FLAG_COLUMNS]
+    exprs = risk_flag_exprs()
+    if unpack_flags:
+        flags = [F.expr(f"{exprs[c]} AS `{c}`") for c in RISK_FLAG_COLUMNS]
+    else:
+        flags = [F.col(m) for m in RISK_MASKS]
     return j.select(
         F.coalesce(F.col("_mc_v2_z_sum"), F.lit(1)).alias("_mc_v2_z_sum"),
         "origination_date", "storetype", "fraud", "seasoned_lease",
@@ -243,9 +254,7 @@ def feature_master(cohort, lease_attrs, bank1, cart, cards, clients, stores, fp,
         "ach_orig", "cc_orig", "customer_zip", "st_inception_date",
         "store_lat", "store_long", "cus_lat", "cus_long",
         *flags,
-        # flag for "no risk code": the absence-polarity NONE column flipped
-        F.when(none_raw.isNull(), 1).when(none_raw == 1, 0).when(none_raw == 0, 1)
-         .alias(NONE_FLAG),
+        F.expr(exprs[NONE_FLAG]).alias(NONE_FLAG),
         month_boundaries("st_inception_date", "leaseaddeddate").alias("storeage"),
         F.month("origination_date").alias("seasonality"),
         F.when(F.col("driverslicensestate") != F.col("state"), 1).otherwise(0)

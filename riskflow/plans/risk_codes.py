@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.operators.onehot import onehot
+from riskflow.operators.onehot import flag_sql, mask_columns, onehot, onehot_masks
 from riskflow.sources.codes import NO_CODE, RISK_CODES, RISK_PREFIX
 
 CODES_WITH_NONE = list(RISK_CODES) + [NO_CODE]
@@ -43,6 +43,35 @@ def risk_flags_absence(codes: DataFrame, code_list=None) -> DataFrame:
             .withColumnRenamed("approvalid", "appid"))
 
 
+RISK_MASK_PREFIX = "_risk_w"
+RISK_MASKS = mask_columns(len(CODES_WITH_NONE), RISK_MASK_PREFIX)
+
+
+def risk_masks(codes: DataFrame) -> DataFrame:
+    """Packed form of the flags: ``appid``, the presence bitmasks and ``_mc_v2_z_sum``."""
+    return (onehot_masks(codes, "approvalid", "riskcode", CODES_WITH_NONE, "_mc_v2_z_sum",
+                         RISK_MASK_PREFIX)
+            .withColumnRenamed("approvalid", "appid"))
+
+
+def absence_flag_sql(code: str) -> str:
+    """A model flag (absence polarity, 1 when the approval has no risk row) from the masks."""
+    return flag_sql(CODES_WITH_NONE.index(code), "absence", RISK_MASK_PREFIX, missing=1)
+
+
+def none_flag_sql() -> str:
+    """The 'no risk code' flag: 1 without a risk row or with only NONE, else 0."""
+    has_none = flag_sql(CODES_WITH_NONE.index(NO_CODE), "presence", RISK_MASK_PREFIX)
+    return f"CASE WHEN `{RISK_MASKS[0]}` IS NULL THEN 1 WHEN {has_none} = 1 THEN 1 ELSE 0 END"
+
+
+def risk_flag_exprs() -> dict[str, str]:
+    """Column name -> SQL text for every model risk flag, read from the masks."""
+    out = {RISK_PREFIX + c: absence_flag_sql(c) for c in RISK_CODES}
+    out[RISK_PREFIX + NO_CODE] = none_flag_sql()
+    return out
+
+
 def risk_catalogue(indicators: DataFrame) -> DataFrame:
     """Every code seen, with its feature column and coefficient names."""
     codes = indicators.select("riskcode").distinct()

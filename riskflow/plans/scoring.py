@@ -146,15 +146,28 @@ def testdata_coefficients(spark) -> DataFrame:
 SCORE_KEYS = ["approvalid", "storetype", "leaseaddeddate", "storeid"]
 
 
+def _inputs(bins: DataFrame, models) -> tuple[list[str], dict[str, str]]:
+    """Columns the models read, and flag expressions to inline from packed masks."""
+    from riskflow.plans.risk_codes import RISK_MASKS, risk_flag_exprs
+    needed = set()
+    for m in models:
+        needed |= set(m.columns())
+    inline = {}
+    if RISK_MASKS[0] in bins.columns:
+        inline = {c: e for c, e in risk_flag_exprs().items() if c not in bins.columns}
+        needed = (needed - set(inline)) | set(RISK_MASKS)
+    return sorted(needed), inline
+
+
 def score(bins: DataFrame, coefs: DataFrame) -> DataFrame:
     """Probability per lease from the model of its store type (one pass, literals)."""
     core, non = core_model(), noncore_model()
     maps = coefficient_maps(coefs, [CORE, NONCORE])
     wc, wn = maps[CORE], maps[NONCORE]
-    inputs = sorted(set(core.columns()) | set(non.columns()))
+    inputs, inline = _inputs(bins, (core, non))
     st = F.col("storetype")
-    lin = F.expr(routed_sql([("storetype = 'CORE'", linear_sql(core, wc)),
-                             ("storetype <> 'CORE'", linear_sql(non, wn))]))
+    lin = F.expr(routed_sql([("storetype = 'CORE'", linear_sql(core, wc, inline)),
+                             ("storetype <> 'CORE'", linear_sql(non, wn, inline))]))
     return (bins.filter(st.isNotNull())
             .select(*SCORE_KEYS, *inputs)
             .select("approvalid", "storetype", F.to_date("leaseaddeddate").alias("leaseaddeddate"),
@@ -167,13 +180,27 @@ def explain(bins: DataFrame, coefs: DataFrame) -> DataFrame:
     core, non = core_model(), noncore_model()
     maps = coefficient_maps(coefs, [CORE, NONCORE])
     wc, wn = maps[CORE], maps[NONCORE]
-    cc, cn = contributions(core, wc), contributions(non, wn)
+    inputs, inline = _inputs(bins, (core, non))
+    cc, cn = contributions(core, wc, inputs=inline), contributions(non, wn, inputs=inline)
     names = list(dict.fromkeys(list(cc) + list(cn)))
     st = F.col("storetype")
-    cols = {n: F.expr(routed_sql([("storetype = 'CORE'", cc.get(n, "0D")),
-                                  ("storetype <> 'CORE'", cn.get(n, "0D"))]))
-            for n in names}
-    inputs = sorted(set(core.columns()) | set(non.columns()))
+    # flag terms: read the flag once and pick the model's weight (keeps the generated
+    # code of this ~100-column projection under the JVM method size limit)
+    tc = {"t_" + t.name: t for t in core.terms}
+    tn = {"t_" + t.name: t for t in non.terms}
+    cols = {}
+    for n in names:
+        a, b = tc.get(n), tn.get(n)
+        if a is not None and b is not None and a.kind == b.kind == "flag" and a.column == b.column:
+            col = f"({inline[a.column]})" if a.column in inline else f"`{a.column}`"
+            wa = wc.get((a.coef_feature or a.name, ""))
+            wb = wn.get((b.coef_feature or b.name, ""))
+            w = (f"CASE WHEN storetype = 'CORE' THEN {0.0 if wa is None else float(wa)!r}D "
+                 f"WHEN storetype <> 'CORE' THEN {0.0 if wb is None else float(wb)!r}D END")
+            cols[n] = F.expr(f"coalesce(CAST({col} AS DOUBLE), 0D) * {w}")
+        else:
+            cols[n] = F.expr(routed_sql([("storetype = 'CORE'", cc.get(n, "0D")),
+                                         ("storetype <> 'CORE'", cn.get(n, "0D"))]))
     return (bins.filter(st.isNotNull()).select("approvalid", "storetype", *inputs)
             .select("approvalid", "storetype", *[c.alias(n) for n, c in cols.items()]))
 
