@@ -23,6 +23,7 @@ from riskflow.functions.dates import day_diff, lit_date
 from riskflow.functions.numeric import safe_ratio
 from riskflow.operators.dedup import not_in_keys, rows_with_duplicate_key
 from riskflow.operators.intervals import as_of_slice
+from riskflow.sources.sinks import append_unseen, replace_table
 
 # Journal descriptions of buyout payments.
 SETTLED = "Payment - Settled"
@@ -153,6 +154,24 @@ def new_entries(final_list: DataFrame, stored_list: DataFrame) -> DataFrame:
     return not_in_keys(final_list, "approvalbkey", stored_list)
 
 
+def store_list(final_list: DataFrame, path: str, full_refresh: bool = False) -> int:
+    """Keep the stored collection list current.
+
+    full_refresh=True replaces the table with today's list; otherwise only leases
+    whose key is not stored yet are appended (their added date is today). Returns
+    the number of rows written.
+    """
+    if full_refresh:
+        replace_table(final_list, path)
+        return final_list.sparkSession.read.parquet(path).count()
+    try:
+        final_list.sparkSession.read.parquet(path).schema  # noqa: B018 - exists?
+    except Exception:  # noqa: BLE001 - first run creates the table
+        replace_table(final_list, path)
+        return final_list.sparkSession.read.parquet(path).count()
+    return append_unseen(final_list, path, "approvalbkey")
+
+
 def worklist(stored_list: DataFrame, by_added_date: bool = False) -> DataFrame:
     """Prioritised calls: cheap-to-collect leases, most urgent first."""
     roi, dq = F.col("roi"), F.col("dqdays")

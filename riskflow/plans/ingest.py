@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.sources.delimited import read_delimited
+from riskflow.sources.sinks import write_csv
 from riskflow.sources.xmldocs import by_name, read_documents, shred
 
 CODE_XPATH = by_name("code") + "/text()"
@@ -35,3 +36,15 @@ def xml_column_codes(table: DataFrame, xml_col: str = "testxml", id_col: str = "
 def combine_delimited(spark: SparkSession, path: str, types, sep: str = "\t") -> DataFrame:
     """All files of a folder as one table (each file once, columns V1..Vn)."""
     return read_delimited(spark, path, types, sep=sep)
+
+
+def xml_folder_to_csv(spark: SparkSession, path: str, out: str, one_per_file: bool = True
+                      ) -> None:
+    """Directory of reports -> CSV of (CODE, ID) with a header, written by the executors."""
+    write_csv(xml_codes(spark, path, one_per_file), out)
+
+
+def delimited_folder_to_csv(spark: SparkSession, path: str, types, out: str, sep: str = "\t"
+                            ) -> None:
+    """Folder of headerless delimited files -> one CSV with a header."""
+    write_csv(combine_delimited(spark, path, types, sep), out)

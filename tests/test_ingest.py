@@ -61,3 +61,37 @@ def test_replace_and_append_unseen(spark):
     assert append_unseen(new, path, "approvalbkey") == 1
     rows = sorted(tuple(r) for r in spark.read.parquet(path).collect())
     assert rows == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_csv_exports(spark):
+    from riskflow.plans.ingest import delimited_folder_to_csv, xml_folder_to_csv
+    d = tempfile.mkdtemp(prefix="rf-exp-")
+    src = os.path.join(d, "xml")
+    os.makedirs(src)
+    _write(src, "r.xml", "<r><userRefNumber>7</userRefNumber><code>AB</code></r>")
+    out = os.path.join(d, "codes_csv")
+    xml_folder_to_csv(spark, src, out)
+    back = spark.read.option("header", "true").csv(out)
+    assert back.columns == ["CODE", "ID"] and [tuple(r) for r in back.collect()] == [("AB", "7")]
+    tsv = os.path.join(d, "tsv")
+    os.makedirs(tsv)
+    _write(tsv, "a.txt", "1\tx\n")
+    _write(tsv, "b.txt", "2\ty\n")
+    out2 = os.path.join(d, "combined_csv")
+    delimited_folder_to_csv(spark, tsv, (T.LongType(), T.StringType()), out2)
+    text = "".join(open(os.path.join(out2, f)).read() for f in sorted(os.listdir(out2))
+                   if f.endswith(".csv"))
+    assert '"1","x"' in text and '"2","y"' in text
+
+
+def test_store_list_refresh_then_append(spark):
+    from riskflow.plans.collections import store_list
+    path = os.path.join(tempfile.mkdtemp(prefix="rf-list-"), "buyout_collection_list")
+    day1 = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-01")],
+                                 "approvalbkey long, added_to_list_date string")
+    day2 = spark.createDataFrame([(2, "2024-01-02"), (3, "2024-01-02")],
+                                 "approvalbkey long, added_to_list_date string")
+    assert store_list(day1, path, full_refresh=True) == 2
+    assert store_list(day2, path) == 1
+    rows = sorted(tuple(r) for r in spark.read.parquet(path).collect())
+    assert rows == [(1, "2024-01-01"), (2, "2024-01-01"), (3, "2024-01-02")]
