@@ -94,15 +94,15 @@ SELECT DISTINCT {_CLIENT} AS clientid,
        CAST((c_custkey + o_orderkey % 10) % 5 AS INT) AS languagepreference,
        c_name AS firstname
 FROM {{orders}} JOIN {{customer}} ON c_custkey = o_custkey""", ("orders", "customer")),
-    # rto..WNLI_bank: two payment records per lease, some inactive
-    "bank": (f"""
+    # rto..WNLI_bank: two payment records per lease (n = 0, 1), some inactive
+    "bank": (" UNION ALL ".join(f"""
 SELECT {_CLIENT} AS clientid,
-       CASE WHEN (o_orderkey + r.n) % 2 = 0 THEN 'ACH' ELSE 'CreditCard' END AS primarypaymentmethod,
-       CAST((o_custkey + r.n * 7) % 400 AS STRING) AS cardnumbertoken,
-       CAST(1 + (o_orderkey + r.n) % 12 AS STRING) AS expdate,
-       CASE WHEN (o_orderkey + r.n) % 5 = 0 THEN 0 ELSE 1 END AS active,
-       CAST(o_orderdate AS DATE) + CAST((o_orderkey % 3) * r.n AS INT) AS ts
-FROM {{orders}} CROSS JOIN (VALUES (0), (1)) AS r(n)""", ("orders",)),
+       CASE WHEN (o_orderkey + {n}) % 2 = 0 THEN 'ACH' ELSE 'CreditCard' END AS primarypaymentmethod,
+       CAST((o_custkey + {n * 7}) % 400 AS STRING) AS cardnumbertoken,
+       CAST(1 + (o_orderkey + {n}) % 12 AS STRING) AS expdate,
+       CASE WHEN (o_orderkey + {n}) % 5 = 0 THEN 0 ELSE 1 END AS active,
+       CAST(o_orderdate AS DATE) + CAST((o_orderkey % 3) * {n} AS INT) AS ts
+FROM {{orders}}""" for n in (0, 1)), ("orders",)),
     # rto..WNLI_address: zip+4 strings, some inactive
     "address": (f"""
 SELECT {_CLIENT} AS clientid,
