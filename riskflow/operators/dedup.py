@@ -69,20 +69,20 @@ def not_in_keys(df: DataFrame, key: str, existing: DataFrame, existing_key: str
     * existing holds a NULL key -> no row is kept;
     * otherwise rows with a NULL key are dropped, the rest is an anti join.
 
-    A hash anti join on the key plus a one-row summary of ``existing`` (count and
-    has-NULL: a size bound of exactly one row, so it is broadcast and joined on a
-    constant key); this avoids the nested-loop plan a non-broadcast null-aware
-    anti join falls back to.
+    The two global conditions come from a one-row summary of ``existing`` (row
+    count and whether a NULL key exists), read on the driver -- two numbers, a
+    bounded result -- so the rows themselves only meet in a hash anti join on
+    the key. (A non-broadcast null-aware anti join in SQL falls back to a
+    nested-loop join; a join against the summary is folded into a cross join.)
     """
     ek = existing_key or key
     keys = existing.select(F.col(ek).alias("_k"))
     summary = keys.agg(F.count(F.lit(1)).alias("_n"),
-                       F.max(F.col("_k").isNull().cast("int")).alias("_has_null"),
-                       F.lit(0).alias("_one"))
+                       F.max(F.col("_k").isNull().cast("int")).alias("_has_null")).first()
+    if summary["_n"] == 0:
+        return df
+    if summary["_has_null"] == 1:
+        return df.filter(F.lit(False))
     kept = df.join(keys.filter(F.col("_k").isNotNull()).distinct(),
                    df[key] == F.col("_k"), "left_anti")
-    return (kept.withColumn("_one", F.lit(0))
-                .join(F.broadcast(summary), "_one", "inner")
-                .filter((F.col("_n") == 0)
-                        | ((F.col("_has_null") == 0) & F.col(key).isNotNull()))
-                .drop("_n", "_has_null", "_one"))
+    return kept.filter(F.col(key).isNotNull())

@@ -5,14 +5,14 @@ group in one task; with few groups (store types) that is one task for a third of
 all rows. Here the rows are globally range-sorted by (g, x, tie-breakers)
 across all partitions, each row gets its global position from per-partition
 counts (one small row per partition, broadcast), and the NTILE bucket follows
-from the position inside the group and the group size (one small row per group):
+from the position inside the group and the group size (one row per group):
 
     q, r = divmod(size, n)
     bucket = pos // (q + 1) + 1                 if pos < r * (q + 1)
            = (pos - r * (q + 1)) // q + r + 1   otherwise         (pos 0-based)
 
 which is the SQL NTILE rule (the first ``r`` buckets hold one extra row). The
-sorted, numbered rows are checkpointed to the shared checkpoint folder so the
+sorted, numbered rows are written once to the shared checkpoint folder, so the
 numbering is computed once and survives executor loss.
 """
 
@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskflow.session import ensure_checkpoint_dir
+from riskflow.operators.materialize import materialize
 from riskflow.sources.codes import GRADE_LETTERS
 
 
@@ -37,8 +37,8 @@ def distributed_ntile(df: DataFrame, n: int, group: Sequence[str], order: Sequen
     numbered = numbered.withColumn(
         "_local", F.col("_local") - F.shiftleft(F.col("_pid").cast("long"), 33))
     if checkpoint:
-        ensure_checkpoint_dir(df.sparkSession)
-        numbered = numbered.checkpoint(eager=True)
+        # positions are stored as columns, so the written table keeps them exactly
+        numbered = materialize(numbered, "ntile")
     # one row per partition: its first global position
     per_part = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = per_part.select(

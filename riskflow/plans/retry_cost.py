@@ -107,10 +107,7 @@ def retry_cost(card_attempts: DataFrame, dim_approval: DataFrame, fact_leasesum:
     tran = tran.otherwise(0)
     day = F.to_date("ts")
     attempts = card_attempts.filter(day.between(lit_date(start), lit_date(end)))
-    keys = (dim_approval.select("approvalid", "approvalbkey")
-            .join(fact_leasesum.select("approvalbkey", "storebkey"), "approvalbkey", "left")
-            .join(dim_store.select("storebkey", "storetype"), "storebkey", "left")
-            .drop("storebkey"))
+    keys = _store_type(dim_approval, fact_leasesum, dim_store)
     return (attempts.join(keys, "approvalid", "left")
             .select("approvalid", "approvalbkey", "storetype",
                     day.alias("blitz_date"),
