@@ -345,7 +345,9 @@ def q_xml_codes(spark, sf_dir):
 
 @register("xml_column_codes")
 def q_xml_column_codes(spark, sf_dir):
-    return ig.xml_column_codes(TestData(spark, sf_dir).xml_column)
+    """The XML column is a stored table in the source: write the generated one once."""
+    from riskflow.operators.materialize import materialize
+    return ig.xml_column_codes(materialize(TestData(spark, sf_dir).xml_column, "xml1"))
 
 
 SUPPLIER_TYPES = (T.LongType(), T.StringType(), T.IntegerType(), T.DoubleType())

@@ -7,29 +7,31 @@ from pyspark.sql import functions as F
 
 from riskflow.sources.delimited import read_delimited
 from riskflow.sources.sinks import write_csv
-from riskflow.sources.xmldocs import by_name, read_documents, shred
+from riskflow.sources.xmldocs import read_documents, shred
 
-CODE_XPATH = by_name("code") + "/text()"
-ID_XPATH = by_name("userRefNumber")
-# Width of the code column in the XML-column form.
+# Element names of the credit report, and the code column width.
+CODE_ELEMENT = "code"
+ID_ELEMENT = "userRefNumber"
+REPORT_ROOT = "creditBureau"
 CODE_WIDTH = 32
 
 
-def xml_codes(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+def xml_codes(spark: SparkSession, path: str, one_per_file: bool = True,
+              engine: str = "auto") -> DataFrame:
     """Every ``code`` of every report with the report's first ``userRefNumber``.
 
     A report with a single code keeps it; the namespace is whatever each file
     declares.
     """
     docs = read_documents(spark, path, one_per_file=one_per_file)
-    return shred(docs, "doc", CODE_XPATH, "CODE", {"ID": ID_XPATH}).select("CODE", "ID")
+    return shred(docs, "doc", CODE_ELEMENT, "CODE", {"ID": ID_ELEMENT},
+                 engine=engine).select("CODE", "ID")
 
 
 def xml_column_codes(table: DataFrame, xml_col: str = "testxml", id_col: str = "id",
-                     root: str = "creditBureau") -> DataFrame:
+                     root: str = REPORT_ROOT, engine: str = "auto") -> DataFrame:
     """Codes under the document root of an XML column, one row per code, with the row id."""
-    xp = by_name(root, root=True) + by_name("code") + "/text()"
-    out = shred(table, xml_col, xp, "code", keep=(id_col,))
+    out = shred(table, xml_col, CODE_ELEMENT, "code", root=root, keep=(id_col,), engine=engine)
     return out.select(F.substring("code", 1, CODE_WIDTH).alias("code"), id_col)
 
 

@@ -95,3 +95,46 @@ def test_store_list_refresh_then_append(spark):
     assert store_list(day2, path) == 1
     rows = sorted(tuple(r) for r in spark.read.parquet(path).collect())
     assert rows == [(1, "2024-01-01"), (2, "2024-01-01"), (3, "2024-01-02")]
+
+
+TRICKY = [
+    '<r xmlns="u"><userRefNumber>1</userRefNumber><code>A</code><x><code>B</code></x></r>',
+    '<p:r xmlns:p="u"><p:userRefNumber>2</p:userRefNumber><p:code>C</p:code></p:r>',
+    '<r><userRefNumber>3</userRefNumber><code>a&amp;b</code><code><![CDATA[<x>]]></code></r>',
+    '<r><!-- <code>no</code> --><userRefNumber>4</userRefNumber><code>D</code></r>',
+    '<r><userRefNumber>5</userRefNumber><code type="t">E</code><code/><code> </code></r>',
+    '<r><userRefNumber>6</userRefNumber><code>F<b/>G</code><codes>no</codes><code></code></r>',
+    '<?xml version="1.0"?><r><userRefNumber>7</userRefNumber><code>H&gt;</code></r>',
+    '<r><userRefNumber>8</userRefNumber><code>été</code><code>I</code></r>',
+    '<r><userRefNumber><n>9</n></userRefNumber><userRefNumber>10</userRefNumber></r>',
+]
+
+
+def test_fast_path_equals_xpath(spark):
+    from riskflow.sources.xmldocs import shred
+    docs = spark.createDataFrame([(i, d) for i, d in enumerate(TRICKY)], "i int, doc string")
+
+    def run(engine):
+        return sorted(tuple(r) for r in shred(docs, "doc", "code", "CODE", {"ID": "userRefNumber"},
+                                              keep=("i",), engine=engine).collect())
+    assert run("auto") == run("xpath")
+    col = docs.withColumnRenamed("doc", "testxml").withColumnRenamed("i", "id")
+    col = col.union(spark.createDataFrame([(99, "<other><code>Z</code></other>"),
+                                           (98, "<creditBureau><code>Y</code></creditBureau>")],
+                                          "id int, testxml string"))
+    fast = sorted(tuple(r) for r in xml_column_codes(col, root="creditBureau").collect())
+    slow = sorted(tuple(r) for r in xml_column_codes(col, root="creditBureau",
+                                                     engine="xpath").collect())
+    assert fast == slow == [("Y", 98)]
+
+
+def test_prefixed_reports_take_the_fast_path(spark):
+    from pyspark.sql import functions as F
+
+    from riskflow.sources.xmldocs import simple_form
+    docs = spark.createDataFrame(
+        [('<ns:r xmlns:ns="u"><ns:code>A</ns:code><ns:x><ns:code>B</ns:code></ns:x></ns:r>',),
+         ('<r xmlns="u"><code>A</code><x><code>B</code></x></r>',),
+         ("<r><code>A<b/></code></r>",)], "doc string")
+    got = [r[0] for r in docs.select(simple_form(F.col("doc"), ["code"])).collect()]
+    assert got == [True, True, False]
