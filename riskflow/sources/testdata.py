@@ -61,13 +61,12 @@ SELECT o_orderkey AS approvalid,
             WHEN '4' THEN 'Monthly' ELSE 'Weekly' END AS paymentfrequency,
        o_totalprice * (o_orderkey % 7) / 10 AS totalpaymentsmade
 FROM {{orders}}""", ("orders",)),
-    # rto..WNLI_leasePeriodInfo (some leases have none)
+    # rto..WNLI_leasePeriodInfo (some leases without a recorded first rent)
     "lease_period": ("""
 SELECT o_orderkey AS approvalid,
-       o_totalprice * 0.15 AS firstrentpayment,
+       CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice * 0.15 END AS firstrentpayment,
        o_totalprice * 0.05 AS additionaldownpayment
-FROM {orders}
-WHERE o_orderkey % 13 <> 0""", ("orders",)),
+FROM {orders}""", ("orders",)),
     # datawarehouse..dim_Approval
     "dim_approval": ("""
 SELECT o_orderkey AS approvalbkey, o_orderkey AS approvalid FROM {orders}""", ("orders",)),
@@ -118,11 +117,12 @@ FROM {{orders}}""", ("orders",)),
     # rto..WNLI_ZipCodes: every zip in use, a few without coordinates
     "zip_codes": ("""
 SELECT zip,
-       CAST((CAST(zip AS INT) * 37) % 1200 AS DOUBLE) / 10.0 - 60.0 AS latitude,
-       CAST((CAST(zip AS INT) * 53) % 3600 AS DOUBLE) / 10.0 - 180.0 AS longitude
+       CASE WHEN CAST(zip AS INT) % 11 = 5 THEN NULL
+            ELSE CAST((CAST(zip AS INT) * 37) % 1200 AS DOUBLE) / 10.0 - 60.0 END AS latitude,
+       CASE WHEN CAST(zip AS INT) % 11 = 5 THEN NULL
+            ELSE CAST((CAST(zip AS INT) * 53) % 3600 AS DOUBLE) / 10.0 - 180.0 END AS longitude
 FROM (SELECT substr(zip, 1, 5) AS zip FROM {address}
-      UNION SELECT zip FROM {retail_stores}) z
-WHERE CAST(zip AS INT) % 11 <> 5""", ("address", "retail_stores")),
+      UNION SELECT zip FROM {retail_stores}) z""", ("address", "retail_stores")),
     # IntelReports..vwFP_Results: several rows per approval
     "fp_results": ("""
 SELECT l_orderkey AS approvalid,
@@ -132,12 +132,12 @@ SELECT l_orderkey AS approvalid,
        CAST((l_orderkey + l_suppkey) % 13 AS STRING) AS nasindex,
        l_shipdate AS ts
 FROM {lineitem}""", ("lineitem",)),
-    # IntelReports..FP_Applicant: some approvals without, some with applicant 0
+    # IntelReports..FP_Applicant: some applicants missing (NULL), some with id 0
     "fp_applicant": ("""
-SELECT CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE o_orderkey + 1 END AS applicantid,
+SELECT CASE WHEN o_orderkey % 47 = 0 THEN NULL WHEN o_orderkey % 50 = 0 THEN 0
+            ELSE o_orderkey + 1 END AS applicantid,
        o_orderkey AS approvalid
-FROM {orders}
-WHERE o_orderkey % 47 <> 0""", ("orders",)),
+FROM {orders}""", ("orders",)),
     # IntelReports..FP_RiskIndicators: codes of the 70-code domain, with repeats
     "fp_risk_indicators": (f"""
 SELECT l_orderkey + 1 AS applicantid, c.code AS riskcode
@@ -145,9 +145,10 @@ FROM {{lineitem}} JOIN (VALUES {_CODE_VALUES}) AS c(idx, code) ON c.idx = l_part
                            ("lineitem",)),
     # IntelReports..DecisionSystem
     "decision_system": ("""
-SELECT o_orderkey AS approvalid, CAST(1000 + o_orderkey % 8 AS STRING) AS storenumber
-FROM {orders}
-WHERE o_orderkey % 3 = 0""", ("orders",)),
+SELECT o_orderkey AS approvalid,
+       CASE WHEN o_orderkey % 3 = 0 THEN CAST(1000 + o_orderkey % 8 AS STRING) ELSE '2000' END
+         AS storenumber
+FROM {orders}""", ("orders",)),
     # rto..WNLI_approval: a few zero amounts
     "approval": ("""
 SELECT o_orderkey AS approvalid,
