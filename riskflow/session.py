@@ -6,11 +6,12 @@ are for tests, the bench and command-line use.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "riskflow") -> SparkSession:
@@ -28,28 +29,27 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names in spark.checkpoint.dir.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir.
 
-    The setting is read from the session; a folder is chosen only when it is
-    unset (tests, local runs). On a cluster this must be a shared filesystem path.
+    Only read, never set. Where the setting is absent a local-mode session (tests,
+    one machine) gets one temporary folder per application; any other master raises,
+    because a machine-local folder is invisible to the other machines.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="riskflow-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception:  # core conf may be read-only at runtime
-            pass
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if path:
+        return path
+    context = spark.sparkContext
+    if not (context.master.startswith("local[") or context.master == "local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="riskflow-ckpt-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A location under the shared checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "riskflow", name)
+    return f"{checkpoint_dir(spark).rstrip('/')}/riskflow/{name}"
