@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from riskflow.llm.packing import op7_best_fit_packing
 from riskflow.llm.record_files import op4_record_files
 
 QUERIES = {f.__name__: f for f in (
-    op4_record_files,
+    op4_record_files, op7_best_fit_packing,
 )}
 
 ORACLE_SQL: dict[str, str] = {}
