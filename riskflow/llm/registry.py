@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from riskflow.llm.minhash import op10_minhash_near_dedup
 from riskflow.llm.packing import op7_best_fit_packing
 from riskflow.llm.record_files import op4_record_files
 
 QUERIES = {f.__name__: f for f in (
-    op4_record_files, op7_best_fit_packing,
+    op4_record_files, op7_best_fit_packing, op10_minhash_near_dedup,
 )}
 
 ORACLE_SQL: dict[str, str] = {}
