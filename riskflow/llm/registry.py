@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from riskflow.llm.langid import op3_language_id
 from riskflow.llm.minhash import op10_minhash_near_dedup
 from riskflow.llm.packing import op7_best_fit_packing
 from riskflow.llm.record_files import op4_record_files
 from riskflow.llm.toxicity import op8_toxicity
 
 QUERIES = {f.__name__: f for f in (
-    op4_record_files, op7_best_fit_packing, op10_minhash_near_dedup, op8_toxicity,
+    op3_language_id, op4_record_files, op7_best_fit_packing, op10_minhash_near_dedup, op8_toxicity,
 )}
 
 ORACLE_SQL: dict[str, str] = {}
