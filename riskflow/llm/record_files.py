@@ -40,7 +40,7 @@ FRAME = struct.Struct("<QI")
 HEAD = struct.Struct("<BBq")
 ENTRY = np.dtype([("offset", "<u8"), ("length", "<u8"), ("ids_before", "<u8")])
 MANIFEST = "shard int, path string, records long, ids long"
-RECORD = "shard int, position long, doc_id long, in_shard long, n_tokens long, ids binary"
+RECORD = "shard int, position long, doc_id long, start long, n_tokens long, ids binary"
 
 
 def masked(crc: int) -> int:
@@ -134,7 +134,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, leading: b
 
 
 def read(manifest: DataFrame, shuffle_seed: int | None = None, block: int = 2048) -> DataFrame:
-    """Records of the shards, checked against their checksums.
+    """Records of the shards, checked against their checksums; ``start`` counts the ids of
+    all records before, over all shards in order.
 
     A read task takes a block of index entries, not a whole shard. With ``shuffle_seed``
     the blocks' entries are dealt in a seeded random order and fetched by offset.
@@ -156,7 +157,7 @@ def read(manifest: DataFrame, shuffle_seed: int | None = None, block: int = 2048
                         payload, _ = unframe(f.read(int(index["length"][k])))
                         doc_id, ids = unpack_ids(payload)
                         found.append((row.shard, int(row.first + k), doc_id,
-                                      int(index["ids_before"][k]), len(ids) // 4, ids))
+                                      int(row.shard_start + index["ids_before"][k]), len(ids) // 4, ids))
                         held += len(ids)
                         if held > 8_000_000:
                             yield _records(found)
@@ -165,9 +166,13 @@ def read(manifest: DataFrame, shuffle_seed: int | None = None, block: int = 2048
                     yield _records(found)
 
     spark = manifest.sparkSession
-    blocks = (manifest.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                                F.col("records") - 1, F.lit(block).cast("long"))))
-              .select("shard", "path", "first", F.least(F.lit(block), F.col("records") - F.col("first")).alias("n")))
+    # One row per shard: the single ordered window is bounded by the number of files.
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (manifest.withColumn("shard_start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+              .withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                        F.col("records") - 1, F.lit(block).cast("long"))))
+              .select("shard", "path", "shard_start", "first",
+                      F.least(F.lit(block), F.col("records") - F.col("first")).alias("n")))
     if shuffle_seed is None:
         blocks = blocks.repartition(common.shuffle_partitions(spark), "shard", "first")
     else:
@@ -176,23 +181,13 @@ def read(manifest: DataFrame, shuffle_seed: int | None = None, block: int = 2048
 
 
 def _records(found: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(found, columns=["shard", "position", "doc_id", "in_shard", "n_tokens", "ids"])
+    out = pd.DataFrame(found, columns=["shard", "position", "doc_id", "start", "n_tokens", "ids"])
     return out.assign(doc_id=out["doc_id"].astype("Int64"))
 
 
-def shard_starts(manifest: DataFrame) -> DataFrame:
-    """Ids before each shard. One row per shard, so the single ordered window is bounded by
-    the number of output files, not by the data."""
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("shard_start"))
-
-
 def op4_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` through the record files and back; one row per document."""
     docs = common.id_and_text(common.table(spark, sf_dir, "documents"))
     folder = scratch_folder(spark, "record-files")
     manifest = write(docs, folder, common.tokenizer_path("byte_bpe_50k.json"), end_id=2)
-    digest = F.crc32("ids").alias("ids_crc32")
-    return (read(manifest).select("shard", "doc_id", "in_shard", "n_tokens", digest)
-            .join(shard_starts(manifest), "shard")
-            .select("doc_id", (F.col("shard_start") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32"))
+    return read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

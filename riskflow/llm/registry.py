@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from riskflow.llm.cross_polytope import op2_cross_polytope
 from riskflow.llm.langid import op3_language_id
 from riskflow.llm.minhash import op10_minhash_near_dedup
 from riskflow.llm.packing import op7_best_fit_packing
@@ -9,7 +10,7 @@ from riskflow.llm.record_files import op4_record_files
 from riskflow.llm.toxicity import op8_toxicity
 
 QUERIES = {f.__name__: f for f in (
-    op3_language_id, op4_record_files, op7_best_fit_packing, op10_minhash_near_dedup, op8_toxicity,
+    op2_cross_polytope, op3_language_id, op4_record_files, op7_best_fit_packing, op10_minhash_near_dedup, op8_toxicity,
 )}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -9,6 +9,9 @@ pre-token reaches across it:
   other space (beside another blank, or at an end) is encoded whole instead.
 * otherwise (the pattern drops white space): every U+0020 separates.
 
+New stretches are encoded many to a call; one of ASCII letters and at most one comma or
+stop is a pre-token or two as it stands, so the library's model encodes it directly.
+
 The memo holds two generations of at most ``MEMO_ENTRIES`` stretches of at most
 ``MEMO_CHARS`` characters; longer ones are encoded and forgotten. It changes speed only.
 """
@@ -20,10 +23,10 @@ import re
 
 import numpy as np
 
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 300_000
 MEMO_CHARS = 48
 
-_ODD_SPACE = re.compile(r"\A | \s|\s | \Z")
+_PLAIN = re.compile(r"([A-Za-z]+)([.,]?)")
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -34,57 +37,81 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True      # their strings in a text are ordinary text
         self.leading = leading
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.mark = self.tok.encode(" a", add_special_tokens=False).tokens[0][:-1] if leading else ""
+        starts = np.zeros(self.tok.get_vocab_size(), bool)
+        if leading:                                # ids that begin with the mark of a space
+            starts[[i for t, i in self.tok.get_vocab().items() if t.startswith(self.mark)]] = True
+        self.starts = starts
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _stretches(self, keys: list[str]) -> list[bytes]:
-        """Ids of each stretch, many to a call; word_ids tells which stretch an id is of."""
-        out: list[bytes] = []
-        for i in range(0, len(keys), 1000):
-            part = keys[i:i + 1000]
-            e = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(e.ids, dtype="<u4")
-            bounds = np.searchsorted(np.asarray(e.word_ids, dtype=np.int64), np.arange(len(part) + 1))
-            out += [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+    def _stretches(self, keys: list[str]) -> dict[str, bytes | None]:
+        """Ids of each stretch; None where a cut around it would not be exact."""
+        out: dict[str, bytes | None] = {}
+        model, mixed = self.tok.model, []
+        for x in keys:
+            plain = _PLAIN.fullmatch(x)
+            if plain:
+                word = self.mark + x[:plain.end(1)] if self.leading else plain[1].lower()
+                ids = [t.id for t in model.tokenize(word)]
+                if plain[2]:
+                    ids += [t.id for t in model.tokenize(plain[2])]
+                out[x] = np.array(ids, dtype="<u4").tobytes()
+            elif self.leading and (not x or x[0].isspace() or x[-1].isspace()):
+                out[x] = None
+            else:
+                mixed.append(x)
+        for i in range(0, len(mixed), 1000):
+            part = mixed[i:i + 1000]
+            if self.leading:                       # every stretch begins with its space's mark
+                (e,) = self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+                ids = np.asarray(e.ids, dtype="<u4")
+                bounds = np.append(np.flatnonzero(self.starts[ids]), len(ids))
+            else:
+                e = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
+                ids = np.asarray(e.ids, dtype="<u4")
+                bounds = np.searchsorted(np.asarray(e.word_ids, dtype=np.int64), np.arange(len(part) + 1))
+            data, bounds = ids.tobytes(), (bounds * 4).tolist()
+            assert len(bounds) == len(part) + 1
+            out.update(zip(part, (data[a:b] for a, b in zip(bounds, bounds[1:]))))
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        parts: list[list[str] | None] = []
-        whole = []
-        for i, t in enumerate(texts):
-            if self.leading and _ODD_SPACE.search(t):
-                parts.append(None)
-                whole.append(i)
-                continue
-            p = t.split(" ")
-            if self.leading:
-                p[1:] = [" " + x for x in p[1:]] if len(p) < 64 else (" " + "\0 ".join(p[1:])).split("\0") \
-                    if "\0" not in t else [" " + x for x in p[1:]]
-            parts.append(p)
+        parts = [t.split(" ") for t in texts]
+        heads = self._whole([p[0] for p in parts]) if self.leading else None
+        if heads:
+            for p in parts:
+                p[0] = "a" if p[0] and not p[0][-1].isspace() or len(p) == 1 else ""
         young, old = self.young, self.old
-        missing: set[str] = set()
-        for p in parts:
-            if p is not None:
-                missing.update(x for x in set(p) if x not in young)
+        missing = set().union(*parts) - young.keys()
         fresh = []
         for x in missing:
             if x in old:
                 young[x] = old[x]
             else:
                 fresh.append(x)
-        fresh_ids = self._stretches(fresh) if fresh else []
-        passing = {}
-        for x, ids in zip(fresh, fresh_ids):
-            (young if len(x) <= MEMO_CHARS else passing)[x] = ids
-        lookup = young.__getitem__ if not passing else (lambda x: young[x] if x in young else passing[x])
-        out = [b"".join(map(lookup, p)) if p is not None else b"" for p in parts]
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
+        found = self._stretches(fresh)
+        passing = {x: ids for x, ids in found.items() if len(x) > MEMO_CHARS}
+        young.update(found)
+        out, odd = [], []
+        for i, p in enumerate(parts):
+            ids = list(map(young.__getitem__, p))
+            if heads:
+                ids[0] = heads[i] if ids[0] is not None else None
+            try:
+                out.append(b"".join(ids))
+            except TypeError:                      # a stretch that must not be cut out
+                out.append(b"")
+                odd.append(i)
+        for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
             out[i] = ids
+        for x in passing:
+            del young[x]
         if len(young) > MEMO_ENTRIES:
             self.old, self.young = young, {}
         return out
