@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from riskflow.llm.cross_polytope import op2_cross_polytope
+from riskflow.llm.iblt import op1_paragraph_iblt
 from riskflow.llm.langid import op3_language_id
+from riskflow.llm.licenses import op6_license_diagonals
 from riskflow.llm.minhash import op10_minhash_near_dedup
 from riskflow.llm.packing import op7_best_fit_packing
 from riskflow.llm.piece_scan import op9_piece_scan
@@ -11,7 +13,7 @@ from riskflow.llm.record_files import op4_record_files
 from riskflow.llm.toxicity import op8_toxicity
 
 QUERIES = {f.__name__: f for f in (
-    op2_cross_polytope, op3_language_id, op4_record_files, op7_best_fit_packing, op10_minhash_near_dedup, op8_toxicity, op9_piece_scan,
+    op1_paragraph_iblt, op2_cross_polytope, op3_language_id, op4_record_files, op6_license_diagonals, op7_best_fit_packing, op10_minhash_near_dedup, op8_toxicity, op9_piece_scan,
 )}
 
 ORACLE_SQL: dict[str, str] = {}
