@@ -8,12 +8,13 @@ from riskflow.llm.langid import op3_language_id
 from riskflow.llm.licenses import op6_license_diagonals
 from riskflow.llm.minhash import op10_minhash_near_dedup
 from riskflow.llm.packing import op7_best_fit_packing
+from riskflow.llm.pii import op5_pii_boosting
 from riskflow.llm.piece_scan import op9_piece_scan
 from riskflow.llm.record_files import op4_record_files
 from riskflow.llm.toxicity import op8_toxicity
 
 QUERIES = {f.__name__: f for f in (
-    op1_paragraph_iblt, op2_cross_polytope, op3_language_id, op4_record_files, op6_license_diagonals, op7_best_fit_packing, op10_minhash_near_dedup, op8_toxicity, op9_piece_scan,
+    op1_paragraph_iblt, op2_cross_polytope, op3_language_id, op4_record_files, op5_pii_boosting, op6_license_diagonals, op7_best_fit_packing, op10_minhash_near_dedup, op8_toxicity, op9_piece_scan,
 )}
 
 ORACLE_SQL: dict[str, str] = {}
