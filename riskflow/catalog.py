@@ -7,11 +7,13 @@ library pipeline with the run parameters in ``PARAMS``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from riskflow.operators.materialize import materialize, scratch_folder
 from riskflow.plans import collections as col
 from riskflow.plans import retry_cost as rc
 from riskflow.sources.testdata import PARAMS, TestData
@@ -72,10 +74,18 @@ def q_collection_worklist(spark, sf_dir):
     return col.worklist(q_collection_list(spark, sf_dir))
 
 
+@register("collection_by_days")
+def q_collection_by_days(spark, sf_dir):
+    """The list stored as a table, read back by days."""
+    path = scratch_folder(spark, "stored-list")
+    col.store_list(q_collection_list(spark, sf_dir), path, full_refresh=True)
+    return col.stored_by_days(spark.read.parquet(path))
+
+
 @register("collection_new_only")
 def q_collection_new_only(spark, sf_dir):
     td = TestData(spark, sf_dir)
-    stored = _list(td, PARAMS.collections_prev_as_of)
+    stored = materialize(_list(td, PARAMS.collections_prev_as_of), "stored-list")
     return col.new_entries(_list(td, PARAMS.collections_as_of), stored)
 
 
@@ -137,33 +147,29 @@ class _Features:
 
     def __init__(self, spark, sf_dir):
         self.spark = spark
-        self.td = td = TestData(spark, sf_dir)
-        self.cohort, self.lease_attrs = fe.cohort_tables(
-            td.lease_view, td.lease_period, td.dim_approval, td.fact_leasesum, td.dim_store,
-            PARAMS.scoring_as_of)
+        self.td = TestData(spark, sf_dir)
+
+    @cached_property
+    def _cohort(self):
+        td = self.td
+        return fe.cohort_tables(td.lease_view, td.lease_period, td.dim_approval, td.fact_leasesum,
+                                td.dim_store, PARAMS.scoring_as_of)
+
+    @property
+    def cohort(self):
+        return self._cohort[0]
+
+    @property
+    def lease_attrs(self):
+        return self._cohort[1]
 
     def risk_codes(self):
         td = self.td
         return rk.risk_codes(td.lease_view, td.fp_applicant, td.fp_risk_indicators)
 
-    def master(self, unpack_flags: bool = True):
-        td, la = self.td, self.lease_attrs
-        return fe.feature_master(
-            self.cohort, la,
-            fe.bank_top1(td.bank, la),
-            fe.cart_diversity(td.cart),
-            fe.card_sharing(td.bank, la),
-            fe.client_attributes(td.client_info, la),
-            fe.store_attributes(td.retail_stores, la),
-            fe.fp_attributes(td.fp_results, self.cohort),
-            fe.approval_amount(td.approval, self.cohort),
-            fe.payment_at_origination(la, td.bank),
-            fe.customer_zip_top1(td.address),
-            fe.store_inception(td.lease_view),
-            rk.risk_masks(self.risk_codes()),
-            td.zip_codes,
-            fe.online_approvals(td.decision_system),
-            unpack_flags=unpack_flags)
+    def master(self):
+        from riskflow.plans.batch import assemble
+        return assemble(self.td.table, self.cohort, self.lease_attrs)
 
     def bins(self):
         # flags travel packed in two longs through the joins and are unpacked once in
@@ -197,7 +203,7 @@ def q_bank_top1(spark, sf_dir):
 @register("card_sharing")
 def q_card_sharing(spark, sf_dir):
     f = _Features(spark, sf_dir)
-    return fe.card_sharing(f.td.bank, f.lease_attrs)
+    return fe.card_sharing(f.td.bank, f.lease_attrs, cutoff=1000)
 
 
 @register("store_attrs")
@@ -303,7 +309,7 @@ def q_score_explain(spark, sf_dir):
 
 
 def _graded(spark, sf_dir):
-    return sc.grade_all(_Features(spark, sf_dir).scores(), PARAMS.grade_from)
+    return sc.Grades(_Features(spark, sf_dir).scores(), PARAMS.grade_from)
 
 
 @register("scores_all")
@@ -313,32 +319,55 @@ def q_scores_all(spark, sf_dir):
 
 @register("store_grade")
 def q_store_grade(spark, sf_dir):
-    return rounded(_graded(spark, sf_dir)["stores"], 6)
+    return rounded(_graded(spark, sf_dir).stores, 6)
 
 
 @register("person_grade")
 def q_person_grade(spark, sf_dir):
-    return rounded(_graded(spark, sf_dir)["persons"], 6)
+    return rounded(_graded(spark, sf_dir).persons, 6)
 
 
 @register("final_scores")
 def q_final_scores(spark, sf_dir):
-    return rounded(_graded(spark, sf_dir)["final"], 6)
+    return rounded(_graded(spark, sf_dir).final, 6)
 
 
-# -------------------------------------------------------------------- ingest
-import uuid  # noqa: E402
+@register("scores_from_wide")
+def q_scores_from_wide(spark, sf_dir):
+    """scores_all with the weights loaded from the wide coefficient table."""
+    f = _Features(spark, sf_dir)
+    coefs = sc.load_wide_coefficients(sc.wide_testdata_coefficients(spark))
+    return rounded(sc.combined(sc.score(f.bins(), coefs)), 6)
+
+
+@register("score_batch")
+def q_score_batch(spark, sf_dir):
+    """The whole batch through the library entry point, published and read back."""
+    from riskflow.plans.batch import score_batch
+    path = scratch_folder(spark, "published-scores")
+    return rounded(score_batch(TestData(spark, sf_dir).table, sc.testdata_coefficients(spark), path, PARAMS.scoring_as_of,
+                               quintile_cutover=PARAMS.quintile_cutover, grade_from=PARAMS.grade_from), 6)
+
 
+@register("retry_report")
+def q_retry_report(spark, sf_dir):
+    """The retry report through the library entry point, published and read back."""
+    td, path = TestData(spark, sf_dir), scratch_folder(spark, "published-report")
+    return rounded(rc.publish_retry_report(
+        path, spark, td.dq_journal_events, td.card_attempts, td.dim_approval, td.fact_leasesum, td.dim_store, td.lease_view,
+        start=PARAMS.report_start, end=PARAMS.report_end, as_of=PARAMS.report_end, keep_from=PARAMS.report_keep_from))
+
+
+# -------------------------------------------------------------------- ingest
 from pyspark.sql import types as T  # noqa: E402
 
 from riskflow.plans import ingest as ig  # noqa: E402
-from riskflow.session import scratch_path  # noqa: E402
 
 
 @register("xml_codes")
 def q_xml_codes(spark, sf_dir):
     """Reports written as text files (one per line) to the shared scratch folder, then read back."""
-    path = scratch_path(spark, f"xml_reports/{uuid.uuid4().hex}")
+    path = scratch_folder(spark, "xml-reports")
     TestData(spark, sf_dir).xml_reports.select("doc").write.text(path)
     return ig.xml_codes(spark, path, one_per_file=False)
 
@@ -346,7 +375,6 @@ def q_xml_codes(spark, sf_dir):
 @register("xml_column_codes")
 def q_xml_column_codes(spark, sf_dir):
     """The XML column is a stored table in the source: write the generated one once."""
-    from riskflow.operators.materialize import materialize
     return ig.xml_column_codes(materialize(TestData(spark, sf_dir).xml_column, "xml1"))
 
 
@@ -356,7 +384,7 @@ SUPPLIER_TYPES = (T.LongType(), T.StringType(), T.IntegerType(), T.DoubleType())
 @register("combine_tsv")
 def q_combine_tsv(spark, sf_dir):
     """Supplier rows written as several headerless TSV parts, then combined by one scan."""
-    path = scratch_path(spark, f"tsv_parts/{uuid.uuid4().hex}")
+    path = scratch_folder(spark, "tsv-parts")
     sup = TestData(spark, sf_dir).supplier
     (sup.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
         .repartition(4).write.option("sep", "\t").option("header", "false").csv(path))

@@ -8,7 +8,7 @@ from riskflow.functions.dates import (  # noqa: F401
     as_date, day_diff, month_boundaries, year_boundaries, yyyymm,
 )
 from riskflow.functions.strings import (  # noqa: F401
-    ci_equal, is_blank, not_blank_or, pad_right2, prefixed,
+    folded, is_blank, not_blank_or, pad_right2, same_text, text_in,
 )
 from riskflow.functions.numeric import (  # noqa: F401
     clamp_upper, floor_zero, great_circle_miles, logistic, safe_ratio,

@@ -26,15 +26,22 @@ def not_blank_or(c, default: str) -> Column:
     return F.when(F.rtrim(c) != F.lit(""), c).otherwise(F.lit(default))
 
 
-def ci_equal(c, value: str) -> Column:
-    """Case-insensitive equality with a literal."""
-    return F.lower(_col(c)) == F.lit(value.lower())
+def folded(c) -> Column:
+    """What the source collation compares: case and trailing blanks do not count."""
+    return F.lower(F.rtrim(_col(c)))
+
+
+def same_text(c, other) -> Column:
+    """Equality of a column with a literal (str) or another column under the source collation."""
+    right = F.lit(other.rstrip(" ").lower()) if isinstance(other, str) else folded(other)
+    return folded(c) == right
+
+
+def text_in(c, values) -> Column:
+    """Membership in a list of literals under the source collation."""
+    return folded(c).isin(*[v.rstrip(" ").lower() for v in values])
 
 
 def pad_right2(c) -> Column:
     """``RIGHT('0' + c, 2)`` (NULL-propagating like ``+``)."""
     return F.right(F.concat(F.lit("0"), _col(c).cast("string")), F.lit(2))
-
-
-def prefixed(prefix: str, c) -> Column:
-    return F.concat(F.lit(prefix), _col(c))

@@ -3,9 +3,9 @@
 ``NTILE(n) OVER (PARTITION BY g ORDER BY x)`` as a window puts every row of a
 group in one task; with few groups (store types) that is one task for a third of
 all rows. Here the rows are globally range-sorted by (g, x, tie-breakers)
-across all partitions, each row gets its global position from per-partition
-counts (one small row per partition, broadcast), and the NTILE bucket follows
-from the position inside the group and the group size (one row per group):
+across all partitions, each row gets its position inside the group from the counts
+of the group's slices (one small row per partition and group), and the NTILE bucket
+follows from that position and the group size:
 
     q, r = divmod(size, n)
     bucket = pos // (q + 1) + 1                 if pos < r * (q + 1)
@@ -28,43 +28,37 @@ from riskflow.sources.codes import GRADE_LETTERS
 
 
 def distributed_ntile(df: DataFrame, n: int, group: Sequence[str], order: Sequence[Column],
-                      out: str = "ntile", checkpoint: bool = True) -> DataFrame:
+                      out: str = "ntile") -> DataFrame:
     """Add ``out`` = NTILE(n) over (PARTITION BY group ORDER BY order); order must be total."""
     sort = [F.col(g).asc_nulls_first() for g in group] + list(order)
     numbered = (df.orderBy(*sort)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_local", F.monotonically_increasing_id()))
-    numbered = numbered.withColumn(
-        "_local", F.col("_local") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    if checkpoint:
-        # positions are stored as columns, so the written table keeps them exactly
-        numbered = materialize(numbered, "ntile")
-    # one row per partition: its first global position
-    per_part = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = per_part.select(
-        "_pid",
-        (F.sum("_cnt").over(Window.orderBy("_pid")
-                            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-         - F.col("_cnt")).alias("_off"))
-    pos = numbered.join(F.broadcast(offsets), "_pid").withColumn(
-        "_gpos", F.col("_off") + F.col("_local"))
-    # one row per group: its first global position and its size
+    # positions are stored as columns, so the written table keeps them exactly
+    numbered = materialize(numbered.withColumn(
+        "_local", F.col("_local") - F.shiftleft(F.col("_pid").cast("long"), 33)), "ntile")
+    # One row per (partition, group): the group's slice of a sorted partition. Its rows
+    # before this partition and its size follow from these few rows, and the rows meet them
+    # on (partition, group), a key that no single group dominates.
     gkeys = [f"_g{i}" for i in range(len(group))]
-    gstats = (pos.groupBy(*[F.col(g).alias(k) for g, k in zip(group, gkeys)])
-              .agg(F.min("_gpos").alias("_gstart"), F.count(F.lit(1)).alias("_gsize")))
-    cond = None
+    slices = (numbered.groupBy("_pid", *[F.col(g).alias(k) for g, k in zip(group, gkeys)])
+              .agg(F.count(F.lit(1)).alias("_cnt"), F.min("_local").alias("_from")))
+    earlier = Window.partitionBy(*gkeys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(
+        F.col("_pid").alias("_p"), *gkeys, "_from",
+        F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_cnt").over(Window.partitionBy(*gkeys)).alias("_gsize"))
+    cond = F.col("_pid") == F.col("_p")
     for g, k in zip(group, gkeys):
-        c = F.col(g).eqNullSafe(F.col(k))
-        cond = c if cond is None else cond & c
-    j = pos.join(gstats, cond, "inner").drop(*gkeys)
-    p = F.col("_gpos") - F.col("_gstart")
+        cond = cond & F.col(g).eqNullSafe(F.col(k))
+    j = numbered.join(slices, cond, "inner").drop("_p", *gkeys)
+    p = F.col("_before") + F.col("_local") - F.col("_from")
     q = F.floor(F.col("_gsize") / n)
     r = F.col("_gsize") % n
     big = r * (q + 1)
     bucket = F.when(p < big, F.floor(p / (q + 1)) + 1).otherwise(
         F.floor((p - big) / F.nullif(q, F.lit(0))) + r + 1)
-    return (j.withColumn(out, bucket.cast("int"))
-             .drop("_pid", "_local", "_off", "_gpos", "_gstart", "_gsize"))
+    return j.withColumn(out, bucket.cast("int")).drop("_pid", "_local", "_from", "_before", "_gsize")
 
 
 def letter(bucket: Column, letters: Sequence[str] = GRADE_LETTERS) -> Column:

@@ -35,9 +35,12 @@ def explode_days(df: DataFrame, day_col: str, window_start, window_end,
     (which would otherwise count downwards).
     """
     ws, we = lit_date(window_start), lit_date(window_end)
+    # Plain predicates on the stored bounds first: a scan can prune by them.
     if closed == "right":
+        df = df.filter((F.col(start) < we) & (F.col(end) >= ws))
         lo, hi = F.date_add(F.col(start), 1), F.col(end)
     elif closed == "left":
+        df = df.filter((F.col(start) <= we) & (F.col(end) > ws))
         lo, hi = F.col(start), F.date_sub(F.col(end), 1)
     else:
         raise ValueError(closed)

@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from riskflow.functions.dates import day_diff, lit_date
 from riskflow.functions.numeric import safe_ratio
+from riskflow.functions.strings import same_text
 from riskflow.operators.dedup import not_in_keys, rows_with_duplicate_key
 from riskflow.operators.intervals import as_of_slice
-from riskflow.sources.sinks import append_unseen, replace_table
+from riskflow.sources.sinks import append_unseen, replace_table, table_exists
 
 # Journal descriptions of buyout payments.
 SETTLED = "Payment - Settled"
@@ -43,7 +44,7 @@ ROLLUP_COLUMNS = [
 
 
 def _client_buyouts(journal: DataFrame) -> DataFrame:
-    return journal.filter((F.col("buyoutpayment") == 1) & (F.col("entity") == "client"))
+    return journal.filter((F.col("buyoutpayment") == 1) & same_text("entity", "client"))
 
 
 def buyout_cohort(journal: DataFrame, min_date) -> DataFrame:
@@ -59,29 +60,34 @@ def buyout_cohort(journal: DataFrame, min_date) -> DataFrame:
 def buyout_rollup(journal: DataFrame, as_of, min_date) -> DataFrame:
     """Twelve conditional measures per lease of the cohort (cut = as_of - 7 days)."""
     cut = F.date_sub(lit_date(as_of), GRACE_DAYS)
-    d, desc = F.col("effectivedate"), F.col("acctdesc")
+    d = F.col("effectivedate")
     due = d <= cut
 
+    def is_(status):
+        return same_text("acctdesc", status)
+
     def count_if(cond):
         return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
 
     # rows are already buyout payments of the client entity; every group that
-    # passes the cohort test (first date > min_date) has all dates >= min_date,
-    # so the rollup's own date filter is implied and one aggregate does both.
-    return (_client_buyouts(journal)
+    # passes the cohort test (first date > min_date) has all its known dates >=
+    # min_date, so one aggregate does the cohort test and the rollup's date filter;
+    # only rows without a date are left to drop (the minimum skips them, the filter
+    # of the rollup does not keep them).
+    return (_client_buyouts(journal).filter(d.isNotNull())
             .groupBy("approvalbkey")
-            .agg(count_if(desc == SETTLED).alias("settled_buyouts"),
-                 count_if(due & (desc != CANCELLED)).alias("elligible_buyouts"),
+            .agg(count_if(is_(SETTLED)).alias("settled_buyouts"),
+                 count_if(due & ~is_(CANCELLED)).alias("elligible_buyouts"),
                  F.sum("buyoutpayment").cast("long").alias("total_buyouts_scheduled"),
-                 count_if((desc == CANCELLED) & due).alias("active_cancelled_buyouts"),
-                 count_if((desc == CANCELLED) & (d > cut)).alias("future_cancelled_buyouts"),
-                 count_if(due & (desc == RETURNED)).alias("missed_buyouts"),
+                 count_if(is_(CANCELLED) & due).alias("active_cancelled_buyouts"),
+                 count_if(is_(CANCELLED) & (d > cut)).alias("future_cancelled_buyouts"),
+                 count_if(due & is_(RETURNED)).alias("missed_buyouts"),
                  F.min(d).alias("first_buyout_scheduled"),
-                 count_if((desc == PENDING) & due).alias("active_pending_buyouts"),
-                 count_if((desc == PENDING) & (d > cut)).alias("future_pending_buyouts"),
+                 count_if(is_(PENDING) & due).alias("active_pending_buyouts"),
+                 count_if(is_(PENDING) & (d > cut)).alias("future_pending_buyouts"),
                  F.max(d).alias("last_buyout_scheduled"),
                  F.max(F.when(due, d)).alias("most_recent_elligible"),
-                 F.max(F.when(desc == SETTLED, d)).alias("most_recent_success"),
+                 F.max(F.when(is_(SETTLED), d)).alias("most_recent_success"),
                  F.min(d).alias("_first"))
             .filter(F.col("_first") > lit_date(min_date))
             .drop("_first"))
@@ -105,7 +111,7 @@ def collection_list(buyouts: DataFrame, dim_approval: DataFrame, lease_view: Dat
     today = lit_date(as_of)
     cut = F.date_sub(today, GRACE_DAYS)
     dq = (as_of_slice(dq_journal, as_of, closed="left")
-          .filter((F.col("balance") > 100) & (F.col("currentleasestatus") != "CHARGEOFF")
+          .filter((F.col("balance") > 100) & ~same_text("currentleasestatus", "CHARGEOFF")
                   & (day_diff("dpddate", today) > GRACE_DAYS))
           .select("approvalbkey", "totalpaid", "balance", "dpddate"))
     a = buyouts.filter((F.col("missed_buyouts") > 0)
@@ -164,14 +170,17 @@ def store_list(final_list: DataFrame, path: str, full_refresh: bool = False) ->
     if full_refresh:
         replace_table(final_list, path)
         return final_list.sparkSession.read.parquet(path).count()
-    try:
-        final_list.sparkSession.read.parquet(path).schema  # noqa: B018 - exists?
-    except Exception:  # noqa: BLE001 - first run creates the table
+    if not table_exists(final_list.sparkSession, path):
         replace_table(final_list, path)
         return final_list.sparkSession.read.parquet(path).count()
     return append_unseen(final_list, path, "approvalbkey")
 
 
+def stored_by_days(stored_list: DataFrame) -> DataFrame:
+    """Every row of the stored list, the least delinquent first."""
+    return stored_list.orderBy(F.col("dqdays").asc(), F.col("missed_buyouts").desc(), F.col("balance_owed").asc())
+
+
 def worklist(stored_list: DataFrame, by_added_date: bool = False) -> DataFrame:
     """Prioritised calls: cheap-to-collect leases, most urgent first."""
     roi, dq = F.col("roi"), F.col("dqdays")

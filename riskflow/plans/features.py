@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from riskflow.functions.dates import lit_date, month_boundaries, year_boundaries, yyyymm
 from riskflow.functions.numeric import great_circle_miles, safe_ratio
-from riskflow.functions.strings import is_blank, not_blank_or, pad_right2
+from riskflow.functions.strings import folded, is_blank, not_blank_or, pad_right2, same_text, text_in
 from riskflow.operators.binning import capped_levels, range_bins
 from riskflow.operators.dedup import top1_per_key
 from riskflow.operators.materialize import materialize
@@ -26,8 +26,6 @@ from riskflow.sources.codes import NO_CODE, ONLINE_STORE_NUMBERS, RISK_CODES, RI
 
 # A lease counts as seasoned after this many days.
 SEASONED_DAYS = 150
-# Cards shared by this many clients or more are placeholders.
-CARD_SHARING_CUTOFF = 1000
 # Lease cost above amount by more than this sets add_flag.
 ADD_ON_MARGIN = 100
 
@@ -63,8 +61,9 @@ def single_lease_cohort(lease_view: DataFrame, lease_period: DataFrame,
                      .alias("seasoned_lease")))
 
 
+# Output column names.
 LEASE_ATTR_COLUMNS = ["leaseid", "clientid", "approvalid", "storeid", "clientstatus",
-                      "monthlyincome", "clientaddeddate", "leaseaddeddate", "leasecost",
+                      "monthlyincome", "clientaddeddate", "latestfrauddate", "leaseaddeddate", "leasecost",
                       "leaseamount", "paymentfrequency"]
 
 
@@ -75,20 +74,17 @@ def lease_attributes(lease_view: DataFrame, cohort: DataFrame) -> DataFrame:
 def cohort_tables(lease_view: DataFrame, lease_period: DataFrame, dim_approval: DataFrame,
                   fact_leasesum: DataFrame, dim_store: DataFrame, as_of
                   ) -> tuple[DataFrame, DataFrame]:
-    """(cohort, lease attributes), computed by one plan and materialised once.
+    """(cohort, lease attributes), each materialised once.
 
     Every attribute table filters on the cohort's approval, client or store keys,
-    and the assembly joins onto it; materialising it keeps the lease table from
-    being re-scanned and re-aggregated in each of those branches.
+    and the assembly joins onto it; materialising keeps the lease table from being
+    re-scanned and re-aggregated in each of those branches. The attributes are the lease
+    rows whose key is in the cohort: a lease that the cohort holds twice (two period rows)
+    has its attributes once.
     """
-    cohort = single_lease_cohort(lease_view, lease_period, dim_approval, fact_leasesum,
-                                 dim_store, as_of)
-    lv = lease_view.select(*[F.col(c).alias("_lv_" + c) for c in LEASE_ATTR_COLUMNS])
-    both = materialize(cohort.join(lv, cohort["approvalid"] == lv["_lv_approvalid"], "inner"))
-    lease_attrs = both.select(*[F.col("_lv_" + c).alias(c) for c in LEASE_ATTR_COLUMNS])
-    cohort_cols = ["approvalid", "totalpaymentsmade", "clientid", "firstrentpayment",
-                   "storetype", "origination_date", "fraud", "seasoned_lease"]
-    return both.select(*cohort_cols), lease_attrs
+    cohort = materialize(single_lease_cohort(lease_view, lease_period, dim_approval, fact_leasesum,
+                                             dim_store, as_of), "cohort")
+    return cohort, materialize(lease_attributes(lease_view, cohort), "lease-attributes")
 
 
 # ------------------------------------------------------------------- P03 - P08
@@ -96,16 +92,19 @@ def bank_top1(bank: DataFrame, lease_attrs: DataFrame) -> DataFrame:
     """One active payment record per client: latest first, then the other columns."""
     b = _in_keys(bank.filter(F.col("active") == 1), "clientid", lease_attrs, "clientid")
     order = [("ts", "desc"), ("primarypaymentmethod", "asc"), ("cardnumbertoken", "asc"),
-             ("expdate", "asc"), ("active", "asc")]
+             ("expdate", "asc"), ("active", "asc"), ("accounttype", "asc"), ("debitorcredit", "asc"),
+             ("routingnumber", "asc"), ("cardname", "asc")]
     return top1_per_key(b, ["clientid"], order)
 
 
-def card_sharing(bank: DataFrame, lease_attrs: DataFrame) -> DataFrame:
-    """Number of distinct clients per card token (tokens shared by 1000+ are dropped)."""
+def card_sharing(bank: DataFrame, lease_attrs: DataFrame, cutoff: int | None = None) -> DataFrame:
+    """Number of distinct clients per card token; with ``cutoff``, tokens shared by so many
+    clients or more (placeholders) are left out."""
     b = _in_keys(bank, "clientid", lease_attrs, "clientid")
-    return (b.groupBy("cardnumbertoken")
-             .agg(F.count_distinct("clientid").alias("card_appear_number"))
-             .filter(F.col("card_appear_number") < CARD_SHARING_CUTOFF)
+    counts = b.groupBy("cardnumbertoken").agg(F.count_distinct("clientid").alias("card_appear_number"))
+    if cutoff is not None:
+        counts = counts.filter(F.col("card_appear_number") < cutoff)
+    return (counts
              .select("card_appear_number", F.col("cardnumbertoken").alias("cardnumber")))
 
 
@@ -135,7 +134,8 @@ def client_attributes(client_info: DataFrame, lease_attrs: DataFrame) -> DataFra
          .join(lv, F.col("clientid") == F.col("_cid"), "left"))
     return c.select("clientid", "driverslicense", "driverslicensestate", "dob",
                     year_boundaries("dob", "leaseaddeddate").alias("age"),
-                    "firstname", "idtype", "languagepreference", "license_appear_number")
+                    "firstname", "lastname", "ipaddress", "ts", "idtype", "languagepreference",
+                    "license_appear_number")
 
 
 def fp_attributes(fp_results: DataFrame, cohort: DataFrame) -> DataFrame:
@@ -162,12 +162,12 @@ def approval_amount(approval: DataFrame, cohort: DataFrame) -> DataFrame:
 def payment_at_origination(lease_attrs: DataFrame, bank: DataFrame) -> DataFrame:
     """ACH and card payment records dated on the lease date, per client."""
     same_day = F.to_date("leaseaddeddate") == F.to_date("ts")
-    m = F.col("primarypaymentmethod")
+    m = "primarypaymentmethod"
     j = lease_attrs.select("clientid", "leaseaddeddate").join(
         bank.select("clientid", "primarypaymentmethod", "ts"), "clientid", "left")
     return j.groupBy("clientid").agg(
-        F.sum(F.when((m == "ACH") & same_day, 1).otherwise(0)).cast("long").alias("ach_orig"),
-        F.sum(F.when((m == "CreditCard") & same_day, 1).otherwise(0)).cast("long")
+        F.sum(F.when(same_text(m, "ACH") & same_day, 1).otherwise(0)).cast("long").alias("ach_orig"),
+        F.sum(F.when(same_text(m, "CreditCard") & same_day, 1).otherwise(0)).cast("long")
          .alias("cc_orig"))
 
 
@@ -195,16 +195,13 @@ def online_approvals(decision_system: DataFrame) -> DataFrame:
 
 
 def feature_master(cohort, lease_attrs, bank1, cart, cards, clients, stores, fp, approval,
-                   pay_orig, zips, inception, risk, zip_codes, online,
-                   unpack_flags: bool = True) -> DataFrame:
+                   pay_orig, zips, inception, risk, zip_codes, online) -> DataFrame:
     """Join every attribute table onto the cohort (one row per cohort lease).
 
-    ``risk`` is the packed risk-code table (``risk_codes.risk_masks``). With
-    ``unpack_flags`` the 71 flag columns are produced at the end; without it the
-    two mask longs are kept (scoring reads flags straight from them), so the
-    joined row stays narrow through every join.
+    ``risk`` is the packed risk-code table (``risk_codes.risk_masks``): two longs go
+    through the joins, and the 71 flag columns are produced at the end.
     """
-    from riskflow.plans.risk_codes import RISK_MASKS, risk_flag_exprs
+    from riskflow.plans.risk_codes import risk_flag_exprs
     ll = cohort.select("approvalid", "origination_date", "storetype", "fraud", "seasoned_lease")
     la = lease_attrs.withColumnRenamed("approvalid", "_la_id")
     # approval-keyed lookups
@@ -217,7 +214,7 @@ def feature_master(cohort, lease_attrs, bank1, cart, cards, clients, stores, fp,
     # client-keyed lookups
     j = (j.join(bank1.drop("active", "ts").withColumnRenamed("clientid", "_b_cid"),
                 F.col("clientid") == F.col("_b_cid"), "left")
-         .join(clients.withColumnRenamed("clientid", "_c_cid"),
+         .join(clients.drop("dob", "ts").withColumnRenamed("clientid", "_c_cid"),
                F.col("clientid") == F.col("_c_cid"), "left")
          .join(pay_orig.withColumnRenamed("clientid", "_p_cid"),
                F.col("clientid") == F.col("_p_cid"), "left")
@@ -237,16 +234,16 @@ def feature_master(cohort, lease_attrs, bank1, cart, cards, clients, stores, fp,
          .join(geo_c, F.col("customer_zip") == F.col("_gc_zip"), "left")
          .join(geo_s, F.col("zip") == F.col("_gs_zip"), "left"))
     exprs = risk_flag_exprs()
-    if unpack_flags:
-        flags = [F.expr(f"{exprs[c]} AS `{c}`") for c in RISK_FLAG_COLUMNS]
-    else:
-        flags = [F.col(m) for m in RISK_MASKS]
+    flags = [F.expr(f"{exprs[c]} AS `{c}`") for c in RISK_FLAG_COLUMNS]
     return j.select(
         F.coalesce(F.col("_mc_v2_z_sum"), F.lit(1)).alias("_mc_v2_z_sum"),
         "origination_date", "storetype", "fraud", "seasoned_lease",
         "leaseid", "clientid", "approvalid", "storeid", "clientstatus", "monthlyincome",
+        "clientaddeddate", "latestfrauddate",
         "leaseaddeddate", "leasecost", "leaseamount", "paymentfrequency",
         "primarypaymentmethod", "cardnumbertoken", "expdate",
+        "accounttype", "debitorcredit", "routingnumber", "cardname",
+        "ipaddress", "driverslicense", "firstname", "lastname",
         "distinct_sku_count", "sku_count", "sku_ratio", "sku_dif", "card_appear_number",
         "driverslicensestate", "age", "idtype", "languagepreference", "license_appear_number",
         "zip", "zipgroup1", "state", "city",
@@ -257,7 +254,7 @@ def feature_master(cohort, lease_attrs, bank1, cart, cards, clients, stores, fp,
         F.expr(exprs[NONE_FLAG]).alias(NONE_FLAG),
         month_boundaries("st_inception_date", "leaseaddeddate").alias("storeage"),
         F.month("origination_date").alias("seasonality"),
-        F.when(F.col("driverslicensestate") != F.col("state"), 1).otherwise(0)
+        F.when(folded("driverslicensestate") != folded("state"), 1).otherwise(0)
          .alias("state_flag"),
         F.when(F.col("_online_id").isNotNull(), 1).otherwise(0).alias("online"),
         F.when(F.col("leasecost") - F.col("leaseamount") > ADD_ON_MARGIN, 1).otherwise(0)
@@ -286,6 +283,7 @@ DISTANCE_BINS = ((None, 25, 1), (26, 50, 2), (51, 75, 3), (76, 100, 4), (101, 50
                  (501, None, 6))
 DISTANCE_ELSE = 7
 
+# Names of the model inputs.
 BIN_COLUMNS = [
     "_my_fraud", "_mc_online", "_m_monthlyincome_1", "_mc_add_flag", "_mc_paymentfrequency",
     "_mc_seasonality", "_mc_state_flag", "_mc_zipgroup1", "_m_age_1", "_m_ltc_1",
@@ -337,7 +335,7 @@ def bin_features(master: DataFrame, quintile_cutover=QUINTILE_CUTOVER) -> DataFr
             c("primarypaymentmethod")).otherwise(F.lit("CreditCard")),
         "_mc_card_appear_number": capped_levels(c("card_appear_number"), [1, 2], 3,
                                                 null_level=0, default=0),
-        "_mc_storetype": F.when(c("storetype").isin("FLS", "AUTO"), F.lit("FLSAUTO"))
+        "_mc_storetype": F.when(text_in("storetype", ("FLS", "AUTO")), F.lit("FLSAUTO"))
                           .otherwise(c("storetype")),
         "_mc_sku_dif": F.when((c("sku_dif") == 0) | c("sku_dif").isNull(), 0)
                         .when(c("sku_dif") == 1, 1).when(c("sku_dif") >= 2, 2),

@@ -9,15 +9,14 @@ from riskflow.sources.delimited import read_delimited
 from riskflow.sources.sinks import write_csv
 from riskflow.sources.xmldocs import read_documents, shred
 
-# Element names of the credit report, and the code column width.
+# Element names of the credit report.
 CODE_ELEMENT = "code"
 ID_ELEMENT = "userRefNumber"
 REPORT_ROOT = "creditBureau"
-CODE_WIDTH = 32
 
 
 def xml_codes(spark: SparkSession, path: str, one_per_file: bool = True,
-              engine: str = "auto") -> DataFrame:
+              engine: str = "xpath") -> DataFrame:
     """Every ``code`` of every report with the report's first ``userRefNumber``.
 
     A report with a single code keeps it; the namespace is whatever each file
@@ -29,10 +28,14 @@ def xml_codes(spark: SparkSession, path: str, one_per_file: bool = True,
 
 
 def xml_column_codes(table: DataFrame, xml_col: str = "testxml", id_col: str = "id",
-                     root: str = REPORT_ROOT, engine: str = "auto") -> DataFrame:
-    """Codes under the document root of an XML column, one row per code, with the row id."""
+                     root: str = REPORT_ROOT, width: int | None = None,
+                     engine: str = "xpath") -> DataFrame:
+    """Codes under the document root of an XML column, one row per code, with the row id.
+
+    Codes are kept whole; ``width`` cuts them to a stored column's width.
+    """
     out = shred(table, xml_col, CODE_ELEMENT, "code", root=root, keep=(id_col,), engine=engine)
-    return out.select(F.substring("code", 1, CODE_WIDTH).alias("code"), id_col)
+    return out.select((F.substring("code", 1, width) if width else F.col("code")).alias("code"), id_col)
 
 
 def combine_delimited(spark: SparkSession, path: str, types, sep: str = "\t") -> DataFrame:

@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 
 from riskflow.functions.dates import day_diff, lit_date, month_boundaries, yyyymm
 from riskflow.functions.numeric import floor_zero
-from riskflow.functions.strings import is_blank
+from riskflow.functions.strings import is_blank, same_text, text_in
 from riskflow.operators.intervals import calendar, explode_days
+from riskflow.operators.materialize import materialize
 from riskflow.operators.running import running_window, whole_partition
 from riskflow.sources.codes import DQ_STATUSES
+from riskflow.sources.sinks import replace_table
 
 # Cost per retry attempt by processing step and outcome, and the
 # number of card transactions each step makes.
@@ -58,19 +60,30 @@ def _store_type(dim_approval: DataFrame, fact_leasesum: DataFrame, dim_store: Da
 
 def balance_by_day(spark: SparkSession, dq_journal: DataFrame, dim_approval: DataFrame,
                    fact_leasesum: DataFrame, dim_store: DataFrame, lease_view: DataFrame,
-                   start, end, as_of) -> DataFrame:
-    """Delinquent balance per calendar day and account, with empty days kept."""
+                   start, end, as_of, days_table: DataFrame | None = None) -> DataFrame:
+    """Delinquent balance per calendar day and account, with empty days kept.
+
+    ``days_table`` (caldate) is the calendar to report on; without one, every day counts.
+    """
     j = (dq_journal
-         .filter(F.col("currentleasestatus").isin(*DQ_STATUSES) & F.col("dpddate").isNotNull())
+         .filter(text_in("currentleasestatus", DQ_STATUSES) & F.col("dpddate").isNotNull())
          .select("approvalbkey", "currentdate", "nextdate", "dpddate", "balance",
                  "currentleasestatus"))
-    # dimension lookups before the day expansion (1 row per interval, not per day)
-    j = j.join(_store_type(dim_approval, fact_leasesum, dim_store), "approvalbkey", "left")
+    # dimension lookups before the day expansion (1 row per interval, not per day); the
+    # approval and the store are both looked up by the journal's own key, so an account
+    # without an approval keeps its store type
+    store = (fact_leasesum.select("approvalbkey", "storebkey")
+             .join(dim_store.select("storebkey", "storetype"), "storebkey", "left").drop("storebkey"))
+    j = (j.join(dim_approval.select("approvalbkey", "approvalid"), "approvalbkey", "left")
+          .join(store, "approvalbkey", "left"))
     days = explode_days(j, "caldate", start, end, closed="right")
-    b = (days.groupBy("caldate", "dpddate", "storetype", "approvalbkey", "approvalid")
-             .agg(F.sum("balance").alias("balance"),
-                  F.max("currentleasestatus").alias("currentleasestatus")))
-    cal = calendar(spark, start, end)
+    # read twice below (rows, and the days that have any): written once
+    b = materialize(days.groupBy("caldate", "dpddate", "storetype", "approvalbkey", "approvalid")
+                    .agg(F.sum("balance").alias("balance"),
+                         F.max("currentleasestatus").alias("currentleasestatus")), "balance-by-day")
+    cal = calendar(spark, start, end) if days_table is None else days_table.filter(
+        F.col("caldate").between(lit_date(start), lit_date(end)))
+    b = b.join(cal.select("caldate").distinct(), "caldate", "left_semi") if days_table is not None else b
     empty_days = cal.join(b.select("caldate").distinct(), "caldate", "left_anti")
     rows = (b.withColumn("dq_date", F.col("caldate"))
              .unionByName(empty_days.drop("weekdaylong"), allowMissingColumns=True))
@@ -95,15 +108,19 @@ def balance_by_day(spark: SparkSession, dq_journal: DataFrame, dim_approval: Dat
 def retry_cost(card_attempts: DataFrame, dim_approval: DataFrame, fact_leasesum: DataFrame,
                dim_store: DataFrame, start, end) -> DataFrame:
     """Cost, collected amount and card transactions per retry attempt."""
-    desc, ok = F.col("cardprocessingdescription"), F.col("paymentsuccessful")
-    cost = F.when(desc == "Authorize", F.lit(AUTH_COST))
+    ok = F.col("paymentsuccessful")
+
+    def step_is(step):
+        return same_text("cardprocessingdescription", step)
+
+    cost = F.when(step_is("Authorize"), F.lit(AUTH_COST))
     for step, (fail, success) in STEP_COST.items():
-        cost = (cost.when((desc == step) & (ok == 0), F.lit(fail))
-                    .when((desc == step) & (ok == 1), F.lit(success)))
+        cost = (cost.when(step_is(step) & (ok == 0), F.lit(fail))
+                    .when(step_is(step) & (ok == 1), F.lit(success)))
     cost = cost.otherwise(F.lit(0.0))
-    tran = F.when(desc == "Authorize", 1)
+    tran = F.when(step_is("Authorize"), 1)
     for step, n in list(TRAN_COUNT.items())[1:]:
-        tran = tran.when(desc == step, n)
+        tran = tran.when(step_is(step), n)
     tran = tran.otherwise(0)
     day = F.to_date("ts")
     attempts = card_attempts.filter(day.between(lit_date(start), lit_date(end)))
@@ -158,7 +175,8 @@ def retry_master(by_day: DataFrame, daily: DataFrame) -> DataFrame:
 
 # total order inside an account: the date, then every column that can differ
 # between two rows of one account-day
-_TIE = ["storetype", "dpddate", "approvalid", "caldate", "blitz_date", "dq_bal"]
+_TIE = ["storetype", "dpddate", "approvalid", "caldate", "blitz_date", "dq_bal", "leaseaddeddate",
+        "blitz_cost", "tran_count", "blitz_payment", "success_count", "card_count"]
 
 
 def _order():
@@ -205,13 +223,19 @@ def retry_segments(running: DataFrame, keep_from=None) -> DataFrame:
     return out
 
 
-def blitz_by_day(spark, dq_journal, card_attempts, dim_approval, fact_leasesum, dim_store,
-                 lease_view, start, end, as_of, keep_from=None) -> DataFrame:
+def retry_report(spark, dq_journal, card_attempts, dim_approval, fact_leasesum, dim_store,
+                 lease_view, start, end, as_of, keep_from=None, days_table=None) -> DataFrame:
     """The whole report: balance by day x retry cost with running and segment totals."""
     by_day = balance_by_day(spark, dq_journal, dim_approval, fact_leasesum, dim_store,
-                            lease_view, start, end, as_of)
+                            lease_view, start, end, as_of, days_table)
     daily = retry_daily(retry_cost(card_attempts, dim_approval, fact_leasesum, dim_store,
                                    start, end))
     running = retry_running(retry_master(by_day, daily), as_of)
     return retry_segments(running, keep_from)
 
+
+def publish_retry_report(path: str, *tables, **options) -> DataFrame:
+    """Write the report as a stored table (replacing the last one) and read it back."""
+    replace_table(retry_report(*tables, **options), path)
+    return tables[0].read.parquet(path)
+

@@ -2,14 +2,15 @@
 
 One pass scores every lease: ``CASE WHEN storetype = 'CORE' THEN core ELSE
 noncore`` with all weights as literals (see ``operators.scoring``). Only the
-~50 input columns of the models are kept before scoring, so the projection
-stays inside whole-stage codegen. Grades use the distributed NTILE of
+models' inputs (71 flags and 21 other columns) are kept before scoring, so the
+projection stays inside whole-stage codegen. Grades use the distributed NTILE of
 ``operators.grading``.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +19,13 @@ from riskflow.functions.numeric import logistic
 from riskflow.operators.grading import distributed_ntile, letter
 from riskflow.operators.materialize import materialize
 from riskflow.operators.scoring import (
-    ZERO, Model, Term, coefficient_maps, contributions, linear_sql, routed_sql,
+    ZERO, Model, Term, coefficient_maps, coefficient_names, contributions, linear_sql, model_inputs, routed_sql,
+    unpivot_coefficients,
 )
 from riskflow.sources.codes import NO_CODE, RISK_CODES, RISK_PREFIX
 
 CORE, NONCORE = "CORE_MODEL", "NONCORE_MODEL"
+IS_CORE, NOT_CORE = "lower(rtrim(storetype)) = 'core'", "lower(rtrim(storetype)) <> 'core'"
 GRADE_FROM = _dt.date(2015, 1, 1)
 
 
@@ -45,7 +48,7 @@ def _common_tail(idtypes) -> list[Term]:
     return [
         Term("sku_dif", "_mc_sku_dif", levels=_levels(range(2))),
         Term("languagepreference", "_mc_languagepreference", levels=_levels(range(4))),
-        Term("idtype", "_mc_idtype", levels=tuple((v, v) for v in idtypes), ci=True),
+        Term("idtype", "_mc_idtype", levels=tuple((v, v) for v in idtypes)),
         Term("quintile", "_mcfp_quintile", levels=_levels(range(1, 5))),
         Term("cc_orig", "_mc_cc_orig", levels=_levels(range(2))),
         Term("nas", "_mc_nas", levels=tuple((f"{i:02d}", f"{i:02d}") for i in range(13))),
@@ -116,8 +119,8 @@ def testdata_coefficient_rows() -> list[tuple[str, str, str, float | None]]:
 
     The source keeps fitted weights in a warehouse table; the testdata has
     none, so weights are generated by a fixed rule. Slopes are scaled to the
-    size of their inputs. One level (core 'Green Card') is left without a weight
-    to keep the missing-weight path (NULL score) exercised.
+    size of their inputs. One level (core 'Green Card') is left without a weight: a
+    lease with it has a NULL score.
     """
     rows = {}
     for m in (core_model(), noncore_model()):
@@ -143,20 +146,22 @@ def testdata_coefficients(spark) -> DataFrame:
                                  "model string, feature string, level string, weight double")
 
 
-SCORE_KEYS = ["approvalid", "storetype", "leaseaddeddate", "storeid"]
+def wide_testdata_coefficients(spark) -> DataFrame:
+    """The same weights in the wide form, one row per model and one column per weight."""
+    weights = {(m, f, lv): w for m, f, lv, w in testdata_coefficient_rows()}
+    models = (core_model(), noncore_model())
+    names = sorted({n for m in models for n in coefficient_names(m)})
+    rows = [(m.name, *[weights.get((m.name, *coefficient_names(m)[n])) if n in coefficient_names(m) else None for n in names])
+            for m in models]
+    return spark.createDataFrame(rows, "model string, " + ", ".join(f"`{n}` double" for n in names))
+
 
+def load_wide_coefficients(wide: DataFrame, name_col: str = "model") -> DataFrame:
+    """The stored wide coefficient table of both models in the long form that scoring reads."""
+    return unpivot_coefficients(wide, (core_model(), noncore_model()), name_col)
 
-def _inputs(bins: DataFrame, models) -> tuple[list[str], dict[str, str]]:
-    """Columns the models read, and flag expressions to inline from packed masks."""
-    from riskflow.plans.risk_codes import RISK_MASKS, risk_flag_exprs
-    needed = set()
-    for m in models:
-        needed |= set(m.columns())
-    inline = {}
-    if RISK_MASKS[0] in bins.columns:
-        inline = {c: e for c, e in risk_flag_exprs().items() if c not in bins.columns}
-        needed = (needed - set(inline)) | set(RISK_MASKS)
-    return sorted(needed), inline
+
+SCORE_KEYS = ["approvalid", "storetype", "leaseaddeddate", "storeid"]
 
 
 def score(bins: DataFrame, coefs: DataFrame) -> DataFrame:
@@ -164,12 +169,11 @@ def score(bins: DataFrame, coefs: DataFrame) -> DataFrame:
     core, non = core_model(), noncore_model()
     maps = coefficient_maps(coefs, [CORE, NONCORE])
     wc, wn = maps[CORE], maps[NONCORE]
-    inputs, inline = _inputs(bins, (core, non))
     st = F.col("storetype")
-    lin = F.expr(routed_sql([("storetype = 'CORE'", linear_sql(core, wc, inline)),
-                             ("storetype <> 'CORE'", linear_sql(non, wn, inline))]))
+    lin = F.expr(routed_sql([(IS_CORE, linear_sql(core, wc)),
+                             (NOT_CORE, linear_sql(non, wn))]))
     return (bins.filter(st.isNotNull())
-            .select(*SCORE_KEYS, *inputs)
+            .select(*SCORE_KEYS, *model_inputs((core, non)))
             .select("approvalid", "storetype", F.to_date("leaseaddeddate").alias("leaseaddeddate"),
                     "storeid", lin.alias("score_linear"))
             .withColumn("probability", logistic("score_linear")))
@@ -180,8 +184,7 @@ def explain(bins: DataFrame, coefs: DataFrame) -> DataFrame:
     core, non = core_model(), noncore_model()
     maps = coefficient_maps(coefs, [CORE, NONCORE])
     wc, wn = maps[CORE], maps[NONCORE]
-    inputs, inline = _inputs(bins, (core, non))
-    cc, cn = contributions(core, wc, inputs=inline), contributions(non, wn, inputs=inline)
+    cc, cn = contributions(core, wc), contributions(non, wn)
     names = list(dict.fromkeys(list(cc) + list(cn)))
     st = F.col("storetype")
     # flag terms: read the flag once and pick the model's weight (keeps the generated
@@ -192,16 +195,16 @@ def explain(bins: DataFrame, coefs: DataFrame) -> DataFrame:
     for n in names:
         a, b = tc.get(n), tn.get(n)
         if a is not None and b is not None and a.kind == b.kind == "flag" and a.column == b.column:
-            col = f"({inline[a.column]})" if a.column in inline else f"`{a.column}`"
+            col = f"`{a.column}`"
             wa = wc.get((a.coef_feature or a.name, ""))
             wb = wn.get((b.coef_feature or b.name, ""))
-            w = (f"CASE WHEN storetype = 'CORE' THEN {0.0 if wa is None else float(wa)!r}D "
-                 f"WHEN storetype <> 'CORE' THEN {0.0 if wb is None else float(wb)!r}D END")
+            w = (f"CASE WHEN {IS_CORE} THEN {0.0 if wa is None else float(wa)!r}D "
+                 f"WHEN {NOT_CORE} THEN {0.0 if wb is None else float(wb)!r}D END")
             cols[n] = F.expr(f"coalesce(CAST({col} AS DOUBLE), 0D) * {w}")
         else:
-            cols[n] = F.expr(routed_sql([("storetype = 'CORE'", cc.get(n, "0D")),
-                                         ("storetype <> 'CORE'", cn.get(n, "0D"))]))
-    return (bins.filter(st.isNotNull()).select("approvalid", "storetype", *inputs)
+            cols[n] = F.expr(routed_sql([(IS_CORE, cc.get(n, "0D")),
+                                         (NOT_CORE, cn.get(n, "0D"))]))
+    return (bins.filter(st.isNotNull()).select("approvalid", "storetype", *model_inputs((core, non)))
             .select("approvalid", "storetype", *[c.alias(n) for n, c in cols.items()]))
 
 
@@ -211,17 +214,31 @@ def combined(scores: DataFrame) -> DataFrame:
                          "storeid").distinct()
 
 
-def grade_all(scores: DataFrame, grade_from=GRADE_FROM) -> dict[str, DataFrame]:
-    """Combined scores, store grades, person grades and the final table.
+class Grades:
+    """Combined scores, store grades, person grades and the final table, each made when asked for.
 
-    The combined scores are read by all three steps, so they are materialised
+    The combined scores are read by all the others, so they are materialised
     once (the whole feature and scoring plan runs once).
     """
-    prep = materialize(combined(scores))
-    stores = store_grade(prep, grade_from)
-    persons = person_grade(prep, stores, grade_from)
-    return {"prep": prep, "stores": stores, "persons": persons,
-            "final": final_scores(prep, persons)}
+
+    def __init__(self, scores: DataFrame, grade_from=GRADE_FROM):
+        self._scores, self._from = scores, grade_from
+
+    @cached_property
+    def prep(self) -> DataFrame:
+        return materialize(combined(self._scores), "scores")
+
+    @cached_property
+    def stores(self) -> DataFrame:
+        return store_grade(self.prep, self._from)
+
+    @cached_property
+    def persons(self) -> DataFrame:
+        return person_grade(self.prep, self.stores, self._from)
+
+    @cached_property
+    def final(self) -> DataFrame:
+        return final_scores(self.prep, self.persons)
 
 
 def store_grade(prep: DataFrame, grade_from=GRADE_FROM) -> DataFrame:

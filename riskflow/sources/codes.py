@@ -1,12 +1,13 @@
 """Fixed value sets of the risk-code domain."""
 
-# The 70 third-party risk codes the models carry a weight for,
-# in the order the source catalogue lists them.
+# The 70 third-party risk codes the models carry a weight for, sorted.
 RISK_CODES = (
-    "02 03 04 06 07 08 09 10 11 12 14 15 16 19 25 26 27 28 29 30 31 34 37 38 40 44 48 49 "
-    "50 51 52 64 66 71 72 73 74 75 76 80 82 85 89 90 9D 9K BO CA CL CO CZ DI FQ FV IS IT "
-    "MI MN MO MS NB NF PA PO RS SD SR VA WL ZI"
-).split()
+    "02", "03", "04", "06", "07", "08", "09", "10", "11", "12", "14", "15", "16", "19",
+    "25", "26", "27", "28", "29", "30", "31", "34", "37", "38", "40", "44", "48", "49",
+    "50", "51", "52", "64", "66", "71", "72", "73", "74", "75", "76", "80", "82", "85",
+    "89", "90", "9D", "9K", "BO", "CA", "CL", "CO", "CZ", "DI", "FQ", "FV", "IS", "IT",
+    "MI", "MN", "MO", "MS", "NB", "NF", "PA", "PO", "RS", "SD", "SR", "VA", "WL", "ZI",
+)
 
 # The synthetic code for an applicant with no risk code.
 NO_CODE = "NONE"

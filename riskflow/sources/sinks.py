@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 from riskflow.operators.dedup import not_in_keys
+from riskflow.operators.materialize import delete_folder
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Does the folder hold any data file? Only its absence means a first run: a table that is
+    there but cannot be read must raise where it is read, never be taken for an absent one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return False
+    files = store.listFiles(folder, True)
+    while files.hasNext():
+        if not files.next().getPath().getName().startswith(("_", ".")):
+            return True
+    return False
 
 
 def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -26,11 +43,15 @@ def append_unseen(df: DataFrame, path: str, key: str) -> int:
     spark = df.sparkSession
     stored = spark.read.parquet(path)
     fresh = not_in_keys(df, key, stored)
-    staging = path.rstrip("/") + "._staging"
-    fresh.write.mode("overwrite").parquet(staging)
-    staged = spark.read.parquet(staging)
-    staged.write.mode("append").parquet(path)
-    return staged.count()
+    staging = f"{path.rstrip('/')}._staging_{uuid.uuid4().hex}"
+    try:
+        fresh.write.parquet(staging)
+        staged = spark.read.schema(fresh.schema).parquet(staging)
+        number = staged.count()
+        staged.write.mode("append").parquet(path)
+    finally:
+        delete_folder(spark, staging)
+    return number
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = True) -> None:

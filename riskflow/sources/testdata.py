@@ -10,7 +10,7 @@ subset of SQL that both Spark and DuckDB run unchanged; table references are
   global temp views are registered);
 * for the DuckDB oracle the same text becomes a ``WITH`` clause (``oracle_with``).
 
-The views are plain projections, joins and windows over whole tables, so their
+The views are plain projections, joins, unions and windows over whole tables, so their
 cost grows linearly with the data. Parameters that the source queries take from
 the wall clock (``GETDATE()``) are in ``PARAMS``; dates are never edited in data.
 """
@@ -18,7 +18,7 @@ the wall clock (``GETDATE()``) are in ``PARAMS``; dates are never edited in data
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +39,15 @@ SELECT {_CLIENT} AS clientid,
        CAST((o_custkey + r.n * 7) % 400 AS STRING) AS cardnumbertoken,
        CAST(1 + (o_orderkey + r.n) % 12 AS STRING) AS expdate,
        CASE WHEN (o_orderkey + r.n) % 5 = 0 THEN 0 ELSE 1 END AS active,
-       CAST(o_orderdate AS DATE) + CAST((o_orderkey % 3) * r.n AS INT) AS ts
+       CAST(o_orderdate AS DATE) + CAST((o_orderkey % 3) * r.n AS INT) AS ts,
+       CASE WHEN o_custkey % 4 = 0 THEN 'Savings' ELSE 'Checking' END AS accounttype,
+       CASE WHEN (o_orderkey + r.n) % 3 = 0 THEN 'Credit' ELSE 'Debit' END AS debitorcredit,
+       CAST(100000 + o_custkey % 77 AS STRING) AS routingnumber,
+       CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'Card ' || CAST(o_custkey % 7 AS STRING) END AS cardname
 FROM {{rows}}"""
 
 ADAPTERS: dict[str, tuple] = {
-    # rto..WNLI_LeaseView
+    # leases
     "lease_view": (f"""
 SELECT o_orderkey AS approvalid,
        o_orderkey AS leaseid,
@@ -53,6 +57,7 @@ SELECT o_orderkey AS approvalid,
        o_orderstatus AS leasestatus,
        CAST(1000 + (o_custkey % 50) * 100 AS DOUBLE) AS monthlyincome,
        o_orderdate AS clientaddeddate,
+       CASE WHEN o_custkey % 6 = 0 THEN CAST(o_orderdate AS DATE) + 90 ELSE NULL END AS latestfrauddate,
        o_orderdate AS leaseaddeddate,
        o_totalprice + o_orderkey % 200 AS leasecost,
        o_totalprice AS leaseamount,
@@ -61,60 +66,68 @@ SELECT o_orderkey AS approvalid,
             WHEN '4' THEN 'Monthly' ELSE 'Weekly' END AS paymentfrequency,
        o_totalprice * (o_orderkey % 7) / 10 AS totalpaymentsmade
 FROM {{orders}}""", ("orders",)),
-    # rto..WNLI_leasePeriodInfo (some leases without a recorded first rent)
+    # payment periods: some leases without a recorded first rent, some with two periods
     "lease_period": ("""
 SELECT o_orderkey AS approvalid,
        CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice * 0.15 END AS firstrentpayment,
        o_totalprice * 0.05 AS additionaldownpayment
-FROM {orders}""", ("orders",)),
-    # datawarehouse..dim_Approval
+FROM {orders}
+UNION ALL
+SELECT o_orderkey AS approvalid, o_totalprice * 0.25 AS firstrentpayment,
+       o_totalprice * 0.01 AS additionaldownpayment
+FROM {orders} WHERE o_orderkey % 97 = 0""", ("orders",)),
+    # approvals by business key; some accounts have none
     "dim_approval": ("""
-SELECT o_orderkey AS approvalbkey, o_orderkey AS approvalid FROM {orders}""", ("orders",)),
-    # datawarehouse..fact_LeaseSum
+SELECT o_orderkey AS approvalbkey, o_orderkey AS approvalid FROM {orders}
+WHERE o_orderkey % 89 <> 0""", ("orders",)),
+    # lease sums (every account, also those without an approval)
     "fact_leasesum": ("""
 SELECT o_orderkey AS approvalbkey, o_orderkey % 25 AS storebkey FROM {orders}""", ("orders",)),
-    # datawarehouse..dim_Store: blank, NULL, FLS, AUTO, KMT store types
+    # stores: blank, NULL, FLS, AUTO, KMT store types
     "dim_store": ("""
 SELECT n_nationkey AS storebkey,
        CASE n_regionkey WHEN 0 THEN ' ' WHEN 1 THEN NULL WHEN 2 THEN 'FLS'
             WHEN 3 THEN 'AUTO' ELSE 'KMT' END AS storetype
 FROM {nation}""", ("nation",)),
-    # rto..WNLI_retailStores
+    # retail stores
     "retail_stores": ("""
 SELECT n_nationkey AS storeid,
        CAST(10000 + (n_nationkey * 41 % 997) * 89 AS STRING) AS zip,
        'S' || CAST(n_nationkey % 10 AS STRING) AS state,
        n_name AS city
 FROM {nation}""", ("nation",)),
-    # rto..WNLI_cart: repeated and NULL SKUs
+    # cart lines: repeated and NULL SKUs
     "cart": ("""
 SELECT l_orderkey AS approvalid,
        CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(l_partkey % 20 AS STRING) END AS sku
 FROM {lineitem}""", ("lineitem",)),
-    # rto..WNLI_clientInfo: one row per pseudo-client
+    # clients: one row per pseudo-client
     "client_info": (f"""
 SELECT DISTINCT {_CLIENT} AS clientid,
        CAST(({_CLIENT}) % 4000 AS STRING) AS driverslicense,
-       'S' || CAST(c_nationkey % 10 AS STRING) AS driverslicensestate,
+       CASE WHEN o_custkey % 3 = 0 THEN 's' ELSE 'S' END
+         || CAST(c_nationkey % 10 AS STRING) || CASE WHEN o_custkey % 5 = 0 THEN ' ' ELSE '' END AS driverslicensestate,
        DATE '1940-01-01' + CAST(c_custkey * 37 % 18000 AS INT) AS dob,
        CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Drivers License' WHEN 'BUILDING' THEN 'Passport'
             WHEN 'FURNITURE' THEN 'MMCC' WHEN 'HOUSEHOLD' THEN '' ELSE NULL END AS idtype,
        CAST((c_custkey + o_orderkey % 10) % 5 AS INT) AS languagepreference,
-       c_name AS firstname
+       c_name AS firstname, 'L' || CAST(c_custkey % 500 AS STRING) AS lastname,
+       '10.0.' || CAST(c_custkey % 250 AS STRING) || '.' || CAST(o_orderkey % 10 AS STRING) AS ipaddress,
+       DATE '1995-01-01' + CAST(c_custkey % 900 AS INT) AS ts
 FROM {{orders}} JOIN {{customer}} ON c_custkey = o_custkey""", ("orders", "customer")),
-    # rto..WNLI_bank: two payment records per lease (n = 0, 1), some inactive. The row
+    # payment records: two payment records per lease (n = 0, 1), some inactive. The row
     # doubling is a generator on Spark (no join, one scan); the oracle uses a VALUES list.
     "bank": ({"spark": _BANK.format(rows="{orders} LATERAL VIEW explode(array(0, 1)) r AS n"),
               "duckdb": _BANK.format(rows="{orders} CROSS JOIN (VALUES (0), (1)) AS r(n)")},
              ("orders",)),
-    # rto..WNLI_address: zip+4 strings, some inactive
+    # addresses: zip+4 strings, some inactive
     "address": (f"""
 SELECT {_CLIENT} AS clientid,
        CAST(10000 + ((o_custkey * 13 + o_orderkey % 3) % 997) * 89 AS STRING) || '-0001' AS zip,
        CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 1 END AS active,
        o_orderdate AS ts
 FROM {{orders}}""", ("orders",)),
-    # rto..WNLI_ZipCodes: every zip in use, a few without coordinates
+    # zip codes: every zip in use, a few without coordinates
     "zip_codes": ("""
 SELECT zip,
        CASE WHEN CAST(zip AS INT) % 11 = 5 THEN NULL
@@ -123,7 +136,7 @@ SELECT zip,
             ELSE CAST((CAST(zip AS INT) * 53) % 3600 AS DOUBLE) / 10.0 - 180.0 END AS longitude
 FROM (SELECT substr(zip, 1, 5) AS zip FROM {address}
       UNION SELECT zip FROM {retail_stores}) z""", ("address", "retail_stores")),
-    # IntelReports..vwFP_Results: several rows per approval
+    # third-party scores: several rows per approval
     "fp_results": ("""
 SELECT l_orderkey AS approvalid,
        CAST((l_orderkey * 7 + l_linenumber * 13) % 850 AS INT) AS fraudscore,
@@ -132,40 +145,42 @@ SELECT l_orderkey AS approvalid,
        CAST((l_orderkey + l_suppkey) % 13 AS STRING) AS nasindex,
        l_shipdate AS ts
 FROM {lineitem}""", ("lineitem",)),
-    # IntelReports..FP_Applicant: some applicants missing (NULL), some with id 0
+    # applicants: some applicants missing (NULL), some with id 0
     "fp_applicant": ("""
 SELECT CASE WHEN o_orderkey % 47 = 0 THEN NULL WHEN o_orderkey % 50 = 0 THEN 0
             ELSE o_orderkey + 1 END AS applicantid,
        o_orderkey AS approvalid
 FROM {orders}""", ("orders",)),
-    # IntelReports..FP_RiskIndicators: codes of the 70-code domain, with repeats
+    # risk indicators: codes of the 70-code domain, with repeats
     "fp_risk_indicators": (f"""
 SELECT l_orderkey + 1 AS applicantid, c.code AS riskcode
 FROM {{lineitem}} JOIN (VALUES {_CODE_VALUES}) AS c(idx, code) ON c.idx = l_partkey % 70""",
                            ("lineitem",)),
-    # IntelReports..DecisionSystem
+    # decisions
     "decision_system": ("""
 SELECT o_orderkey AS approvalid,
        CASE WHEN o_orderkey % 3 = 0 THEN CAST(1000 + o_orderkey % 8 AS STRING) ELSE '2000' END
          AS storenumber
 FROM {orders}""", ("orders",)),
-    # rto..WNLI_approval: a few zero amounts
+    # approval amounts: a few zero amounts
     "approval": ("""
 SELECT o_orderkey AS approvalid,
        CASE WHEN o_orderkey % 101 = 0 THEN 0.0 ELSE o_totalprice * 1.25 END AS approvalamount
 FROM {orders}""", ("orders",)),
-    # datawarehouse..fact_journalentry
+    # journal entries: some without a date, some with other case and trailing blanks
     "journal_entry": ("""
 SELECT l_orderkey AS approvalbkey,
        CASE WHEN l_linenumber > 1 THEN 1 ELSE 0 END AS buyoutpayment,
-       CASE WHEN l_suppkey % 10 = 0 THEN 'store' ELSE 'client' END AS entity,
-       CAST(l_shipdate AS DATE) AS effectivedate,
-       CASE WHEN l_returnflag = 'A' THEN 'Payment - Settled'
+       CASE WHEN l_suppkey % 10 = 0 THEN 'store' WHEN l_suppkey % 10 = 1 THEN 'Client '
+            ELSE 'client' END AS entity,
+       CASE WHEN l_partkey % 23 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS effectivedate,
+       CASE WHEN l_returnflag = 'A' AND l_partkey % 5 = 0 THEN 'PAYMENT - settled '
+            WHEN l_returnflag = 'A' THEN 'Payment - Settled'
             WHEN l_returnflag = 'R' THEN 'Payment - Returned'
             WHEN l_linestatus = 'O' THEN 'Payment - Pending'
             ELSE 'Payment - Cancelled' END AS acctdesc
 FROM {lineitem}""", ("lineitem",)),
-    # datawarehouse..DQjournal for the collection list: one validity interval per line
+    # delinquency journal for the collection list: one validity interval per line
     "dq_journal_lines": ("""
 SELECT l_orderkey AS approvalbkey,
        CAST(l_shipdate AS DATE) AS currentdate,
@@ -180,7 +195,7 @@ SELECT l_orderkey AS approvalbkey,
        CASE WHEN l_quantity > 48 THEN 'CHARGEOFF' WHEN l_linestatus = 'O' THEN 'COLLECTIONS'
             ELSE 'ACTIVE' END AS currentleasestatus
 FROM {lineitem}""", ("lineitem",)),
-    # datawarehouse..DQjournal for the daily balance report: events as account history
+    # delinquency journal for the daily balance report: events as account history
     "dq_journal_events": ("""
 SELECT user_id AS approvalbkey,
        CAST(ts AS DATE) AS currentdate,
@@ -194,14 +209,15 @@ SELECT user_id AS approvalbkey,
             WHEN 'error' THEN 'DEFAULT' WHEN 'purchase' THEN 'NEW' ELSE 'PAID' END
          AS currentleasestatus
 FROM {events}""", ("events",)),
-    # rto..wnli_cardblitzprocess2: card retry attempts from events and from shipped lines
+    # card retry attempts from events and from shipped lines; some accounts are tried twice
+    # on the collection date
     "card_attempts": ("""
 SELECT user_id AS approvalid, ts,
        CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 1 ELSE 0 END
          AS paymentsuccessful,
        value AS totalpayment,
        CASE event_type WHEN 'click' THEN 'Authorize' WHEN 'view' THEN 'Percent100'
-            WHEN 'error' THEN 'Percent50' WHEN 'purchase' THEN 'Dollars25' ELSE 'Manual' END
+            WHEN 'error' THEN 'percent50 ' WHEN 'purchase' THEN 'Dollars25' ELSE 'Manual' END
          AS cardprocessingdescription
 FROM {events}
 UNION ALL
@@ -210,7 +226,11 @@ SELECT l_orderkey AS approvalid, l_shipdate AS ts,
        l_extendedprice / 100 AS totalpayment,
        CASE l_returnflag WHEN 'A' THEN 'Percent100' WHEN 'R' THEN 'Percent50'
             ELSE 'Dollars25' END AS cardprocessingdescription
-FROM {lineitem}""", ("events", "lineitem")),
+FROM {lineitem}
+UNION ALL
+SELECT l_orderkey AS approvalid, CAST(DATE '2000-01-15' AS TIMESTAMP) AS ts, 0 AS paymentsuccessful,
+       l_extendedprice / 50 AS totalpayment, 'Authorize' AS cardprocessingdescription
+FROM {lineitem} WHERE l_orderkey % 7 = 0 AND l_linenumber <= 2""", ("events", "lineitem")),
     # credit reports, one per shipped line: repeated code elements at two depths,
     # a default namespace, and single-code reports for first lines
     "xml_reports": ("""
@@ -224,7 +244,7 @@ SELECT l_orderkey AS id,
                ELSE '' END
        || '</creditBureau>' AS doc
 FROM {lineitem}""", ("lineitem",)),
-    # analytics..xml1: the same reports with a prefixed namespace, as a column
+    # stored reports: the same reports with a prefixed namespace, as a column
     "xml_column": ("""
 SELECT l_orderkey AS id,
        '<ns:creditBureau xmlns:ns="http://example.com/credit"><ns:code>'
@@ -254,7 +274,6 @@ class Params:
     scoring_as_of: _dt.date = _dt.date(2001, 9, 1)
     grade_from: _dt.date = _dt.date(1996, 1, 1)
     quintile_cutover: _dt.date = _dt.date(1998, 6, 1)
-    extras: dict = field(default_factory=dict)
 
 
 PARAMS = Params()

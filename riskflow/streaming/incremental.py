@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from riskflow.operators.dedup import not_in_keys
+from riskflow.sources.sinks import append_unseen, table_exists
 
 
 def append_unseen_batches(path: str, key: str) -> Callable[[DataFrame, int], None]:
@@ -15,19 +15,13 @@ def append_unseen_batches(path: str, key: str) -> Callable[[DataFrame, int], Non
     Keys repeated inside one batch are appended once each row (like the source's
     INSERT ... NOT IN); a key already stored is never appended again, so a
     replayed batch after a failure appends nothing twice. The first batch creates
-    the table.
+    the table; a table that is there but cannot be read fails the batch.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - table not created yet
+        if table_exists(batch.sparkSession, path):
+            append_unseen(batch, path, key)
+        else:
             batch.write.mode("append").parquet(path)
-            return
-        fresh = not_in_keys(batch, key, stored)
-        staging = f"{path.rstrip('/')}._batch_{batch_id}"
-        fresh.write.mode("overwrite").parquet(staging)
-        spark.read.parquet(staging).write.mode("append").parquet(path)
 
     return run

@@ -1,8 +1,8 @@
 """Independent DuckDB SQL for every registered query (the correctness oracle).
 
 Each text starts with the WITH clause of the adapter views it reads (the same
-view definitions the Spark side uses) and then states the query the way the
-source warehouse script does, so it shares no plan with the Spark operators.
+view definitions the Spark side uses) and then states the result from its written
+rules; it shares no plan, term list or helper with the Spark operators.
 """
 
 

@@ -6,7 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from riskflow.functions import (
-    ci_equal, day_diff, floor_zero, great_circle_miles, is_blank, logistic, month_boundaries,
+    day_diff, floor_zero, great_circle_miles, is_blank, logistic, month_boundaries, same_text,
     not_blank_or, pad_right2, safe_ratio, year_boundaries, yyyymm,
 )
 from riskflow.functions.numeric import EARTH_RADIUS_MILES
@@ -23,7 +23,7 @@ def test_blank_storetype_rules(spark):
 def test_case_insensitive_level(spark):
     # T03: 'missing' written by the binning step matches the 'Missing' weight
     df = spark.createDataFrame([("missing",), ("Missing",), ("",), (None,)], "s string")
-    assert [r[0] for r in df.select(ci_equal("s", "Missing")).collect()] == [True, True, False,
+    assert [r[0] for r in df.select(same_text("s", "Missing")).collect()] == [True, True, False,
                                                                              None]
 
 

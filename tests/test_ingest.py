@@ -1,5 +1,6 @@
 """XML and delimited-file ingest round trips, and the table sinks."""
 
+import pytest
 import os
 import tempfile
 
@@ -117,17 +118,36 @@ def test_fast_path_equals_xpath(spark):
     def run(engine):
         return sorted(tuple(r) for r in shred(docs, "doc", "code", "CODE", {"ID": "userRefNumber"},
                                               keep=("i",), engine=engine).collect())
-    assert run("auto") == run("xpath")
+    assert run("plain") == run("xpath")
     col = docs.withColumnRenamed("doc", "testxml").withColumnRenamed("i", "id")
     col = col.union(spark.createDataFrame([(99, "<other><code>Z</code></other>"),
                                            (98, "<creditBureau><code>Y</code></creditBureau>")],
                                           "id int, testxml string"))
-    fast = sorted(tuple(r) for r in xml_column_codes(col, root="creditBureau").collect())
+    fast = sorted(tuple(r) for r in xml_column_codes(col, root="creditBureau", engine="plain").collect())
     slow = sorted(tuple(r) for r in xml_column_codes(col, root="creditBureau",
                                                      engine="xpath").collect())
     assert fast == slow == [("Y", 98)]
 
 
+def test_default_reads_every_document_exactly(spark):
+    # what a text search would get wrong: a leading processing instruction, CRLF, a cut-off document
+    from riskflow.sources.xmldocs import shred
+    docs = spark.createDataFrame([("<?foo x?><creditBureau><code>A</code></creditBureau>",),
+                                  ("<creditBureau><code>a\r\nb</code></creditBureau>",)], "doc string")
+    got = sorted(r.CODE for r in shred(docs, "doc", "code", "CODE", root="creditBureau").collect())
+    assert got == ["A", "a\nb"]
+    cut = spark.createDataFrame([("<creditBureau><code>A</code><code>B",)], "doc string")
+    with pytest.raises(Exception):
+        shred(cut, "doc", "code", "CODE", root="creditBureau").collect()
+
+
+def test_codes_are_kept_whole_unless_a_width_is_given(spark):
+    long = "x" * 50
+    col = spark.createDataFrame([(1, f"<creditBureau><code>{long}</code></creditBureau>")], "id int, testxml string")
+    assert [r.code for r in xml_column_codes(col).collect()] == [long]
+    assert [r.code for r in xml_column_codes(col, width=32).collect()] == [long[:32]]
+
+
 def test_prefixed_reports_take_the_fast_path(spark):
     from pyspark.sql import functions as F
 

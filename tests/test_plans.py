@@ -6,6 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from riskflow.catalog import QUERIES as CATALOG
 
 SF = "/root/testdata/sf0.001"
 BAD = re.compile(r"BroadcastNestedLoopJoin|CartesianProduct|BatchEvalPython|ArrowEvalPython")
@@ -13,7 +14,7 @@ BAD = re.compile(r"BroadcastNestedLoopJoin|CartesianProduct|BatchEvalPython|Arro
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="testdata not present")
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(CATALOG))
 def test_physical_plan(spark, key):
     df = entry.queries()[key](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -33,3 +34,26 @@ def test_scan_pushdown_and_pruning(spark):
     for cols in scans:
         assert not {"l_extendedprice", "l_discount", "l_tax", "l_quantity"} & {
             c.split("#")[0] for c in cols.split(",")}
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("key", ["person_grade", "store_grade", "final_scores", "collection_list", "retry_segments",
+                                 "feature_master"])
+def test_physical_plan_without_broadcasts(no_broadcasts, key):
+    """At scale no side is small: still no nested loop, and no exchange on the few store types."""
+    df = entry.queries()[key](no_broadcasts, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not BAD.findall(plan), key
+    assert not re.findall(r"hashpartitioning\((?:coalesce\()?storetype#[^,]*, \d+\)", plan), key
+
+
+def test_balance_reads_the_journal_once(spark):
+    plan = entry.queries()["balance_by_day"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan        # the aggregated days are a written table

@@ -2,9 +2,12 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
-from riskflow.operators.scoring import ZERO, Model, Term, contributions, linear_sql
+from riskflow.operators.scoring import (
+    ZERO, Model, Term, coefficient_maps, contributions, linear_sql, model_inputs, unpivot_coefficients,
+)
 from riskflow.plans import scoring as sc
 
 
@@ -13,8 +16,7 @@ def _model():
         Term("intercept", kind="intercept"),
         Term("freq", "f", levels=(("14 Day", "14 Day"), ("bi-weekly", "14 Day"),
                                   ("Monthly", ZERO)), has_else=False),
-        Term("idtype", "i", levels=(("Missing", "Missing"), ("Green Card", "Green Card")),
-             ci=True),
+        Term("idtype", "i", levels=(("Missing", "Missing"), ("Green Card", "Green Card"))),
         Term("flagA", "a", kind="flag"),
         Term("none_off", "a", kind="flag_off", coef_feature="flagA"),
         Term("age", "g", kind="slope"),
@@ -28,12 +30,13 @@ W = {("intercept", ""): 0.5, ("freq", "14 Day"): 0.25, ("idtype", "Missing"): -1
 def _score(spark, rows):
     df = spark.createDataFrame(rows, "f string, i string, a int, g int")
     m = _model()
+    df = df.select(*model_inputs([m]))
     return df.select(F.expr(linear_sql(m, W)).alias("lin"),
                      *[F.expr(v).alias(k) for k, v in contributions(m, W).items()]).collect()
 
 
 def test_term_rules(spark):
-    got = _score(spark, [("bi-weekly", "missing", 1, 30),     # ci match, flag on
+    got = _score(spark, [("BI-Weekly ", "missing", 1, 30),    # case and trailing blanks ignored, flag on
                          ("Monthly", "Passport", 0, None),    # ZERO level, unlisted level
                          ("Weekly", "Missing", None, 40),     # T08: no ELSE -> NULL score
                          ("14 Day", "Green Card", 1, 20)])    # T31: NULL weight -> NULL score
@@ -66,3 +69,18 @@ def test_models_cover_weights():
     non = {t.name for t in sc.noncore_model().terms}
     assert {"online", "monthlyincome"} <= core - non
     assert {"state_flag", "storetype", "z_sum", "none_off"} <= non - core
+
+
+def test_wide_coefficients(spark):
+    m = Model("M", [Term("intercept", kind="intercept"), Term("idtype", "i", levels=(("Passport", "Passport"),)),
+                    Term("flagA", "a", kind="flag")])
+    wide = spark.createDataFrame([("M", 0.5, None, 2.0)], "model string, Intercept double, idtypePassport double, flaga double")
+    got = coefficient_maps(unpivot_coefficients(wide, [m]), ["M"])["M"]
+    assert got == {("intercept", ""): 0.5, ("idtype", "Passport"): None, ("flagA", ""): 2.0}
+    with pytest.raises(ValueError, match="unknown"):
+        unpivot_coefficients(wide.withColumn("idtypeGreen", F.lit(1.0)), [m])
+    with pytest.raises(ValueError, match="several rows"):
+        unpivot_coefficients(wide.union(wide), [m])
+    long = unpivot_coefficients(wide, [m])
+    with pytest.raises(ValueError, match="twice"):
+        coefficient_maps(long.union(long), ["M"])
