@@ -16,10 +16,14 @@ two sets of Jaccard similarity J agree in each coordinate with probability J. St
    the one with most agreeing tokens. Pairs that collide at least ``MATCHES`` times are confirmed on
    the full sets; components are formed. So a group of thousands of near copies costs a
    pair per member, not a pair per two members.
-5. Round two joins the prefix lists again for pairs whose classes are still in different
-   components; these are counted, confirmed and merged in the same way. A pair inside one
-   component needs no check, as it cannot change the result. After this no pair of
-   ``MATCHES`` collisions is unchecked or unconnected.
+5. Round two merges the prefix lists for what round one left: pairs whose classes are still
+   in different components (a pair inside one cannot change the result). Lists meet block by
+   block inside tasks, where collisions are counted on the signatures; what leaves is a
+   forest that ties together the classes with any pair at or over ``MATCHES``, never the
+   pairs. Each tree is a cluster of suspects.
+6. Inside each cluster all pairs of different components are confirmed on the full sets,
+   again block by block in tasks (intersections of a block pair are one matrix product), and a forest of the
+   links leaves. After this no pair of ``MATCHES`` collisions is unchecked or unconnected.
 
 The only loss is a pair of J >= 0.75 with fewer than ``MATCHES`` = 26 of 64 agreeing
 coordinates: a binomial tail of about 1e-9 for each link.
@@ -141,8 +145,164 @@ def agreeing(pairs: DataFrame, lists: DataFrame) -> DataFrame:
             .select("a", "b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("hits")))
 
 
+def _in_blocks(members: DataFrame, key: str, size: int) -> DataFrame:
+    """Deal the rows of each ``key`` into blocks of about ``size`` by a hash of the node, and send
+    block b to every pair of blocks that it is in: adds block, b0, b1."""
+    sizes = (members.groupBy(key).count().filter("count > 1")
+             .select(key, F.ceil(F.col("count") / F.lit(size)).cast("int").alias("blocks")))
+    dealt = (members.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    return dealt.withColumns({"b0": F.least("block", "other"), "b1": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+def _each_group(columns: list[str], work):
+    """A mapInPandas function that calls ``work`` on complete runs of equal ``columns``; several
+    runs may come in one call, one run never in two."""
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            last = (batch[columns] == batch[columns].iloc[-1]).all(axis=1).to_numpy()
+            if held and not (held[-1][columns].iloc[-1] == batch[columns].iloc[0]).all():
+                yield work(pd.concat(held, ignore_index=True))
+                held = []
+            if last.all():
+                held.append(batch)
+                continue
+            yield work(pd.concat([*held, batch[~last]], ignore_index=True))
+            held = [batch[last]]
+        if held:
+            yield work(pd.concat(held, ignore_index=True))
+    return stream
+
+
+def _groups(rows: pd.DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """First row and size of each run of equal ``columns``."""
+    new = np.ones(len(rows), bool)
+    if len(rows):
+        new[1:] = np.logical_or.reduce([rows[c].to_numpy()[1:] != rows[c].to_numpy()[:-1] for c in columns])
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(rows)))
+
+
+def _forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    """Edges (a, b) of a star forest over the pairs of row numbers."""
+    _, row = np.unique(nodes, return_inverse=True)
+    names = np.zeros(row.max() + 1 if len(row) else 0, np.int64)
+    names[row] = nodes
+    i, j = row[i], row[j]
+    root = np.arange(len(names))
+    while True:
+        low = np.minimum(root[i], root[j])
+        before = root.copy()
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    tied = np.flatnonzero(root != np.arange(len(names)))
+    return pd.DataFrame({"a": names[root[tied]], "b": names[tied]})
+
+
+LIST_BLOCK = 1000
+SET_BLOCK = 256
+
+
+def _suspects(open_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A forest (a, b) over the classes with a pair of >= MATCHES collisions across components,
+    from the merged lists (token, node, label)."""
+    columns = ["token", "b0", "b1"]
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        marks = np.stack(rows["marks"].to_numpy()).astype(np.int32)
+        label, block = rows["label"].to_numpy(), rows["block"].to_numpy()
+        across = (rows["b0"] != rows["b1"]).to_numpy()
+        first, size = _groups(rows, columns)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, j in _row_pairs(first, size, 200_000):
+            met = (label[i] != label[j]) & (~across[i] | (block[i] != block[j]))
+            i, j = i[met], j[met]
+            hit = np.count_nonzero(marks[i] == marks[j], axis=1) >= MATCHES
+            if hit.any():
+                found.append((i[hit], j[hit]))
+        if not found:
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        return _forest(rows["node"].to_numpy(), *(np.concatenate(x) for x in zip(*found)))
+
+    spark = open_.sparkSession
+    # 32 bits of each coordinate's token are enough to count collisions: chance ones only add suspects.
+    marks = nodes.select("node", F.transform("tokens", lambda t: F.shiftright(t, 32).cast("int")).alias("marks"))
+    rows = _in_blocks(open_, "token", LIST_BLOCK).join(marks, "node")
+    return (rows.repartition(common.shuffle_partitions(spark), *columns).sortWithinPartitions(*columns, "node")
+            .mapInPandas(_each_group(columns, merge), "a long, b long"))
+
+
+def _row_pairs(first: np.ndarray, size: np.ndarray, most: int):
+    """(i, j) of all row pairs i < j inside groups, about ``most`` pairs at a time."""
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    row, partners = np.repeat(first, size) + inside, np.repeat(size, size) - 1 - inside
+    ends, a = np.cumsum(partners), 0
+    while a < len(row):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        n = partners[a:b]
+        i = np.repeat(row[a:b], n)
+        yield i, i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        a = b
+
+
+def _intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of 0/1 matrices over shared elements."""
+    sizes = [len(s) for s in sets]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[element] > 1
+    number = np.cumsum(count > 1) - 1
+    owner, element = owner[shared], number[element[shared]]
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(element[-1]) + 1 if len(element) else 0, columns):
+        lo, hi = np.searchsorted(element, [a, a + columns])
+        m = np.zeros((len(sets), columns), np.float32)
+        m[owner[lo:hi], element[lo:hi] - a] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def _linked(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """A forest (a, b) over the links between components, from clusters (component, node, label)."""
+    columns = ["component", "b0", "b1"]
+
+    def confirm(rows: pd.DataFrame) -> pd.DataFrame:
+        label, block = rows["label"].to_numpy(), rows["block"].to_numpy()
+        across = (rows["b0"] != rows["b1"]).to_numpy()
+        sets = [shingles(t) for t in rows["text"]]
+        found_i, found_j = [], []
+        for a, n in zip(*(x.tolist() for x in _groups(rows, columns))):
+            if n == 2:
+                both = np.array([[0, len(np.intersect1d(*sets[a:a + 2], assume_unique=True))], [0, 0]])
+            else:
+                both = _intersections(sets[a:a + n])
+            i, j = np.triu_indices(n, 1)
+            size = np.array([len(s) for s in sets[a:a + n]])
+            c = both[i, j]
+            ok = 100 * c >= PERCENT * (size[i] + size[j] - c)
+            i, j = i[ok] + a, j[ok] + a
+            ok = (label[i] != label[j]) & (~across[i] | (block[i] != block[j]))
+            found_i.append(i[ok])
+            found_j.append(j[ok])
+        return _forest(rows["node"].to_numpy(), np.concatenate(found_i), np.concatenate(found_j))
+
+    spark = docs.sparkSession
+    texts = (docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+             .groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "node"))
+    rows = _in_blocks(members, "component", SET_BLOCK).join(texts, "node")
+    return (rows.repartition(common.shuffle_partitions(spark), *columns).sortWithinPartitions(*columns, "node")
+            .mapInPandas(_each_group(columns, confirm), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
+    docs = common.id_and_text(docs)
     signed = materialize(signatures(docs), "signatures")
     # One class per distinct set, named by its smallest id.
     classes = (signed.filter("digest is not null and doc_id is not null").groupBy("digest")
@@ -172,11 +332,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                         .select("node", "token", F.coalesce("component", "node").alias("label")), "labelled")
     mixed = label.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1")
     open_ = label.join(mixed.select("token"), "token", "left_semi")
-    across = (open_.select("token", F.col("node").alias("a"), F.col("label").alias("la"))
-              .join(open_.select("token", F.col("node").alias("b"), F.col("label").alias("lb")), "token")
-              .filter("a < b and la <> lb").select("a", "b").distinct())
-    more = agreeing(across, lists).filter(F.col("hits") >= MATCHES).select("a", "b")
-    second = materialize(confirmed(materialize(more, "across"), docs), "links")
+    names = label.select("node", "label").distinct()
+    suspects = materialize(_suspects(open_, nodes), "suspects")
+    clusters = components(suspects)
+    second = materialize(_linked(clusters.join(names, "node"), docs), "links")
     joined = components(first.union(second))
 
     of_class = (classes.join(joined, "node", "left")
