@@ -87,8 +87,9 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def _cells(size: Column, attempt: int) -> Column:
-    """The three cells of a digest ``d`` in subtables of ``size`` cells."""
-    return F.array(*[F.lit(j) * size + F.pmod(F.xxhash64(F.col("d"), F.lit(1000 * attempt + j)), size) for j in range(3)])
+    """The three cells of a digest ``d`` in subtables of ``size`` cells; cell -1 for a null one."""
+    cells = F.array(*[F.lit(j) * size + F.pmod(F.xxhash64(F.col("d"), F.lit(1000 * attempt + j)), size) for j in range(3)])
+    return F.when(F.col("d").isNotNull(), cells).otherwise(F.array(F.lit(-1).cast("long")))
 
 
 def _check(d: str) -> Column:
@@ -150,7 +151,8 @@ def differences(table: DataFrame) -> DataFrame:
                           F.array(F.struct(F.lit(None).cast("long").alias("d"), F.lit(0).alias("sign"))))
         listed = (rows.withColumn("size", size.cast("long")).select(*keys, "size", F.explode(signed).alias("s"))
                   .select(*keys, "size", "s.d", "s.sign").withColumn("chk", F.when(F.col("d").isNotNull(), _check("d"))))
-        # A pair without any digest still has one (empty) cell: that of the null digest.
+        # The null digest puts a pair's cell -1 there from the start, so that a pair whose cells
+        # all cancel out still has a row.
         cells = _sketch(listed, [*keys, "size"], F.col("size"), attempt)
         cells = cells.select(*keys, "size", "cell", "count", F.coalesce("key", F.lit(0).cast("long")).alias("key"),
                              F.coalesce("chk", F.lit(0).cast("long")).alias("chk"))
@@ -183,7 +185,7 @@ def fingerprints(table: DataFrame) -> DataFrame:
 
 def compare(docs: DataFrame) -> DataFrame:
     """One row per (doc_id, text): its and its edited version's fingerprints and likenesses."""
-    spark = docs.sparkSession
+    docs, spark = common.id_and_text(docs), docs.sparkSession
     changed = edited(F.col("text"), F.col("next_text"))
     rows = with_next(docs).withColumn("edited", changed).select(
         "range", "row", "doc_id", F.length("text").cast("long").alias("n_chars"),
