@@ -56,7 +56,7 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, leading: b
                 out = pd.DataFrame(found, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 yield out.assign(doc_id=keys.iloc[out["doc_id"]].to_numpy(object, na_value=None))
 
-    return docs.select("doc_id", "text").mapInPandas(pieces, PIECE)
+    return common.id_and_text(docs).mapInPandas(pieces, PIECE)
 
 
 def sweep_rounds(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int, int]:

@@ -270,13 +270,13 @@ def _load(s: str) -> Matrix:
 
 def solve(matrices: DataFrame) -> DataFrame:
     """(key, k, e0, e1, x0, x1): the states at both borders of every chunk, from (key, k, matrix)."""
-    def up(key, group: pd.DataFrame) -> pd.DataFrame:
+    def up(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         total: Matrix | None = None
         for m in group.sort_values("k")["matrix"]:
             total = _load(m) if total is None else combine(total, _load(m))
         return pd.DataFrame({"key": [key[0]], "k": [key[1]], "matrix": [_dump(total)]})
 
-    def down(_, group: pd.DataFrame) -> pd.DataFrame:
+    def down(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("k")
         ms = [_load(m) for m in group["matrix"]]
         if "e0" in group.columns:
@@ -295,12 +295,12 @@ def solve(matrices: DataFrame) -> DataFrame:
     schema = "key string, k long, e0 long, e1 long, x0 long, x1 long"
     most = matrices.agg(F.max("k")).first()[0] or 0
     if most < FAN_IN:
-        return matrices.groupBy("key").applyInPandas(lambda g: down(None, g), schema)
+        return matrices.groupBy("key").applyInPandas(down, schema)
     block = F.expr(f"k div {FAN_IN}")
     above = materialize(matrices.groupBy("key", block.alias("block")).applyInPandas(up, "key string, k long, matrix string"), "blocks")
     states = solve(above).withColumnRenamed("k", "block")
     return (matrices.withColumn("block", block).join(states, ["key", "block"])
-            .groupBy("key", "block").applyInPandas(lambda g: down(None, g), schema))
+            .groupBy("key", "block").applyInPandas(down, schema))
 
 
 def chunks(texts: DataFrame, model: str, size: int) -> DataFrame:
@@ -375,6 +375,8 @@ def encode_chunks(texts: DataFrame, model: str, size: int = CHUNK, keep_ids: boo
 
 def encode(docs: DataFrame, model: str, size: int = CHUNK) -> DataFrame:
     """One row per (doc_id, text): pieces, crc32 of the ids and of the text decoded from them, chunks."""
+    docs = common.id_and_text(docs)
+
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(model)
         for b in batches:

@@ -128,7 +128,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, leading: b
             yield pd.DataFrame({"shard": [shard], "path": [f"{folder.rstrip('/')}/part-{shard:05d}"],
                                 "records": [len(entries)], "ids": [before]})
 
-    ordered = (docs.select("doc_id", "text").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first())
+    ordered = (common.id_and_text(docs).repartitionByRange(partitions, F.col("doc_id").asc_nulls_first())
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"))
     return materialize(ordered.mapInPandas(write_shard, MANIFEST), "record-manifest")
 
