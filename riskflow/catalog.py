@@ -372,6 +372,15 @@ def q_xml_codes(spark, sf_dir):
     return ig.xml_codes(spark, path, one_per_file=False)
 
 
+@register("xml_files_csv")
+def q_xml_files_csv(spark, sf_dir):
+    """Reports stored one to a file, shredded to a CSV, which is read back."""
+    path, out = scratch_folder(spark, "xml-files"), scratch_folder(spark, "xml-csv")
+    TestData(spark, sf_dir).supplier_reports.select("id", "doc").write.partitionBy("id").text(path)
+    ig.xml_folder_to_csv(spark, path, out)
+    return spark.read.option("header", "true").schema("CODE string, ID string").csv(out)
+
+
 @register("xml_column_codes")
 def q_xml_column_codes(spark, sf_dir):
     """The XML column is a stored table in the source: write the generated one once."""

@@ -244,6 +244,14 @@ SELECT l_orderkey AS id,
                ELSE '' END
        || '</creditBureau>' AS doc
 FROM {lineitem}""", ("lineitem",)),
+    # one report per supplier, to be stored as a file each
+    "supplier_reports": ("""
+SELECT s_suppkey AS id,
+       '<?xml version="1.0"?><r:creditBureau xmlns:r="http://example.com/credit"><r:userRefNumber>'
+       || CAST(s_suppkey AS STRING) || '</r:userRefNumber><r:code>N' || CAST(s_nationkey AS STRING)
+       || '</r:code>' || CASE WHEN s_suppkey % 3 = 0 THEN '<r:code>X &amp; Y</r:code>' ELSE '' END
+       || '</r:creditBureau>' AS doc
+FROM {supplier}""", ("supplier",)),
     # stored reports: the same reports with a prefixed namespace, as a column
     "xml_column": ("""
 SELECT l_orderkey AS id,

@@ -7,6 +7,10 @@ UNION ALL
 SELECT l_returnflag, CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_linenumber > 1
 UNION ALL
 SELECT l_linestatus, CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_linenumber > 1""",
+    "xml_files_csv": """
+SELECT 'N' || s_nationkey AS CODE, CAST(s_suppkey AS VARCHAR) AS ID FROM supplier
+UNION ALL
+SELECT 'X & Y', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 3 = 0""",
     "xml_column_codes": """
 SELECT l_returnflag || l_linestatus AS code, l_orderkey AS id FROM lineitem
 UNION ALL
