@@ -69,6 +69,7 @@ class Pieces:
                 self.ids[piece], self.scores[piece] = i, model.get_score(i)
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
         self.longest = max(map(len, self.ids))
+        self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.unit = re.compile(r".+" if crossing else f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.S)
         self.crossing = crossing
@@ -100,17 +101,20 @@ class Pieces:
     def forward(self, text: str, begin: int, before: str, end: int) -> dict[int, int]:
         """For positions reachable from ``begin`` (with piece ``before`` ending there): the
         length of the last piece on the one allowed path to it."""
-        ids, pair, longest = self.ids, self.compatible, self.longest
-        last = {begin: 0}
-        for p in range(begin + 1, end + 1):
-            for n in range(min(longest, p - begin), 0, -1):
-                q = p - n
-                k = last.get(q)
-                if k is None:
-                    continue
+        ids, pairs, prefixes, longest = self.ids, self.pairs, self.prefixes, self.longest
+        last, ending = {begin: 0}, {begin: before}
+        for q in range(begin, end):
+            previous = ending.get(q)
+            if previous is None:
+                continue
+            for p in range(q + 1, min(end, q + longest) + 1):
                 piece = text[q:p]
-                if (n == 1 or piece in ids) and pair(text[q - k:q] if k else before, piece):
-                    last[p] = n
+                # one path leads to a place, so a place once reached needs no further piece
+                if p not in last and (piece in ids or p == q + 1):
+                    allowed = pairs.get((previous, piece))
+                    if allowed or allowed is None and self.compatible(previous, piece):
+                        last[p], ending[p] = p - q, piece
+                if piece not in prefixes:
                     break
         return last
 

@@ -32,10 +32,12 @@ def test_pooling_covers_whole_texts_and_batches():
     net = langid.Network(["a", "b"], hidden=4)
     texts = ["x" * n for n in (1, 63, 64, 65, 200_000)] + ["é" * 50, "zz" * 3000]
     together = net.predict(texts, max_bytes=1000)
-    assert together == net.predict(texts) == [net.predict([t])[0] for t in texts]
+    for other in (net.predict(texts), [net.predict([t])[0] for t in texts]):      # up to single-precision rounding
+        assert [p for p, _ in other] == [p for p, _ in together]
+        assert [s for _, s in other] == pytest.approx([s for _, s in together], abs=1e-5)
     data = texts[3].encode()
     probabilities = np.concatenate([net.positions(np.frombuffer(data[a:a + 64], np.uint8)[:, None])[:, :, 0] for a in (0, 64)], axis=1)
-    assert together[3][1] == pytest.approx(probabilities.mean(axis=1).max(), abs=1e-6)
+    assert together[3][1] == pytest.approx(probabilities.mean(axis=1).max(), abs=1e-5)
     assert len(net.label_positions(texts[3])) == 65
 
 
