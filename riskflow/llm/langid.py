@@ -56,8 +56,9 @@ class Network:
         self.weights["out"] = rng.normal(0, 0.3, (len(languages), 2 * hidden)).astype(np.float32)
         self.weights["bias"] = np.zeros((len(languages), 1), np.float32)
 
-    def _direction(self, d: str, ids: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States [T, H, B] of one direction over bytes ids [T, B]."""
+    def _direction(self, d: str, ids: np.ndarray, mask: np.ndarray | None, keep: list | None = None) -> np.ndarray:
+        """States [T, H, B] of one direction over bytes ids [T, B]; zero where ``mask`` is 0, so that
+        the backward network starts at a window's last byte, not in its padding."""
         x, u, c, n = (*(self.weights[k + d] for k in "xuc"), self.hidden)
         steps = range(len(ids)) if d == "f" else range(len(ids) - 1, -1, -1)
         states = np.empty((len(ids), n, ids.shape[1]), np.float32)
@@ -77,15 +78,17 @@ class Network:
             np.subtract(h, cand, out=new)
             new *= gates[n:]
             new += cand
+            if mask is not None:
+                new *= mask[t]
             if keep is not None:
                 keep.append((t, h, gates, gated, cand))
             h = new
         return states
 
-    def positions(self, ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Probabilities [languages, T, B] of every position of the windows ids [T, B]."""
+    def positions(self, ids: np.ndarray, mask: np.ndarray | None = None, keep: dict | None = None) -> np.ndarray:
+        """Probabilities [languages, T, B] of every position of the windows ids [T, B] (``mask``: 0 at padding)."""
         traces = {d: [] if keep is not None else None for d in "fb"}
-        states = [self._direction(d, ids, traces[d]) for d in "fb"]
+        states = [self._direction(d, ids, mask, traces[d]) for d in "fb"]
         n, out = self.hidden, self.weights["out"]
         logits = np.matmul(out[:, :n], states[0])
         logits += np.matmul(out[:, n:], states[1])
@@ -100,7 +103,7 @@ class Network:
     def gradients(self, ids: np.ndarray, mask: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss per valid position and its gradients, by back-propagation through time."""
         keep: dict = {}
-        p = self.positions(ids, keep).transpose(1, 0, 2).copy()        # [T, L, B]
+        p = self.positions(ids, mask, keep).transpose(1, 0, 2).copy()        # [T, L, B]
         total = max(1.0, float(mask.sum()))
         b = np.arange(ids.shape[1])
         loss = -float((np.log(p[:, label, b] + 1e-9) * mask).sum()) / total
@@ -117,7 +120,7 @@ class Network:
             gx = np.empty((len(ids), 3 * n, ids.shape[1]), np.float32)
             dh = np.zeros_like(above[0])
             for t, h, gates, gated, cand in reversed(keep["traces"][d]):
-                dh = dh + above[t]
+                dh = (dh + above[t]) * mask[t]
                 r, z = gates[:n], gates[n:]
                 dcand = dh * (1 - z) * (np.abs(cand) < 1)
                 dgated = c.T @ dcand
@@ -169,9 +172,11 @@ class Network:
         valid[ends] = (sizes[n_windows > 0] - 1) % WINDOW + 1
         for a in range(0, len(windows), BATCH):
             ids = np.ascontiguousarray(windows[a:a + BATCH].T)
-            p = self.positions(ids)
-            if (valid[a:a + BATCH] < WINDOW).any():
-                p = p * (np.arange(WINDOW)[:, None] < valid[a:a + BATCH])
+            here = valid[a:a + BATCH]
+            mask = (np.arange(WINDOW)[:, None] < here).astype(np.float32) if (here < WINDOW).any() else None
+            p = self.positions(ids, mask)
+            if mask is not None:
+                p = p * mask
             np.add.at(sums, owner[a:a + BATCH], p.sum(axis=1).T)
         return sums / np.maximum(sizes, 1)[:, None]
 
