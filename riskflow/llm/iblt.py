@@ -33,9 +33,11 @@ from riskflow.llm import common
 from riskflow.operators.materialize import materialize, scratch_folder
 
 BASE = 8
-ROUNDS = 9
+ROUNDS = 6
+#: Documents in a range, about: a task's aggregates hold the cells of one range.
+DOCUMENTS = 400
 #: Largest number of ranges, which bounds the borders that the driver sees.
-RANGES = 20_000
+RANGES = 100_000
 LEAST = -(1 << 63)
 
 PARAGRAPH = r"\n+|(?<=[.!?])\s+"
@@ -47,22 +49,27 @@ def digests(text: Column) -> Column:
     return F.transform(F.array_distinct(parts), lambda p: F.xxhash64(p))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(range, row, doc_id, text, next_text) of (doc_id, text): each document with its successor."""
-    spark = docs.sparkSession
-    ranges = min(RANGES, 4 * common.shuffle_partitions(spark))
+def range_count(docs: DataFrame) -> int:
+    """Enough ranges that one holds about DOCUMENTS, and at least as many as shuffle partitions."""
+    return max(common.shuffle_partitions(docs.sparkSession), min(RANGES, -(-docs.count() // DOCUMENTS)))
+
+
+def with_next(docs: DataFrame, ranges: int) -> DataFrame:
+    """(range, row, doc_id, text, next_text) of (doc_id, text): each document with its successor.
+
+    The rows come hash-partitioned by range into ``ranges`` partitions."""
     order = F.coalesce("doc_id", F.lit(LEAST))
     firsts = (docs.select(order.alias("o")).repartitionByRange(ranges, "o")
               .groupBy(F.spark_partition_id().alias("p")).agg(F.min("o").alias("o")).collect())
     borders = sorted(r["o"] for r in firsts) or [LEAST]
     n = len(borders)
     steps = max(1, (n - 1).bit_length() + 1)
-    listed = F.array(*[F.lit(b) for b in borders])
+    listed = F.split(F.lit(",".join(map(str, borders))), ",").cast("array<long>")      # folded to one literal
     # Binary search for the last border that is not above the id.
     at = F.aggregate(
         F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")),
         lambda s, _: F.when(s["hi"] - s["lo"] <= 1, s).when(
-            F.get(listed, F.expr("0") + F.floor((s["lo"] + s["hi"]) / 2).cast("int")) <= F.col("o"),
+            F.get(listed, F.floor((s["lo"] + s["hi"]) / 2).cast("int")) <= F.col("o"),
             F.struct(F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("lo"), s["hi"].alias("hi")))
         .otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi"))),
         lambda s: s["lo"])
@@ -73,7 +80,7 @@ def with_next(docs: DataFrame) -> DataFrame:
                     ).otherwise(F.array(F.struct("range", F.lit(False).alias("guest"))))
     sent = (placed.withColumn("c", F.explode(copies))
             .select("doc_id", "text", "o", F.col("c.range").alias("range"), F.col("c.guest").alias("guest"))
-            .repartition(max(ranges, common.shuffle_partitions(spark)), "range"))
+            .repartition(ranges, "range"))
     here = Window.partitionBy("range").orderBy("guest", "o", "text")
     return (sent.withColumns({"next_text": F.lead("text").over(here), "row": F.row_number().over(here)})
             .filter(~F.col("guest")).select("range", "row", "doc_id", "text", "next_text"))
@@ -140,9 +147,10 @@ def differences(table: DataFrame) -> DataFrame:
     while True:
         pairs = F.array(*[F.struct(F.lit(p).alias("pair"), F.col("digests").alias("a"), F.col(c).alias("b"))
                           for p, c in sizes.items()])
-        rows = table.select("range", "row", F.explode(pairs).alias("p")).select("range", "row", "p.*")
-        if pending is not None:
-            rows = rows.join(pending, keys, "left_semi")
+        rows = table if pending is None else table.join(pending, "range")
+        rows = (rows.select("*", F.explode(pairs).alias("p"))
+                .filter(F.lit(True) if pending is None else F.array_contains("failed", F.col("row") * 4 + F.col("p.pair")))
+                .select("range", "row", "p.*"))
         need = 0.6 * 2 ** (attempt - 1) * (F.size("a") + F.size("b"))
         size = F.lit(BASE) if attempt == 0 else F.greatest(
             F.lit(BASE), F.pow(F.lit(2), F.ceil(F.log2(need + 1))).cast("int"))
@@ -158,10 +166,11 @@ def differences(table: DataFrame) -> DataFrame:
                              F.coalesce("chk", F.lit(0).cast("long")).alias("chk"))
         result = materialize(_peel(cells, keys, attempt), f"peeled-{attempt}")
         done.append(result.filter("left = 0").select(*keys, "differing"))
-        failed = result.filter("left > 0").select(*keys)
+        failed = result.filter("left > 0")
         if failed.isEmpty():
             break
-        pending, attempt = failed, attempt + 1
+        pending = failed.groupBy("range").agg(F.collect_list(F.col("row") * 4 + F.col("pair")).alias("failed"))
+        attempt += 1
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
@@ -183,31 +192,40 @@ def fingerprints(table: DataFrame) -> DataFrame:
     return cells.groupBy("range", "row").agg(text(0).alias("fingerprint"), text(1).alias("edited_fingerprint"))
 
 
+def _by_range(rows: DataFrame, name: str, *values: str) -> DataFrame:
+    """One map row -> values for each range: joined on the range alone, it leaves the table where it is."""
+    return rows.groupBy("range").agg(F.map_from_entries(F.collect_list(F.struct("row", F.struct(*values)))).alias(name))
+
+
 def compare(docs: DataFrame) -> DataFrame:
     """One row per (doc_id, text): its and its edited version's fingerprints and likenesses."""
     docs, spark = common.id_and_text(docs), docs.sparkSession
     changed = edited(F.col("text"), F.col("next_text"))
-    rows = with_next(docs).withColumn("edited", changed).select(
+    ranges = range_count(docs)
+    rows = with_next(docs, ranges).withColumn("edited", changed).select(
         "range", "row", "doc_id", F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited"), 256).alias("edited_sha256"), digests(F.col("text")).alias("digests"),
         digests(F.col("edited")).alias("edited_digests"), digests(F.col("next_text")).alias("next_digests"))
     name = f"riskflow_paragraphs_{uuid.uuid4().hex}"
-    (rows.write.bucketBy(common.shuffle_partitions(spark), "range")
+    (rows.write.bucketBy(ranges, "range")
      .option("path", scratch_folder(spark, "paragraphs")).saveAsTable(name))
     table = spark.read.table(name)
     wide = differences(table).groupBy("range", "row").agg(
         F.max(F.when(F.col("pair") == 1, F.col("differing"))).alias("d1"), F.max(F.when(F.col("pair") == 2, F.col("differing"))).alias("d2"))
 
     def likeness(other: str, differing: str) -> Column:
-        both = F.size("digests") + F.size(other)
-        return F.when(both == 0, F.lit(1.0)).otherwise((both - F.col(differing)) / (both + F.col(differing)))
-
-    return (table.join(wide, ["range", "row"]).join(fingerprints(table), ["range", "row"], "left")
-            .select("doc_id", "n_chars", "edited_sha256",
-                    F.coalesce("fingerprint", F.lit("")).alias("fingerprint"),
-                    F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
-                    likeness("edited_digests", "d1").alias("near_edited"), likeness("next_digests", "d2").alias("near_next"),
-                    F.size("digests").cast("long").alias("n_paragraphs")))
+        both, d = F.size("digests") + F.size(other), F.col(f"w.{differing}")
+        return F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d))
+
+    printed = fingerprints(table)
+    joined = (table.join(_by_range(wide, "wide", "d1", "d2"), "range")
+              .join(_by_range(printed, "printed", "fingerprint", "edited_fingerprint"), "range", "left")
+              .withColumns({"w": F.element_at("wide", F.col("row")), "p": F.try_element_at("printed", F.col("row"))}))
+    return joined.select(
+        "doc_id", "n_chars", "edited_sha256", F.coalesce("p.fingerprint", F.lit("")).alias("fingerprint"),
+        F.coalesce("p.edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
+        likeness("edited_digests", "d1").alias("near_edited"), likeness("next_digests", "d2").alias("near_next"),
+        F.size("digests").cast("long").alias("n_paragraphs"))
 
 
 def op1_paragraph_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
