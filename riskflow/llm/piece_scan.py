@@ -32,6 +32,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -196,7 +197,8 @@ class Pieces:
                     continue
                 last = self.forward(text, begin, before, b)
                 ways = self.exits(text, last, begin, before, b)
-            elif meeting in self.forward(text, begin, before, meeting):
+            # every path from a place that no piece crosses goes on to the next such place
+            elif (place := next(c for c in near if c >= begin)) == begin or place in self.forward(text, begin, before, place):
                 if tail is None:                   # from a place that no piece crosses, all go on alike
                     far = self.cuts(text, max(meeting, b - 8 * self.longest), b)
                     start = max(meeting, b - 8 * self.longest) + far[-1] if far else meeting
@@ -323,24 +325,35 @@ def chunks(texts: DataFrame, model: str, size: int) -> DataFrame:
     return rows.repartition(common.shuffle_partitions(texts.sparkSession), "key", "k")
 
 
-def crc_shift(crc: int, n_bytes: int) -> int:
-    """The crc32 of data, moved ahead of ``n_bytes`` further bytes: crc(A+B) = shift(crc(A), len B) ^ crc(B)."""
-    def times(rows: list[int], x: int) -> int:
-        out, i = 0, 0
-        while x:
-            if x & 1:
-                out ^= rows[i]
-            x >>= 1
-            i += 1
-        return out
+def _times(rows: list[int], x: int) -> int:
+    out, i = 0, 0
+    while x:
+        if x & 1:
+            out ^= rows[i]
+        x >>= 1
+        i += 1
+    return out
+
 
+@lru_cache(maxsize=None)
+def _zero_bytes(power: int) -> list[int]:
+    """The bit matrix that moves a crc32 past 2 ** power zero bytes."""
+    if power:
+        step = _zero_bytes(power - 1)
+        return [_times(step, r) for r in step]
     step = [0xEDB88320] + [1 << i for i in range(31)]             # one zero bit
     for _ in range(3):
-        step = [times(step, r) for r in step]                      # one zero byte
+        step = [_times(step, r) for r in step]
+    return step
+
+
+def crc_shift(crc: int, n_bytes: int) -> int:
+    """The crc32 of data, moved ahead of ``n_bytes`` further bytes: crc(A+B) = shift(crc(A), len B) ^ crc(B)."""
+    power = 0
     while n_bytes:
         if n_bytes & 1:
-            crc = times(step, crc)
-        step = [times(step, r) for r in step]
+            crc = _times(_zero_bytes(power), crc)
+        power += 1
         n_bytes >>= 1
     return crc
 
