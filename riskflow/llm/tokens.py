@@ -9,6 +9,9 @@ pre-token reaches across it:
   other space (beside another blank, or at an end) is encoded whole instead.
 * otherwise (the pattern drops white space): every U+0020 separates.
 
+A text that holds the string of an added token (as ``<|endoftext|>``) is encoded whole, too: the
+library cuts it out before any pre-token and gives it its own id.
+
 New stretches are encoded many to a call; one of ASCII letters and at most one comma or
 stop is a pre-token or two as it stands, so the library's model encodes it directly.
 
@@ -31,11 +34,15 @@ _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
 class Encoder:
-    def __init__(self, path: str, leading: bool):
+    """``special_as_text``: strings of special tokens in a text are ordinary text, as by the library's
+    switch of that meaning. ``encoder``, and so every operator, leaves the library's default."""
+
+    def __init__(self, path: str, leading: bool, special_as_text: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True      # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = special_as_text
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         self.leading = leading
         self.mark = self.tok.encode(" a", add_special_tokens=False).tokens[0][:-1] if leading else ""
         starts = np.zeros(self.tok.get_vocab_size(), bool)
@@ -82,6 +89,15 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        whole = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        if whole:
+            rest, out = list(texts), [b""] * len(texts)
+            for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
+                rest[i], out[i] = "", ids
+            return [ids or found for ids, found in zip(out, self._cut(rest))]
+        return self._cut(texts)
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
         heads = self._whole([p[0] for p in parts]) if self.leading else None
         if heads:
@@ -121,7 +137,7 @@ def encoder(path: str, leading: bool) -> Encoder:
     """One encoder for each worker process."""
     key = (path, leading)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, leading)
+        _ENCODERS[key] = Encoder(path, leading, special_as_text=False)
     return _ENCODERS[key]
 
 

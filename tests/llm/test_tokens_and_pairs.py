@@ -36,6 +36,30 @@ def test_memoised_encoding_is_exact(path, leading, messy_rows, monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
 
 
+@pytest.mark.parametrize("path,leading", [(BYTE, True), (WORD, False)])
+def test_operators_encode_special_tokens_as_the_plain_call(path, leading, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    texts = ODD + ["end <|endoftext|> start", "<|endoftext|>", "x<|endoftext|><|startoftext|>y", " <|endoftext|>  z ", "<|ENDOFTEXT|> <|endoftext"]
+    texts += [" ".join(rng.choice(("one", "two,", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", "", "é.")) for _ in range(9))
+              for _ in range(200)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(path, leading)(texts)] == want
+
+
+def test_special_tokens_in_files_and_sequences(spark):
+    rows = [(1, "one two"), (2, "end <|endoftext|> start"), (3, "three")]
+    docs, plain = spark.createDataFrame(rows, "doc_id long, text string"), {
+        p: [e.ids for e in Tokenizer.from_file(p).encode_batch([t for _, t in rows], add_special_tokens=False)] for p in (BYTE, WORD)}
+    got = sorted(record_files.read(_written(spark, docs)[1]).collect(), key=lambda r: r.start)
+    ids = [i + [2] for i in plain[BYTE]]
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in got] == ids
+    assert [r.start for r in got] == [0, *itertools.accumulate(map(len, ids))][:3]
+    pieces = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(docs, WORD, end_id=0, capacity=64).collect()}
+    assert pieces == {d: (len(i) + 1, zlib.crc32(np.array(i + [0], "<u4").tobytes())) for (d, _), i in zip(rows, plain[WORD])}
+
+
 # ------------------------------------------------------------------- token files
 def _written(spark, docs):
     folder = tempfile.mkdtemp(prefix="rf-records-")
