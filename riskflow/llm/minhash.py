@@ -30,7 +30,10 @@ coordinates: a binomial tail of about 1e-9 for each link.
 
 Defined results: no text, or no word, is the empty set, linked with nothing; fewer words
 than ``SHINGLE`` are one shingle. Repeated ids are one document for linking (their rows
-remain in a filter). Rows with a null id link with nothing.
+remain in a filter): each different text has a class of its own, found and confirmed by that text,
+and the classes of an id are tied when the components are formed. A class goes by its smallest
+id; where that id has several classes, all but one go by a 64-bit hash of the set's digest instead.
+Rows with a null id link with nothing.
 """
 
 from __future__ import annotations
@@ -96,7 +99,8 @@ def signature(found: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, signature tokens) for every row."""
+    """(doc_id, mark, n_shingles, digest of the set, signature tokens) for every row; the mark tells
+    the texts of one id apart."""
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from hashlib import blake2b
         for batch in batches:
@@ -105,23 +109,35 @@ def signatures(docs: DataFrame) -> DataFrame:
                 s = shingles(text)
                 rows.append((len(s), blake2b(s.tobytes(), digest_size=16).digest(),
                              signature(s).view(np.int64)) if len(s) else (0, None, None))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"),
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "mark": batch["mark"],
                                 "n_shingles": [r[0] for r in rows],
                                 "digest": [r[1] for r in rows], "tokens": [r[2] for r in rows]})
 
-    return docs.mapInPandas(sign, "doc_id long, n_shingles long, digest binary, tokens array<long>")
+    return (docs.withColumn("mark", F.xxhash64("text"))
+            .mapInPandas(sign, "doc_id long, mark long, n_shingles long, digest binary, tokens array<long>"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _texts(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text), once each, for the (doc_id, mark) in ``needed``."""
+    return (docs.withColumn("mark", F.xxhash64("text")).join(needed, ["doc_id", "mark"], "left_semi")
+            .groupBy("doc_id", "mark").agg(F.min("text").alias("text")))
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those (a, b) whose full sets have PERCENT of their union in common.
 
     Only texts of classes in ``pairs`` are read again and travel; each pair meets the two
-    texts in two joins on the ids, whose large partitions Spark can split.
+    texts in two joins on the texts' ids and marks, whose large partitions Spark can split.
     """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    both = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"))
+    for x in "ab":
+        pairs = pairs.join(classes.select(F.col("node").alias(x), F.col("doc_id").alias(f"doc_{x}"),
+                                          F.col("mark").alias(f"mark_{x}")), x)
+    needed = pairs.select(F.explode(F.array(*[F.struct(F.col(f"doc_{x}").alias("doc_id"), F.col(f"mark_{x}").alias("mark"))
+                                              for x in "ab"])).alias("t")).select("t.*").distinct()
+    texts, both = _texts(needed, docs), pairs
+    for x in "ba":
+        both = both.join(texts.select(F.col("doc_id").alias(f"doc_{x}"), F.col("mark").alias(f"mark_{x}"),
+                                      F.col("text").alias(f"text_{x}")), [f"doc_{x}", f"mark_{x}"])
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         text, left = None, None
@@ -269,7 +285,7 @@ def _intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 
 
 def _linked(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """A forest (a, b) over the links between components, from clusters (component, node, label)."""
+    """A forest (a, b) over the links between components, from clusters (component, node, label, doc_id, mark)."""
     columns = ["component", "b0", "b1"]
 
     def confirm(rows: pd.DataFrame) -> pd.DataFrame:
@@ -293,9 +309,8 @@ def _linked(members: DataFrame, docs: DataFrame) -> DataFrame:
         return _forest(rows["node"].to_numpy(), np.concatenate(found_i), np.concatenate(found_j))
 
     spark = docs.sparkSession
-    texts = (docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-             .groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "node"))
-    rows = _in_blocks(members, "component", SET_BLOCK).join(texts, "node")
+    texts = _texts(members.select("doc_id", "mark"), docs)
+    rows = _in_blocks(members, "component", SET_BLOCK).join(texts, ["doc_id", "mark"])
     return (rows.repartition(common.shuffle_partitions(spark), *columns).sortWithinPartitions(*columns, "node")
             .mapInPandas(_each_group(columns, confirm), "a long, b long"))
 
@@ -304,11 +319,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
     docs = common.id_and_text(docs)
     signed = materialize(signatures(docs), "signatures")
-    # One class per distinct set, named by its smallest id.
-    classes = (signed.filter("digest is not null and doc_id is not null").groupBy("digest")
-               .agg(F.min("doc_id").alias("node")))
-    nodes = (signed.join(classes, "digest").filter("doc_id = node").select("node", "tokens")
-             .dropDuplicates(["node"]))
+    usable = signed.filter("digest is not null and doc_id is not null")
+    repeated = materialize(signed.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"),
+                           "repeated")
+    again = not repeated.isEmpty()
+    # One class per distinct set, found by its smallest id and text.
+    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("of")).select("digest", "of.*")
+    if again:                                      # the smallest id of several classes names only one
+        named = classes.groupBy("doc_id").agg(F.min("digest").alias("first"))
+        classes = (classes.join(named, "doc_id")
+                   .withColumn("node", F.when(F.col("digest") == F.col("first"), F.col("doc_id")).otherwise(F.xxhash64("digest")))
+                   .drop("first"))
+    else:
+        classes = classes.withColumn("node", F.col("doc_id"))
+    classes = materialize(classes, "classes")
+    nodes = (usable.join(classes.select("digest", "node", F.col("doc_id").alias("d"), F.col("mark").alias("m")), "digest")
+             .filter("doc_id = d and mark = m").select("node", "tokens").dropDuplicates(["node"]))
     postings = materialize(nodes.select("node", F.explode("tokens").alias("token")), "postings")
     shared = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     lists = materialize(
@@ -324,7 +350,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
              .select("a", F.col("node").alias("b")).distinct())
     best = (agreeing(stars, lists).filter(F.col("hits") >= MATCHES).groupBy("b")
             .agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a")).select("a", "b"))
-    first = materialize(confirmed(materialize(best, "stars"), docs), "links")
+    first = materialize(confirmed(materialize(best, "stars"), classes, docs), "links")
     tied = components(first)
 
     # Round two: whatever else the lists hold across components.
@@ -335,13 +361,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     names = label.select("node", "label").distinct()
     suspects = materialize(_suspects(open_, nodes), "suspects")
     clusters = components(suspects)
-    second = materialize(_linked(clusters.join(names, "node"), docs), "links")
-    joined = components(first.union(second))
-
-    of_class = (classes.join(joined, "node", "left")
+    second = materialize(_linked(clusters.join(names, "node").join(classes.drop("digest"), "node"), docs), "links")
+    links = first.union(second)
+    if again:                                      # from classes to ids, and an id to all of its classes
+        for x in "ab":
+            links = (links.join(classes.select(F.col("node").alias(x), F.col("doc_id").alias("of")), x)
+                     .drop(x).withColumnRenamed("of", x))
+        own = (usable.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "digest")
+               .join(classes.select("digest", F.col("doc_id").alias("b")), "digest").select("a", "b"))
+        links = links.select("a", "b").union(own)
+    joined = components(links)
+
+    of_class = (classes.select("digest", F.col("doc_id").alias("node")).join(joined, "node", "left")
                 .select("digest", F.coalesce("component", "node").alias("component_id")))
-    return (signed.join(of_class, "digest", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    found = signed.join(of_class, "digest", "left")
+    if again:                                      # a row without words goes with its id's other texts
+        found = (found.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+                 .withColumn("component_id", F.coalesce("component_id", "component")))
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

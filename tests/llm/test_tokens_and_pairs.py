@@ -288,3 +288,15 @@ def test_near_copies_equal_brute_force(spark, words, messy_rows, nothing, messy)
     assert {r.component_id for r in again if r.doc_id is None} == {None}
     assert {r.component_id for r in again if r.doc_id in (5, 31, 32)} == {5} and {r.component_id for r in again if r.doc_id == 8} == {7}
     assert minhash.near_duplicates(nothing).count() == 0
+
+
+def test_different_texts_of_one_id_all_link(spark, words):
+    rng = random.Random(12)
+    a, b, c, d, e, f = (" ".join(rng.choice(words) for _ in range(80)) for _ in range(6))
+    rows = [(5, a), (5, b), (5, c), (5, ""), (6, a + " x"), (7, b + " y"), (8, c + " z"), (9, b), (3, d), (10, d + " x"), (10, f),
+            (11, e), (11, f + " y"), (12, e + " x"), (2, f + " z"), (20, "alone " * 9), (21, ""), (20, "")]
+    want = {5: 5, 6: 5, 7: 5, 8: 5, 9: 5, 3: 2, 10: 2, 11: 2, 12: 2, 2: 2, 20: 20, 21: 21}
+    for order in (rows, rows[::-1]):
+        got = minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()
+        assert len(got) == len(rows)
+        assert [(r.doc_id, r.component_id) for r in got if r.component_id != want[r.doc_id]] == []
