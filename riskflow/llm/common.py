@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import pickle
 import zlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -46,3 +49,14 @@ def crc32(data: bytes) -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
+    """``fit`` of a sample of bounded size, run in one task; only the pickled model comes to the driver."""
+    columns = sample.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"model": [pickle.dumps(fit(pd.concat([pd.DataFrame(columns=columns), *batches])))]})
+
+    models = sample.repartition(1).mapInPandas(run, "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else fit(pd.DataFrame(columns=columns))

@@ -10,10 +10,11 @@ is clipped to [-1, 1]. It is trained in numpy by back-propagation through time,
 loss of every position, with Adam.
 
 Training is bounded: at most ``SAMPLE`` documents of each language (the first in a hash
-order of their ids) and ``WINDOWS_PER_TEXT`` windows of each, at seeded places. Prediction is one pass, no shuffle.
+order) and ``WINDOWS_PER_TEXT`` windows of each, cut where the texts are, at seeded places; the
+fit is one task's work, and the driver gets the network alone. Prediction is one pass, no shuffle.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is
-every text if there is nothing to learn from; ties go to the first language in order;
+every text if there is nothing to learn from; equal texts get equal results and an empty table no rows; ties go to the first language in order;
 rows without a language, or over ``TRAIN_CHARS`` characters, are not learned from.
 """
 
@@ -224,23 +225,32 @@ def train(docs: DataFrame, sample: int = SAMPLE, hidden: int = HIDDEN) -> Networ
     grain = 1 << 20
     share = F.create_map(*[F.lit(x) for k in languages
                            for x in (k, max(1, min(grain, 2 * sample * grain // counts[k])))])
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(grain))
-    rows = (usable.filter(spot < share[F.col("lang")]).withColumn("spot", F.xxhash64("doc_id"))
-            .toPandas().sort_values(["lang", "spot", "text"]).groupby("lang").head(sample))
-    rng = np.random.default_rng(5)
-    windows, valid, label = [], [], []
-    for text, lang in zip(rows["text"], rows["lang"]):
-        data = text.encode("utf-8", "replace")
-        for a in rng.integers(0, max(1, len(data) - WINDOW + 1), WINDOWS_PER_TEXT):
-            part = data[a:a + WINDOW]
-            windows.append(part.ljust(WINDOW, b"\0"))
-            valid.append(len(part))
-            label.append(languages.index(lang))
-    ids = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WINDOW).T
-    mask = (np.arange(WINDOW)[:, None] < np.array(valid)).astype(np.float32)
-    network = Network(languages, hidden)
-    network.fit(np.ascontiguousarray(ids), mask, np.array(label))
-    return network
+    spot = F.xxhash64("doc_id", "text")
+    picked = usable.filter(F.pmod(spot, F.lit(grain)) < share[F.col("lang")]).withColumn("spot", spot)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(lang, at, *_windows(text, at)) for text, lang, at in zip(batch["text"], batch["lang"], batch["spot"])],
+                               columns=["lang", "spot", "windows", "valid"])
+
+    def fit_windows(rows: pd.DataFrame) -> Network:
+        rows = rows.sort_values(["lang", "spot", "windows"]).groupby("lang").head(sample)
+        ids = np.frombuffer(b"".join(rows["windows"]), np.uint8).reshape(-1, WINDOW).T
+        valid = np.frombuffer(b"".join(rows["valid"]), np.uint8)
+        label = np.repeat([languages.index(x) for x in rows["lang"]], [len(v) for v in rows["valid"]])
+        network = Network(languages, hidden)
+        network.fit(np.ascontiguousarray(ids), (np.arange(WINDOW)[:, None] < valid).astype(np.float32), label)
+        return network
+
+    return common.fitted(picked.mapInPandas(cut, "lang string, spot long, windows binary, valid binary"), fit_windows)
+
+
+def _windows(text: str, seed: int) -> tuple[bytes, bytes]:
+    """``WINDOWS_PER_TEXT`` padded windows of a text at places drawn from the seed, and their sizes."""
+    data = text.encode("utf-8", "replace")
+    places = np.random.default_rng(seed & 0xFFFFFFFF).integers(0, max(1, len(data) - WINDOW + 1), WINDOWS_PER_TEXT)
+    parts = [data[a:a + WINDOW] for a in places]
+    return b"".join(p.ljust(WINDOW, b"\0") for p in parts), bytes(len(p) for p in parts)
 
 
 def predict_column(network: Network):

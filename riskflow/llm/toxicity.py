@@ -12,11 +12,12 @@ toxic and clean labelled documents are kept (at most ``FEATURES``).
 
 Training is bounded: at most ``SAMPLE`` labelled documents of each class, the first in a
 hash order of their ids (ids alone are ranked; the chosen texts are then fetched through a
-join with that list), and ``SAMPLE_CHARS`` characters; clean documents are weighted back to
-their true share. Scoring covers every whole text, one pass, no shuffle.
+join with that list) of at most ``TEXT_CHARS`` characters, and ``SAMPLE_CHARS`` in all, in hash
+order; clean documents are weighted back to their true share. The fit is one task's work: the
+driver gets ids, lengths and the model, never a text. Scoring covers every whole text, one pass, no shuffle.
 
 Defined results: null text is empty; a text without a sentence scores the noisy-or of no
-sentence, 0; labels that are null, or of unknown documents, are not learned from; without
+sentence, 0; an empty table gives no rows, and equal rows equal scores; labels that are null, or of unknown documents, are not learned from; without
 both classes in the labels, every score is the share of toxic ones (0 if none).
 """
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskflow.llm import common
+from riskflow.operators.materialize import materialize
 
 PREFIXES = (3, 4, 5, 6, 7)
 FEATURES = 3000
 SAMPLE = 2500
 SAMPLE_CHARS = 40_000_000
+TEXT_CHARS = 400_000
 WORD_MEMO = 300_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -94,6 +97,13 @@ class Model:
         return min(1.0, max(0.0, doc)), [(a, b, float(x)) for (a, b), x in zip(spans, p) if x >= 0.5]
 
 
+def _spread(flat: np.ndarray, count: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every entry of every item's list: the item's place in ``items``, and the entry."""
+    n, first = count[items], np.cumsum(count) - count
+    at = np.repeat(np.arange(len(items)), n)
+    return at, flat[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[items], n)]
+
+
 def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0, steps: int = 300,
         rate: float = 0.1, decay: float = 1e-4) -> Model:
     """Train on documents and their 0/1 labels; ``clean_weight`` is a clean document's weight."""
@@ -101,38 +111,43 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0, steps: i
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(-40.0, {}, constant=share)
-    bags, present = [], {0: Counter(), 1: Counter()}
-    for text, label in zip(texts, labels):
-        low = text.lower()
-        bag = [frozenset(w) for m in _SENTENCE.finditer(low) if (w := _WORD.findall(m[0]))]
-        bags.append(bag)
-        words = frozenset().union(*bag)
-        present[label].update({f for w in words for f in features(w)})
+    # sentences as word numbers, words as feature numbers
+    number: dict[str, int] = {}
+    found, sizes, owner = array("i"), [], []
+    for d, text in enumerate(texts):
+        for m in _SENTENCE.finditer(text.lower()):
+            if words := set(_WORD.findall(m[0])):
+                found.extend(number.setdefault(w, len(number)) for w in words)
+                sizes.append(len(words))
+                owner.append(d)
+    word, owner = np.array(found, np.int64), np.array(owner, np.int64)
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    named: dict[str, int] = {}
+    table = [[named.setdefault(f, len(named)) for f in features(w)] for w in number]
+    flat = np.array([f for fs in table for f in fs], np.int64)
+    count = np.array([len(fs) for fs in table], np.int64)
+    # documents that hold each feature, by label
+    pairs = np.unique(owner[sentence] * len(number) + word)
+    at, feature = _spread(flat, count, pairs % max(1, len(number)))
+    held = np.unique((pairs // max(1, len(number)))[at] * max(1, len(named)) + feature)
+    toxic = y[held // max(1, len(named))] == 1
+    inside = np.bincount(held[toxic] % max(1, len(named)), minlength=len(named))
     n1, n0 = y.sum(), len(y) - y.sum()
-    strength = {}
-    for f, a in present[1].items():
-        a_rate, b_rate = a / n1, present[0][f] / n0
-        if a >= 3 and a_rate > b_rate:
-            strength[f] = (a_rate - b_rate) / math.sqrt(a_rate * (1 - a_rate) / n1 + (b_rate + 1 / n0) / n0 + 1e-12)
-    chosen = sorted(strength, key=lambda f: (-strength[f], f))[:FEATURES]
-    index = {f: i for i, f in enumerate(chosen)}
-
-    memo: dict[str, list[int]] = {}
-    doc_of, row_of, col_of, silent = [], [], [], np.zeros(len(y))
-    for d, bag in enumerate(bags):
-        for words in bag:
-            cols = []
-            for w in words:
-                if w not in memo:
-                    memo[w] = [index[f] for f in features(w) if f in index]
-                cols += memo[w]
-            if cols:
-                row_of += [len(doc_of)] * len(cols)
-                col_of += cols
-                doc_of.append(d)
-            else:
-                silent[d] += 1
-    doc_of, row_of, col_of = (np.array(x, dtype=np.int64) for x in (doc_of, row_of, col_of))
+    a_rate, b_rate = inside / n1, np.bincount(held[~toxic] % max(1, len(named)), minlength=len(named)) / n0
+    strength = (a_rate - b_rate) / np.sqrt(a_rate * (1 - a_rate) / n1 + (b_rate + 1 / n0) / n0 + 1e-12)
+    names = list(named)
+    usable = np.flatnonzero((inside >= 3) & (a_rate > b_rate)).tolist()
+    picked = sorted(usable, key=lambda f: (-strength[f], names[f]))[:FEATURES]
+    chosen = [names[f] for f in picked]
+    index = np.full(len(names), -1)
+    index[picked] = np.arange(len(picked))
+
+    at, feature = _spread(flat, count, word)
+    col = index[feature]
+    loud = col >= 0
+    voiced, row_of = np.unique(sentence[at[loud]], return_inverse=True)
+    col_of, doc_of = col[loud], owner[voiced]
+    silent = (np.bincount(owner, minlength=len(y)) - np.bincount(doc_of, minlength=len(y))).astype(float)
     weight = np.where(y == 1, 1.0, clean_weight)
     weight /= weight.sum()
     theta = np.zeros(len(chosen) + 1)
@@ -169,15 +184,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return fit([], [])
     listed = picked.collect()                          # at most 2 * sample ids
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in listed], "doc_id long, toxic int")
-    rows = (docs.filter(F.length("text") <= SAMPLE_CHARS // 100).join(F.broadcast(ids), "doc_id")
-            .groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).toPandas())
-    rows = rows.sort_values("doc_id")
-    rows = rows[rows["text"].str.len().cumsum() <= SAMPLE_CHARS]
-    found = rows["toxic"].value_counts()
-    ratio = 1.0
-    if len(found) == 2:
-        ratio = (totals[0] / found[0]) / (totals[1] / found[1])
-    return fit(rows["text"].tolist(), rows["toxic"].tolist(), clean_weight=ratio)
+    rows = materialize(docs.filter(F.length("text") <= TEXT_CHARS).join(F.broadcast(ids), "doc_id")
+                       .groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+                       .withColumn("spot", order), "toxicity-sample")
+    chars, last = 0, None                              # the hash up to which the texts are within SAMPLE_CHARS
+    for r in sorted(rows.select("spot", F.length("text").alias("n")).collect()):
+        chars += r["n"]
+        if chars > SAMPLE_CHARS:
+            break
+        last = r["spot"]
+    if last is None:
+        return fit([], [])
+
+    def fit_sample(held: pd.DataFrame) -> Model:
+        held = held.sort_values("doc_id")
+        found = held["toxic"].value_counts()
+        ratio = (totals[0] / found[0]) / (totals[1] / found[1]) if len(found) == 2 else 1.0
+        return fit(held["text"].tolist(), held["toxic"].tolist(), clean_weight=ratio)
+
+    return common.fitted(rows.filter(F.col("spot") <= last).select("doc_id", "toxic", "text"), fit_sample)
 
 
 SCORED = "score double, offending array<struct<start:int,end:int,score:double>>"
