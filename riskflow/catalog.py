@@ -362,6 +362,8 @@ def q_retry_report(spark, sf_dir):
 from pyspark.sql import types as T  # noqa: E402
 
 from riskflow.plans import ingest as ig  # noqa: E402
+from riskflow.sources.testdata import REPORT_NAMESPACE  # noqa: E402
+from riskflow.sources.xmldocs import declared_namespace, profile, read_documents  # noqa: E402
 
 
 @register("xml_codes")
@@ -369,7 +371,7 @@ def q_xml_codes(spark, sf_dir):
     """Reports written as text files (one per line) to the shared scratch folder, then read back."""
     path = scratch_folder(spark, "xml-reports")
     TestData(spark, sf_dir).xml_reports.select("doc").write.text(path)
-    return ig.xml_codes(spark, path, one_per_file=False)
+    return ig.xml_codes(spark, path, one_per_file=False, namespace=REPORT_NAMESPACE)
 
 
 @register("xml_files_csv")
@@ -377,14 +379,29 @@ def q_xml_files_csv(spark, sf_dir):
     """Reports stored one to a file, shredded to a CSV, which is read back."""
     path, out = scratch_folder(spark, "xml-files"), scratch_folder(spark, "xml-csv")
     TestData(spark, sf_dir).supplier_reports.select("id", "doc").write.partitionBy("id").text(path)
-    ig.xml_folder_to_csv(spark, path, out)
+    ig.xml_folder_to_csv(spark, path, out, namespace=declared_namespace(read_documents(spark, path)))
     return spark.read.option("header", "true").schema("CODE string, ID string").csv(out)
 
 
 @register("xml_column_codes")
 def q_xml_column_codes(spark, sf_dir):
     """The XML column is a stored table in the source: write the generated one once."""
-    return ig.xml_column_codes(materialize(TestData(spark, sf_dir).xml_column, "xml1"))
+    return ig.xml_column_codes(materialize(TestData(spark, sf_dir).xml_column, "xml1"), namespace=REPORT_NAMESPACE)
+
+
+@register("xml_bound_codes")
+def q_xml_bound_codes(spark, sf_dir):
+    """First text of every code of one namespace, under one root, from reports of mixed forms."""
+    table = materialize(TestData(spark, sf_dir).xml_mixed, "xml2")
+    return ig.xml_column_codes(table, namespace=REPORT_NAMESPACE, texts="first", width=32)
+
+
+@register("xml_profile")
+def q_xml_profile(spark, sf_dir):
+    """Element paths of all stored reports: documents, occurrences, children, texts, attributes."""
+    td = TestData(spark, sf_dir)
+    docs = td.xml_mixed.select("testxml").union(td.xml_column.select("testxml"))
+    return profile(docs, "testxml")
 
 
 SUPPLIER_TYPES = (T.LongType(), T.StringType(), T.IntegerType(), T.DoubleType())

@@ -263,8 +263,24 @@ SELECT l_orderkey AS id,
                ELSE '' END
        || '</ns:creditBureau>' AS testxml
 FROM {lineitem}""", ("lineitem",)),
+    # stored reports with what a text search gets wrong: codes of a foreign namespace, texts parted by
+    # comments and elements, CDATA, empty codes, attributes, other roots, a leading instruction, CRLF
+    "xml_mixed": ("""
+SELECT o_orderkey AS id,
+       '<?xml version="1.0"?><?made by=hand?>' || chr(13) || chr(10)
+       || '<c:' || CASE WHEN o_orderkey % 11 = 0 THEN 'archive' ELSE 'creditBureau' END
+       || ' xmlns:c="http://example.com/credit" xmlns="http://example.com/other" version="2">'
+       || '<code>foreign</code><c:subject seq="1" c:kind="p"><c:userRefNumber>' || CAST(o_custkey AS STRING)
+       || '</c:userRefNumber></c:subject><c:code>0<!-- parted -->' || o_orderstatus || '</c:code>'
+       || CASE WHEN o_orderkey % 3 = 0 THEN '<c:code/>' ELSE '<c:alerts n="' || o_orderstatus || '"><c:code><![CDATA[A&]]>B'
+               || '<c:note>x</c:note>C</c:code></c:alerts>' END
+       || '</c:' || CASE WHEN o_orderkey % 11 = 0 THEN 'archive' ELSE 'creditBureau' END || '>' AS testxml
+FROM {orders}""", ("orders",)),
 }
 
+# Fixed value: the namespace that the stand-in reports declare.
+REPORT_NAMESPACE = "http://example.com/credit"
+
 
 @dataclass(frozen=True)
 class Params:

@@ -158,3 +158,70 @@ def test_prefixed_reports_take_the_fast_path(spark):
          ("<r><code>A<b/></code></r>",)], "doc string")
     got = [r[0] for r in docs.select(simple_form(F.col("doc"), ["code"])).collect()]
     assert got == [True, True, False]
+
+
+MIXED = [
+    (1, '<c:creditBureau xmlns:c="u" xmlns="v"><code>foreign</code><c:code>0<!-- x -->2</c:code><c:code/></c:creditBureau>'),
+    (2, '<creditBureau xmlns="u"><code>a<b/>c</code><code> \n </code><code><![CDATA[<x>]]>y</code></creditBureau>'),
+    (3, '<creditBureau><code>none</code></creditBureau>'),
+    (4, '<?xml version="1.0" encoding="UTF-16"?><?pi x?>\r\n<c:creditBureau xmlns:c="u"><c:code>p\r\nq</c:code></c:creditBureau>'),
+    (5, '<c:other xmlns:c="u"><c:code>no</c:code></c:other>'),
+    (6, None),
+]
+
+
+def test_names_are_bound_to_one_namespace_and_texts_are_first_or_each(spark):
+    from riskflow.sources.xmldocs import shred
+    docs = spark.createDataFrame(MIXED, "id int, testxml string")
+
+    def run(**how):
+        return sorted(((r.id, r.code) for r in xml_column_codes(docs, **how).collect()), key=str)
+    assert run(namespace="u", texts="first") == sorted(
+        [(1, "0"), (1, None), (2, "a"), (2, None), (2, "<x>y"), (4, "p\nq")], key=str)
+    assert run(namespace="u") == sorted([(1, "0"), (1, "2"), (2, "a"), (2, "c"), (2, " \n "), (2, "<x>y"), (4, "p\nq")], key=str)
+    assert run(namespace="") == [(3, "none")]
+    assert (1, "foreign") in run() and (3, "none") in run()
+    keyed = spark.createDataFrame([('<r xmlns="u"><k xmlns="v">other</k><a>1</a><k><n>no</n></k><k>yes</k><a>2</a></r>',)], "doc string")
+    got = shred(keyed, "doc", "a", "A", {"K": "k", "M": "missing"}, namespace="u").collect()
+    assert [(r.A, r.K, r.M) for r in got] == [("1", "yes", ""), ("2", "yes", "")]
+
+
+@pytest.mark.parametrize("doc", ["<r><code>A</code>", "", "<r><a></r></a>", "<r>&nope;</r>", "<x:r><code>A</code></x:r>", "<r/><r/>"])
+def test_documents_that_are_not_well_formed_raise(spark, doc):
+    from riskflow.sources.xmldocs import profile
+    docs = spark.createDataFrame([(1, doc)], "id int, testxml string")
+    with pytest.raises(Exception, match="well-formed"):
+        xml_column_codes(docs).collect()
+    with pytest.raises(Exception, match="well-formed"):
+        profile(docs, "testxml").collect()
+
+
+def test_one_parse_equals_xpath_where_both_apply(spark):
+    from riskflow.sources.xmldocs import shred
+    docs = spark.createDataFrame([(i, d) for i, d in enumerate(TRICKY)], "i int, doc string")
+
+    def run(engine):
+        return sorted(tuple(r) for r in shred(docs, "doc", "code", "CODE", {"ID": "userRefNumber"}, keep=("i",), engine=engine).collect())
+    assert run("parse") == run("xpath")
+    with pytest.raises(ValueError):
+        shred(docs, "doc", "code", "CODE", engine="xpath", namespace="u")
+
+
+def test_profile_merges_over_tasks(spark):
+    from riskflow.sources.xmldocs import profile
+    docs = [('<r a="1"><x>t</x><x/></r>',), ('<r b="2" a="3"><x k="1"><y/> </x></r>',), (None,), ('<r xmlns="u"><x/></r>',)]
+    got = {r.path: r for r in profile(spark.createDataFrame(docs, "doc string").repartition(4)).collect()}
+    assert set(got) == {"/r", "/r/x", "/r/x/y", "/{u}r", "/{u}r/{u}x"}
+    r, x = got["/r"], got["/r/x"]
+    assert (r.documents, r.occurrences, r.least_children, r.most_children, r.texts, r.attributes, r.depth) == (2, 2, 1, 2, 0, "a,b", 1)
+    assert (x.documents, x.occurrences, x.least_children, x.most_children, x.texts, x.attributes, x.depth) == (2, 3, 0, 1, 1, "k", 2)
+    assert got["/{u}r/{u}x"].depth == 2
+    assert profile(spark.createDataFrame([], "doc string")).count() == 0
+
+
+def test_declared_namespace_is_the_first_files(spark):
+    from riskflow.sources.xmldocs import declared_namespace
+    d = tempfile.mkdtemp(prefix="rf-ns-")
+    _write(d, "b.xml", '<r xmlns="urn:second"/>')
+    _write(d, "a.xml", '<p:r xmlns:p="urn:first"/>')
+    assert declared_namespace(read_documents(spark, d)) == "urn:first"
