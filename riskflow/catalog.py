@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 from riskflow.operators.materialize import materialize, scratch_folder
 from riskflow.plans import collections as col
 from riskflow.plans import retry_cost as rc
+from riskflow.sources.sinks import read_table
 from riskflow.sources.testdata import PARAMS, TestData
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,7 +80,16 @@ def q_collection_by_days(spark, sf_dir):
     """The list stored as a table, read back by days."""
     path = scratch_folder(spark, "stored-list")
     col.store_list(q_collection_list(spark, sf_dir), path, full_refresh=True)
-    return col.stored_by_days(spark.read.parquet(path))
+    return col.stored_by_days(read_table(spark, path))
+
+
+@register("collection_appended")
+def q_collection_appended(spark, sf_dir):
+    """The list of an earlier day stored, the day's unseen leases appended, the whole table read back."""
+    td, path = TestData(spark, sf_dir), scratch_folder(spark, "appended-list")
+    for day, refresh in ((PARAMS.collections_prev_as_of, True), (PARAMS.collections_as_of, False)):
+        col.store_list(_list(td, day), path, full_refresh=refresh)
+    return read_table(spark, path)
 
 
 @register("collection_new_only")
@@ -363,7 +373,13 @@ from pyspark.sql import types as T  # noqa: E402
 
 from riskflow.plans import ingest as ig  # noqa: E402
 from riskflow.sources.testdata import REPORT_NAMESPACE  # noqa: E402
-from riskflow.sources.xmldocs import declared_namespace, profile, read_documents  # noqa: E402
+from riskflow.sources.xmldocs import profile  # noqa: E402
+
+
+def _stored_reports(spark, reports):
+    """A stored table of generated reports, in as many files as there are cores: equal-looking
+    reports compress to files so small that one task would parse them all."""
+    return materialize(reports.repartition(spark.sparkContext.defaultParallelism), "reports")
 
 
 @register("xml_codes")
@@ -379,20 +395,20 @@ def q_xml_files_csv(spark, sf_dir):
     """Reports stored one to a file, shredded to a CSV, which is read back."""
     path, out = scratch_folder(spark, "xml-files"), scratch_folder(spark, "xml-csv")
     TestData(spark, sf_dir).supplier_reports.select("id", "doc").write.partitionBy("id").text(path)
-    ig.xml_folder_to_csv(spark, path, out, namespace=declared_namespace(read_documents(spark, path)))
+    ig.xml_folder_to_csv(spark, path, out, namespace=REPORT_NAMESPACE)
     return spark.read.option("header", "true").schema("CODE string, ID string").csv(out)
 
 
 @register("xml_column_codes")
 def q_xml_column_codes(spark, sf_dir):
     """The XML column is a stored table in the source: write the generated one once."""
-    return ig.xml_column_codes(materialize(TestData(spark, sf_dir).xml_column, "xml1"), namespace=REPORT_NAMESPACE)
+    return ig.xml_column_codes(_stored_reports(spark, TestData(spark, sf_dir).xml_column), namespace=REPORT_NAMESPACE)
 
 
 @register("xml_bound_codes")
 def q_xml_bound_codes(spark, sf_dir):
     """First text of every code of one namespace, under one root, from reports of mixed forms."""
-    table = materialize(TestData(spark, sf_dir).xml_mixed, "xml2")
+    table = _stored_reports(spark, TestData(spark, sf_dir).xml_mixed)
     return ig.xml_column_codes(table, namespace=REPORT_NAMESPACE, texts="first", width=32)
 
 
@@ -400,8 +416,7 @@ def q_xml_bound_codes(spark, sf_dir):
 def q_xml_profile(spark, sf_dir):
     """Element paths of all stored reports: documents, occurrences, children, texts, attributes."""
     td = TestData(spark, sf_dir)
-    docs = td.xml_mixed.select("testxml").union(td.xml_column.select("testxml"))
-    return profile(docs, "testxml")
+    return profile(_stored_reports(spark, td.xml_mixed.union(td.xml_column)), "testxml")
 
 
 SUPPLIER_TYPES = (T.LongType(), T.StringType(), T.IntegerType(), T.DoubleType())

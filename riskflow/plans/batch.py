@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from riskflow.plans import features as fe, risk_codes as rk, scoring as sc
-from riskflow.sources.sinks import replace_table
+from riskflow.sources.sinks import read_table, replace_table
 
 #: The tables that the batch reads, by the names it asks for.
 TABLES = ("lease_view", "lease_period", "dim_approval", "fact_leasesum", "dim_store", "bank", "cart", "client_info",
@@ -44,4 +44,4 @@ def score_batch(table: Callable[[str], DataFrame], coefs: DataFrame, path: str,
     bins = fe.bin_features(fe.with_distance(assemble(table, cohort, attrs)), quintile_cutover)
     final = sc.Grades(sc.score(bins, coefs), grade_from).final
     replace_table(final, path)
-    return final.sparkSession.read.parquet(path)
+    return read_table(final.sparkSession, path)

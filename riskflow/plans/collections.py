@@ -24,7 +24,7 @@ from riskflow.functions.numeric import safe_ratio
 from riskflow.functions.strings import same_text
 from riskflow.operators.dedup import not_in_keys, rows_with_duplicate_key
 from riskflow.operators.intervals import as_of_slice
-from riskflow.sources.sinks import append_unseen, replace_table, table_exists
+from riskflow.sources.sinks import append_unseen, read_table, replace_table, table_exists
 
 # Journal descriptions of buyout payments.
 SETTLED = "Payment - Settled"
@@ -167,12 +167,9 @@ def store_list(final_list: DataFrame, path: str, full_refresh: bool = False) ->
     whose key is not stored yet are appended (their added date is today). Returns
     the number of rows written.
     """
-    if full_refresh:
+    if full_refresh or not table_exists(final_list.sparkSession, path):
         replace_table(final_list, path)
-        return final_list.sparkSession.read.parquet(path).count()
-    if not table_exists(final_list.sparkSession, path):
-        replace_table(final_list, path)
-        return final_list.sparkSession.read.parquet(path).count()
+        return read_table(final_list.sparkSession, path).count()
     return append_unseen(final_list, path, "approvalbkey")
 
 

@@ -31,7 +31,7 @@ from riskflow.operators.intervals import calendar, explode_days
 from riskflow.operators.materialize import materialize
 from riskflow.operators.running import running_window, whole_partition
 from riskflow.sources.codes import DQ_STATUSES
-from riskflow.sources.sinks import replace_table
+from riskflow.sources.sinks import read_table, replace_table
 
 # Cost per retry attempt by processing step and outcome, and the
 # number of card transactions each step makes.
@@ -237,5 +237,5 @@ def retry_report(spark, dq_journal, card_attempts, dim_approval, fact_leasesum,
 def publish_retry_report(path: str, *tables, **options) -> DataFrame:
     """Write the report as a stored table (replacing the last one) and read it back."""
     replace_table(retry_report(*tables, **options), path)
-    return tables[0].read.parquet(path)
+    return read_table(tables[0], path)
 

@@ -71,7 +71,7 @@ def read(doc: str, wanted: Wanted, root: Wanted | None, each: bool) -> tuple[lis
 
     def flush() -> None:
         nonlocal held
-        if held and stack:
+        if stack:
             n, place = stack[-1]
             if n == 0 and inside:
                 if each:
@@ -84,7 +84,8 @@ def read(doc: str, wanted: Wanted, root: Wanted | None, each: bool) -> tuple[lis
 
     def start(name: str, attributes: dict) -> None:
         nonlocal inside
-        flush()
+        if held:
+            flush()
         if not stack and root is not None:
             inside = root.number(name) == 0
         n = wanted.number(name)
@@ -93,13 +94,15 @@ def read(doc: str, wanted: Wanted, root: Wanted | None, each: bool) -> tuple[lis
             values.append(None)
 
     def end() -> None:
-        flush()
+        if held:
+            flush()
         stack.pop()
 
     def text(data: str | None) -> None:
         nonlocal held
         if data is None:
-            flush()
+            if held:
+                flush()
         else:
             held += data
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from riskflow.sources.sinks import append_unseen, table_exists
+from riskflow.sources.sinks import append_unseen, replace_table, table_exists
 
 
 def append_unseen_batches(path: str, key: str) -> Callable[[DataFrame, int], None]:
@@ -22,6 +22,6 @@ def append_unseen_batches(path: str, key: str) -> Callable[[DataFrame, int], Non
         if table_exists(batch.sparkSession, path):
             append_unseen(batch, path, key)
         else:
-            batch.write.mode("append").parquet(path)
+            replace_table(batch, path)
 
     return run

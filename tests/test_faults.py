@@ -7,7 +7,7 @@ import tempfile
 import pytest
 
 from riskflow.plans import collections as col, features as fe, retry_cost as rc
-from riskflow.sources.sinks import append_unseen, table_exists
+from riskflow.sources.sinks import append_unseen, read_table, table_exists
 from riskflow.streaming import append_unseen_batches
 
 D = dt.date
@@ -45,7 +45,7 @@ def test_first_run_creates_the_table_and_staging_goes(spark):
     rows = spark.range(5).withColumnRenamed("id", "approvalbkey")
     assert col.store_list(rows, path) == 5
     assert append_unseen(spark.range(3, 8).withColumnRenamed("id", "approvalbkey"), path, "approvalbkey") == 3
-    assert spark.read.parquet(path).count() == 8
+    assert read_table(spark, path).count() == 8
     assert os.listdir(base) == ["list"]
 
 

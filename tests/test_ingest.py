@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import types as T
 
 from riskflow.plans.ingest import combine_delimited, xml_codes, xml_column_codes
-from riskflow.sources.sinks import append_unseen, replace_table
+from riskflow.sources.sinks import append_unseen, read_table, replace_table
 from riskflow.sources.xmldocs import node_count, read_documents
 
 
@@ -60,7 +60,7 @@ def test_replace_and_append_unseen(spark):
     replace_table(first, path)
     new = spark.createDataFrame([(2, "b2"), (3, "c")], "approvalbkey long, v string")
     assert append_unseen(new, path, "approvalbkey") == 1
-    rows = sorted(tuple(r) for r in spark.read.parquet(path).collect())
+    rows = sorted(tuple(r) for r in read_table(spark, path).collect())
     assert rows == [(1, "a"), (2, "b"), (3, "c")]
 
 
@@ -94,7 +94,7 @@ def test_store_list_refresh_then_append(spark):
                                  "approvalbkey long, added_to_list_date string")
     assert store_list(day1, path, full_refresh=True) == 2
     assert store_list(day2, path) == 1
-    rows = sorted(tuple(r) for r in spark.read.parquet(path).collect())
+    rows = sorted(tuple(r) for r in read_table(spark, path).collect())
     assert rows == [(1, "2024-01-01"), (2, "2024-01-01"), (3, "2024-01-02")]
 
 

@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+from riskflow.sources.sinks import read_table
 from riskflow.streaming import append_unseen_batches
 
 
@@ -17,5 +18,5 @@ def test_stream_appends_only_unseen_keys(spark):
          .writeStream.foreachBatch(append_unseen_batches(table, "approvalbkey"))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination(120)
-    keys = sorted(r[0] for r in spark.read.parquet(table).select("approvalbkey").collect())
+    keys = sorted(r[0] for r in read_table(spark, table).select("approvalbkey").collect())
     assert keys == [1, 2, 3]
