@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from riskflow.functions.strings import same_text
 from riskflow.operators.materialize import materialize, scratch_folder
 from riskflow.plans import collections as col
 from riskflow.plans import retry_cost as rc
@@ -276,6 +277,27 @@ def q_risk_onehot_absence(spark, sf_dir):
     return rk.risk_flags_absence(_Features(spark, sf_dir).risk_codes())
 
 
+def _new_codes(spark, sf_dir):
+    td = TestData(spark, sf_dir)
+    return rk.risk_codes(td.lease_view, td.fp_applicant, td.fp_risk_indicators_new)
+
+
+@register("risk_discovered_presence")
+def q_risk_discovered_presence(spark, sf_dir):
+    """A column for every code that the data holds, on the list or not."""
+    return rk.risk_flags_presence(_new_codes(spark, sf_dir), rk.DISCOVERED)
+
+
+@register("risk_discovered_absence")
+def q_risk_discovered_absence(spark, sf_dir):
+    return rk.risk_flags_absence(_new_codes(spark, sf_dir), rk.DISCOVERED)
+
+
+@register("risk_code_lists")
+def q_risk_code_lists(spark, sf_dir):
+    return rk.risk_code_lists(_new_codes(spark, sf_dir))
+
+
 @register("risk_catalogue")
 def q_risk_catalogue(spark, sf_dir):
     return rk.risk_catalogue(TestData(spark, sf_dir).fp_risk_indicators)
@@ -303,13 +325,13 @@ def q_feature_bins(spark, sf_dir):
 @register("score_core")
 def q_score_core(spark, sf_dir):
     s = _Features(spark, sf_dir).scores()
-    return rounded(s.filter(F.col("storetype") == "CORE"), 6)
+    return rounded(s.filter(same_text("storetype", "CORE")), 6)
 
 
 @register("score_noncore")
 def q_score_noncore(spark, sf_dir):
     s = _Features(spark, sf_dir).scores()
-    return rounded(s.filter(F.col("storetype") != "CORE"), 6)
+    return rounded(s.filter(~same_text("storetype", "CORE")), 6)
 
 
 @register("score_explain")
@@ -372,6 +394,7 @@ def q_retry_report(spark, sf_dir):
 from pyspark.sql import types as T  # noqa: E402
 
 from riskflow.plans import ingest as ig  # noqa: E402
+from riskflow.sources.delimited import malformed_lines  # noqa: E402
 from riskflow.sources.testdata import REPORT_NAMESPACE  # noqa: E402
 from riskflow.sources.xmldocs import profile  # noqa: E402
 
@@ -430,3 +453,25 @@ def q_combine_tsv(spark, sf_dir):
     (sup.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
         .repartition(4).write.option("sep", "\t").option("header", "false").csv(path))
     return ig.combine_delimited(spark, path, SUPPLIER_TYPES)
+
+
+def _uneven_parts(spark, sf_dir) -> str:
+    """Supplier rows as TSV lines, of which some lack fields, have one too many or one of another type."""
+    path = scratch_folder(spark, "tsv-uneven")
+    k = F.col("s_suppkey")
+    line = F.concat_ws("\t", k.cast("string"), "s_name", F.when(k % 7 == 3, F.lit("many")).otherwise(F.col("s_nationkey").cast("string")),
+                       F.when(k % 5 != 2, F.col("s_acctbal").cast("string")), F.when(k % 11 == 4, F.lit("more")))
+    TestData(spark, sf_dir).supplier.select(line.alias("line")).write.text(path)
+    return path
+
+
+@register("combine_tsv_sound")
+def q_combine_tsv_sound(spark, sf_dir):
+    """The lines of uneven files that have every field, of its type."""
+    return ig.combine_delimited(spark, _uneven_parts(spark, sf_dir), SUPPLIER_TYPES, on_error="drop")
+
+
+@register("tsv_malformed")
+def q_tsv_malformed(spark, sf_dir):
+    """Lines of uneven files that are ragged or mistyped."""
+    return malformed_lines(spark, _uneven_parts(spark, sf_dir), SUPPLIER_TYPES).select("line")

@@ -1,7 +1,8 @@
 """One-hot encoding of a (key, code) relation, packed as bitmasks.
 
-The code list is explicit (never read back from the data on the driver), so the
-output schema is fixed. Each code gets a bit position; the aggregate per key is
+The code list is explicit, or discovered by a bounded pass first (``discover_codes``: the distinct
+codes, an error beyond a stated width), so the output schema is fixed before the rows are
+read. Each code gets a bit position; the aggregate per key is
 a ``bit_or`` of 64-bit masks (one long per 63 codes), so the partial aggregate
 and the shuffle carry a couple of longs per key instead of one buffer per code.
 Downstream joins can carry the masks (a narrow row that stays under the
@@ -15,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MOST_CODES = 2000  # columns of a discovered pivot; more is no one-hot encoding
 _BITS = 63  # bits used per long (keeps the sign bit clear)
 
 
@@ -22,6 +24,19 @@ def mask_columns(n_codes: int, prefix: str = "_w") -> list[str]:
     return [f"{prefix}{w}" for w in range((n_codes + _BITS - 1) // _BITS)]
 
 
+def discover_codes(pairs: DataFrame, code: str, known: Sequence[str] = (), most: int = MOST_CODES) -> list[str]:
+    """The known codes, in their order, and every other code that the data holds, sorted.
+
+    One distinct aggregate, whose result is cut at ``most``: with more codes than that it raises,
+    so what reaches the driver is bounded whatever the data. NULL is no code.
+    """
+    found = [r[0] for r in pairs.select(code).filter(F.col(code).isNotNull()).distinct().limit(most + 1).collect()]
+    codes = list(known) + sorted(set(found) - set(known))
+    if len(found) > most or len(codes) > most:
+        raise ValueError(f"more than {most} codes in {code}: not a column list")
+    return codes
+
+
 def onehot_masks(pairs: DataFrame, key: str, code: str, codes: Sequence[str],
                  count_col: str | None = None, mask_prefix: str = "_w") -> DataFrame:
     """``key, <mask longs>[, count]``: bit i set when the key has ``codes[i]``.
@@ -30,8 +45,10 @@ def onehot_masks(pairs: DataFrame, key: str, code: str, codes: Sequence[str],
     of distinct codes; codes outside ``codes`` set no bit but are counted.
     """
     codes = list(codes)
-    code_array = "array(" + ", ".join("'" + c.replace("'", "\\'") + "'" for c in codes) + ")"
-    pos = f"(array_position({code_array}, `{code}`) - 1)"  # -1 when not listed
+    code_array = "array(" + ", ".join("'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'" for c in codes) + ")"
+    # the position is looked up once a row, then read by every mask; -1 when not listed
+    pairs = pairs.withColumn("_pos", F.expr(f"array_position({code_array}, `{code}`) - 1"))
+    pos = "_pos"
     aggs = []
     for w, name in enumerate(mask_columns(len(codes), mask_prefix)):
         lo = w * _BITS
@@ -69,6 +86,6 @@ def onehot(pairs: DataFrame, key: str, code: str, codes: Sequence[str], prefix:
     """
     codes = list(codes)
     g = onehot_masks(pairs, key, code, codes, count_col)
-    flags = [f"{flag_sql(i, polarity)} AS `{prefix + c}`" for i, c in enumerate(codes)]
+    flags = [f"{flag_sql(i, polarity)} AS `{(prefix + c).replace('`', '``')}`" for i, c in enumerate(codes)]
     rest = [f"`{count_col}`"] if count_col else []
     return g.selectExpr(f"`{key}`", *flags, *rest)

@@ -50,13 +50,17 @@ class Model:
         return sorted({t.column for t in self.terms if t.column})
 
 
-def coefficient_maps(coefs: DataFrame, models: Sequence[str]
+def coefficient_maps(coefs: DataFrame, models: Sequence[Model | str]
                      ) -> dict[str, dict[tuple[str, str], float | None]]:
     """Read the models' (feature, level) -> weight dicts in one job.
 
     The coefficient table is a fitted model's parameters: its size is bounded by
-    the model spec (a few hundred rows), not by the data being scored.
+    the model spec (a few hundred rows), not by the data being scored. For a ``Model`` the
+    names are checked against its terms: a row that no term reads raises, as does a weight
+    without a row (one that is known to be missing is a row with a NULL weight).
     """
+    specs = {m.name: m for m in models if isinstance(m, Model)}
+    models = [m.name if isinstance(m, Model) else m for m in models]
     rows = (coefs.filter(F.col("model").isin(*models))
             .select("model", "feature", "level", "weight").limit(MOST_COEFFICIENTS + 1).collect())
     if len(rows) > MOST_COEFFICIENTS:
@@ -67,6 +71,11 @@ def coefficient_maps(coefs: DataFrame, models: Sequence[str]
         if key in out[r["model"]]:
             raise ValueError(f"coefficient given twice: {r['model']} {key}")
         out[r["model"]][key] = r["weight"]
+    for name, model in specs.items():
+        used = set(coefficient_names(model).values())
+        unknown, missing = sorted(set(out[name]) - used), sorted(used - set(out[name]))
+        if unknown or missing:
+            raise ValueError(f"coefficients of {name}: unknown {unknown[:5]}, missing {missing[:5]}")
     return out
 
 
@@ -105,9 +114,9 @@ def unpivot_coefficients(wide: DataFrame, models: Sequence[Model], name_col: str
         raise ValueError(f"several rows for model {repeated[0][name_col]}")
     parts = []
     for model, names in known.items():
-        held = [(c, *names[c.lower()]) for c in columns if c.lower() in names]
-        entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(lv).alias("level"), F.col(f"`{c}`").cast("double").alias("weight"))
-                            for c, f, lv in held])
+        given = {c.lower(): F.col(f"`{c}`").cast("double") for c in columns}
+        entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(lv).alias("level"),
+                                     given.get(n, F.lit(None).cast("double")).alias("weight")) for n, (f, lv) in names.items()])
         parts.append(wide.filter(F.col(name_col) == model).select(F.lit(model).alias("model"), F.explode(entries).alias("e"))
                      .select("model", "e.*"))
     out = parts[0]

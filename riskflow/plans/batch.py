@@ -29,7 +29,7 @@ def assemble(table: Callable[[str], DataFrame], cohort: DataFrame, attrs: DataFr
     codes = rk.risk_codes(leases, table("fp_applicant"), table("fp_risk_indicators"))
     return fe.feature_master(
         cohort, attrs, fe.bank_top1(table("bank"), attrs), fe.cart_diversity(of_cohort("cart", "approvalid", cohort)),
-        fe.card_sharing(table("bank"), attrs, CARD_SHARING_CUTOFF), fe.client_attributes(table("client_info"), attrs),
+        fe.card_sharing(table("bank"), attrs, CARD_SHARING_CUTOFF), fe.client_attributes(table("client_info"), attrs, cohort_only=True),
         fe.store_attributes(table("retail_stores"), attrs), fe.fp_attributes(table("fp_results"), cohort),
         fe.approval_amount(table("approval"), cohort), fe.payment_at_origination(attrs, table("bank")),
         fe.customer_zip_top1(of_cohort("address", "clientid", attrs)), fe.store_inception(table("lease_view")),

@@ -21,6 +21,7 @@ from riskflow.functions.numeric import great_circle_miles, safe_ratio
 from riskflow.functions.strings import folded, is_blank, not_blank_or, pad_right2, same_text, text_in
 from riskflow.operators.binning import capped_levels, range_bins
 from riskflow.operators.dedup import top1_per_key
+from riskflow.operators.groupstat import group_statistics, with_group_statistics
 from riskflow.operators.materialize import materialize
 from riskflow.sources.codes import NO_CODE, ONLINE_STORE_NUMBERS, RISK_CODES, RISK_PREFIX
 
@@ -124,13 +125,18 @@ def cart_diversity(cart: DataFrame) -> DataFrame:
                     safe_ratio("distinct_sku_count", "sku_count").alias("sku_ratio"))
 
 
-def client_attributes(client_info: DataFrame, lease_attrs: DataFrame) -> DataFrame:
-    """Client fields, age at lease date, and how many clients share the licence."""
-    lic = (client_info.groupBy("driverslicense")
-           .agg(F.count("clientid").alias("license_appear_number"))
-           .withColumnRenamed("driverslicense", "_lic"))
+def client_attributes(client_info: DataFrame, lease_attrs: DataFrame, cohort_only: bool = False) -> DataFrame:
+    """Client fields, age at lease date, and how many clients share the licence.
+
+    Licences are compared under the source collation (case and trailing blanks do not count), over
+    all clients; a licence that many of them share is joined without an exchange.
+    ``cohort_only`` gives the rows of clients with lease attributes alone.
+    """
+    held = folded("driverslicense")
+    licences = group_statistics(client_info, held, {"license_appear_number": F.count("clientid")})
+    wanted = _in_keys(client_info, "clientid", lease_attrs, "clientid") if cohort_only else client_info
     lv = lease_attrs.select(F.col("clientid").alias("_cid"), "leaseaddeddate")
-    c = (client_info.join(lic, client_info["driverslicense"] == lic["_lic"], "left")
+    c = (with_group_statistics(wanted, held, licences, ["license_appear_number"])
          .join(lv, F.col("clientid") == F.col("_cid"), "left"))
     return c.select("clientid", "driverslicense", "driverslicensestate", "dob",
                     year_boundaries("dob", "leaseaddeddate").alias("age"),

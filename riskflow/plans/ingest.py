@@ -39,9 +39,9 @@ def xml_column_codes(table: DataFrame, xml_col: str = "testxml", id_col: str = "
     return out.select((F.substring("code", 1, width) if width else F.col("code")).alias("code"), id_col)
 
 
-def combine_delimited(spark: SparkSession, path: str, types, sep: str = "\t") -> DataFrame:
-    """All files of a folder as one table (each file once, columns V1..Vn)."""
-    return read_delimited(spark, path, types, sep=sep)
+def combine_delimited(spark: SparkSession, path: str, types, sep: str = "\t", on_error: str = "raise") -> DataFrame:
+    """All files of a folder as one table (each file once, columns V1..Vn); ragged or mistyped lines raise."""
+    return read_delimited(spark, path, types, sep=sep, on_error=on_error)
 
 
 def xml_folder_to_csv(spark: SparkSession, path: str, out: str, one_per_file: bool = True,

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.operators.onehot import flag_sql, mask_columns, onehot, onehot_masks
+from riskflow.operators.onehot import discover_codes, flag_sql, mask_columns, onehot, onehot_masks
+from riskflow.operators.stringlist import string_list
 from riskflow.sources.codes import NO_CODE, RISK_CODES, RISK_PREFIX
 
+DISCOVERED = "discovered"
 CODES_WITH_NONE = list(RISK_CODES) + [NO_CODE]
 
 
@@ -30,19 +32,33 @@ def risk_codes(lease_view: DataFrame, applicant: DataFrame, indicators: DataFram
               .withColumn("sequence", F.lit(1)))
 
 
+def _columns(codes: DataFrame, code_list) -> list[str]:
+    if code_list == DISCOVERED:
+        return discover_codes(codes, "riskcode", known=CODES_WITH_NONE)
+    return list(code_list or CODES_WITH_NONE)
+
+
 def risk_flags_presence(codes: DataFrame, code_list=None) -> DataFrame:
-    """Flag 1 for each code present (absent 0), plus the code count ``_mc_v2_z_sum``."""
-    return onehot(codes, "approvalid", "riskcode", code_list or CODES_WITH_NONE, RISK_PREFIX,
+    """Flag 1 for each code present (absent 0), plus the code count ``_mc_v2_z_sum``.
+
+    ``code_list=DISCOVERED`` adds a column for every code of the data that is not on the list.
+    """
+    return onehot(codes, "approvalid", "riskcode", _columns(codes, code_list), RISK_PREFIX,
                   "presence", count_col="_mc_v2_z_sum")
 
 
 def risk_flags_absence(codes: DataFrame, code_list=None) -> DataFrame:
     """Flag 0 for each code present (absent 1), keyed ``appid``, plus ``_mc_v2_z_sum``."""
-    return (onehot(codes, "approvalid", "riskcode", code_list or CODES_WITH_NONE, RISK_PREFIX,
+    return (onehot(codes, "approvalid", "riskcode", _columns(codes, code_list), RISK_PREFIX,
                    "absence", count_col="_mc_v2_z_sum")
             .withColumnRenamed("approvalid", "appid"))
 
 
+def risk_code_lists(codes: DataFrame) -> DataFrame:
+    """Every approval's codes as one sorted, comma-separated text."""
+    return string_list(codes, ["approvalid"], "riskcode", "codes")
+
+
 RISK_MASK_PREFIX = "_risk_w"
 RISK_MASKS = mask_columns(len(CODES_WITH_NONE), RISK_MASK_PREFIX)
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.functions.numeric import logistic
+from riskflow.functions.strings import folded
 from riskflow.operators.grading import distributed_ntile, letter
 from riskflow.operators.materialize import materialize
 from riskflow.operators.scoring import (
@@ -167,7 +168,7 @@ SCORE_KEYS = ["approvalid", "storetype", "leaseaddeddate", "storeid"]
 def score(bins: DataFrame, coefs: DataFrame) -> DataFrame:
     """Probability per lease from the model of its store type (one pass, literals)."""
     core, non = core_model(), noncore_model()
-    maps = coefficient_maps(coefs, [CORE, NONCORE])
+    maps = coefficient_maps(coefs, [core, non])
     wc, wn = maps[CORE], maps[NONCORE]
     st = F.col("storetype")
     lin = F.expr(routed_sql([(IS_CORE, linear_sql(core, wc)),
@@ -182,7 +183,7 @@ def score(bins: DataFrame, coefs: DataFrame) -> DataFrame:
 def explain(bins: DataFrame, coefs: DataFrame) -> DataFrame:
     """Contribution of every model term (columns ``t_<term>``); they sum to score_linear."""
     core, non = core_model(), noncore_model()
-    maps = coefficient_maps(coefs, [CORE, NONCORE])
+    maps = coefficient_maps(coefs, [core, non])
     wc, wn = maps[CORE], maps[NONCORE]
     cc, cn = contributions(core, wc), contributions(non, wn)
     names = list(dict.fromkeys(list(cc) + list(cn)))
@@ -242,30 +243,35 @@ class Grades:
 
 
 def store_grade(prep: DataFrame, grade_from=GRADE_FROM) -> DataFrame:
-    """Mean probability per store and its quintile letter within the store type."""
+    """Mean probability per store and its quintile letter within the store type.
+
+    Store types are keys under the source collation: case and trailing blanks do not part
+    them. A store whose type is written in several ways keeps the smallest.
+    """
     stores = (prep.filter(F.col("leaseaddeddate") > F.lit(grade_from))
-              .groupBy("storetype", "storeid")
-              .agg(F.avg("probability").alias("store_probability")))
-    graded = distributed_ntile(stores, 5, ["storetype"],
+              .groupBy(folded("storetype").alias("_type"), "storeid")
+              .agg(F.min("storetype").alias("storetype"), F.avg("probability").alias("store_probability"))
+              .select("storetype", "storeid", "store_probability", "_type"))
+    graded = distributed_ntile(stores, 5, ["_type"],
                                [F.col("store_probability").asc_nulls_first(),
                                 F.col("storeid").asc_nulls_first()], out="_q")
-    return graded.withColumn("store_rank", letter(F.col("_q"))).drop("_q")
+    return graded.withColumn("store_rank", letter(F.col("_q"))).drop("_q", "_type")
 
 
 def person_grade(prep: DataFrame, stores: DataFrame, grade_from=GRADE_FROM) -> DataFrame:
     """Quintile letter of each lease within its store type, plus its store's grade."""
     recent = prep.filter(F.col("leaseaddeddate") > F.lit(grade_from))
-    graded = distributed_ntile(recent, 5, ["storetype"],
+    graded = distributed_ntile(recent.withColumn("_type", folded("storetype")), 5, ["_type"],
                                [F.col("probability").asc_nulls_first(),
                                 F.col("approvalid").asc_nulls_first(),
                                 F.col("storeid").asc_nulls_first(),
                                 F.col("leaseaddeddate").asc_nulls_first()], out="_q")
-    s = stores.select(F.col("storeid").alias("_sid"), F.col("storetype").alias("_st"),
+    s = stores.select(F.col("storeid").alias("_sid"), folded("storetype").alias("_st"),
                       "store_rank", "store_probability")
     return (graded.withColumn("person_rank", letter(F.col("_q"))).drop("_q")
-            .join(s, (F.col("storeid") == F.col("_sid")) & (F.col("storetype") == F.col("_st")),
+            .join(s, (F.col("storeid") == F.col("_sid")) & (F.col("_type") == F.col("_st")),
                   "left")
-            .drop("_sid", "_st"))
+            .drop("_sid", "_st", "_type"))
 
 
 def final_scores(prep: DataFrame, persons: DataFrame) -> DataFrame:

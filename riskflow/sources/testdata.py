@@ -87,7 +87,8 @@ SELECT o_orderkey AS approvalbkey, o_orderkey % 25 AS storebkey FROM {orders}"""
     "dim_store": ("""
 SELECT n_nationkey AS storebkey,
        CASE n_regionkey WHEN 0 THEN ' ' WHEN 1 THEN NULL WHEN 2 THEN 'FLS'
-            WHEN 3 THEN 'AUTO' ELSE 'KMT' END AS storetype
+            WHEN 3 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'AUTO' ELSE 'auto ' END
+            ELSE CASE WHEN n_nationkey % 3 = 0 THEN 'Core ' ELSE 'KMT' END END AS storetype
 FROM {nation}""", ("nation",)),
     # retail stores
     "retail_stores": ("""
@@ -103,8 +104,10 @@ SELECT l_orderkey AS approvalid,
 FROM {lineitem}""", ("lineitem",)),
     # clients: one row per pseudo-client
     "client_info": (f"""
-SELECT DISTINCT {_CLIENT} AS clientid,
-       CAST(({_CLIENT}) % 4000 AS STRING) AS driverslicense,
+SELECT clientid, CASE WHEN clientid % 2 = 0 THEN upper(driverslicense0) ELSE driverslicense0 || ' ' END AS driverslicense,
+       driverslicensestate, dob, idtype, languagepreference, firstname, lastname, ipaddress, ts
+FROM (SELECT DISTINCT {_CLIENT} AS clientid,
+       CASE WHEN o_custkey % 3 = 0 THEN 'none given' ELSE 'd' || CAST(({_CLIENT}) % 4000 AS STRING) END AS driverslicense0,
        CASE WHEN o_custkey % 3 = 0 THEN 's' ELSE 'S' END
          || CAST(c_nationkey % 10 AS STRING) || CASE WHEN o_custkey % 5 = 0 THEN ' ' ELSE '' END AS driverslicensestate,
        DATE '1940-01-01' + CAST(c_custkey * 37 % 18000 AS INT) AS dob,
@@ -114,7 +117,7 @@ SELECT DISTINCT {_CLIENT} AS clientid,
        c_name AS firstname, 'L' || CAST(c_custkey % 500 AS STRING) AS lastname,
        '10.0.' || CAST(c_custkey % 250 AS STRING) || '.' || CAST(o_orderkey % 10 AS STRING) AS ipaddress,
        DATE '1995-01-01' + CAST(c_custkey % 900 AS INT) AS ts
-FROM {{orders}} JOIN {{customer}} ON c_custkey = o_custkey""", ("orders", "customer")),
+FROM {{orders}} JOIN {{customer}} ON c_custkey = o_custkey) AS c""", ("orders", "customer")),
     # payment records: two payment records per lease (n = 0, 1), some inactive. The row
     # doubling is a generator on Spark (no join, one scan); the oracle uses a VALUES list.
     "bank": ({"spark": _BANK.format(rows="{orders} LATERAL VIEW explode(array(0, 1)) r AS n"),
@@ -156,6 +159,10 @@ FROM {orders}""", ("orders",)),
 SELECT l_orderkey + 1 AS applicantid, c.code AS riskcode
 FROM {{lineitem}} JOIN (VALUES {_CODE_VALUES}) AS c(idx, code) ON c.idx = l_partkey % 70""",
                            ("lineitem",)),
+    # the same with codes that are on no list
+    "fp_risk_indicators_new": ("""
+SELECT applicantid, CASE WHEN applicantid % 17 = 0 THEN 'Q7' WHEN applicantid % 19 = 0 THEN 'z`9' ELSE riskcode END AS riskcode
+FROM {fp_risk_indicators}""", ("fp_risk_indicators",)),
     # decisions
     "decision_system": ("""
 SELECT o_orderkey AS approvalid,

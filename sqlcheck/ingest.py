@@ -47,4 +47,12 @@ SELECT path, count(DISTINCT doc) AS documents, sum(n)::BIGINT AS occurrences, mi
 FROM seen GROUP BY path""",
     "combine_tsv": """
 SELECT s_suppkey AS V1, s_name AS V2, s_nationkey AS V3, s_acctbal AS V4 FROM supplier""",
+    # both a field short and one too many make four fields of which the last is no number
+    "combine_tsv_sound": """
+SELECT s_suppkey AS V1, s_name AS V2, s_nationkey AS V3, s_acctbal AS V4 FROM supplier
+WHERE s_suppkey % 7 <> 3 AND s_suppkey % 5 <> 2 AND s_suppkey % 11 <> 4""",
+    "tsv_malformed": """
+SELECT concat_ws(chr(9), s_suppkey::VARCHAR, s_name, CASE WHEN s_suppkey % 7 = 3 THEN 'many' ELSE s_nationkey::VARCHAR END,
+                 CASE WHEN s_suppkey % 5 <> 2 THEN s_acctbal::VARCHAR END, CASE WHEN s_suppkey % 11 = 4 THEN 'more' END) AS line
+FROM supplier WHERE s_suppkey % 7 = 3 OR s_suppkey % 5 = 2 OR s_suppkey % 11 = 4""",
 }
