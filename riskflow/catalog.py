@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from riskflow.functions.strings import same_text
 from riskflow.operators.materialize import materialize, scratch_folder
+from riskflow.operators.overlap import interval_join
 from riskflow.plans import collections as col
 from riskflow.plans import retry_cost as rc
 from riskflow.sources.sinks import read_table
@@ -121,6 +122,17 @@ def q_balance_by_day(spark, sf_dir):
     return rounded(_by_day(spark, TestData(spark, sf_dir)))
 
 
+@register("outage_overlap")
+def q_outage_overlap(spark, sf_dir):
+    """Shipments on the road during each outage: an interval join of two tables by timestamps."""
+    td = TestData(spark, sf_dir)
+    hour = 3_600_000_000
+    met = interval_join(td.on_road, td.outages, ("left_at", "arrived_at"), ("from_ts", "to_ts"), width=24 * hour)
+    return rounded(met.groupBy("outage").agg(
+        F.count(F.lit(1)).alias("shipments"), F.count_distinct("approvalid").alias("leases"), F.sum("price").alias("price"),
+        F.min("left_at").cast("date").alias("first_left"), F.max("arrived_at").cast("date").alias("last_arrived")), 2)
+
+
 @register("retry_cost")
 def q_retry_cost(spark, sf_dir):
     return rounded(_costs(TestData(spark, sf_dir)))

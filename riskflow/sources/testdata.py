@@ -270,6 +270,16 @@ SELECT l_orderkey AS id,
                ELSE '' END
        || '</ns:creditBureau>' AS testxml
 FROM {lineitem}""", ("lineitem",)),
+    # shipments on the road and outages of the payment service, both as spans of time: minutes to months
+    "on_road": ("""
+SELECT l_orderkey AS approvalid, l_linenumber AS line, CAST(l_shipdate AS TIMESTAMP) AS left_at,
+       CAST(CAST(l_shipdate AS DATE) + CAST(l_partkey % 30 AS INT) AS TIMESTAMP) + l_linenumber * INTERVAL '1' HOUR AS arrived_at, l_extendedprice AS price
+FROM {lineitem}""", ("lineitem",)),
+    "outages": ("""
+SELECT n_nationkey AS outage, CAST(DATE '1995-01-01' + CAST(n_nationkey * 97 AS INT) AS TIMESTAMP) + n_nationkey * INTERVAL '7' MINUTE AS from_ts,
+       CAST(DATE '1995-01-01' + CAST(n_nationkey * 97 + (n_nationkey % 4) * (n_nationkey % 4) * 11 AS INT) AS TIMESTAMP)
+         + (n_nationkey * 7 + 50) * INTERVAL '1' MINUTE AS to_ts
+FROM {nation}""", ("nation",)),
     # stored reports with what a text search gets wrong: codes of a foreign namespace, texts parted by
     # comments and elements, CDATA, empty codes, attributes, other roots, a leading instruction, CRLF
     "xml_mixed": ("""
