@@ -12,8 +12,10 @@ pre-token reaches across it:
 A text that holds the string of an added token (as ``<|endoftext|>``) is encoded whole, too: the
 library cuts it out before any pre-token and gives it its own id.
 
-New stretches are encoded many to a call; one of ASCII letters and at most one comma or
-stop is a pre-token or two as it stands, so the library's model encodes it directly.
+A new stretch of Latin letters, ASCII digits, marks (no apostrophe) and single line ends is cut into
+its pre-tokens here -- both patterns end one where the class changes -- and the library's model encodes
+each once; a second memo keeps them, for many stretches differ in their marks alone. Other
+new stretches are encoded by the library, many to a call.
 
 The memo holds two generations of at most ``MEMO_ENTRIES`` stretches of at most
 ``MEMO_CHARS`` characters; longer ones are encoded and forgotten. It changes speed only.
@@ -23,13 +25,20 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
 MEMO_ENTRIES = 300_000
 MEMO_CHARS = 48
 
-_PLAIN = re.compile(r"([A-Za-z]+)([.,]?)")
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
+_PRE_TOKENS = {True: re.compile(rf"[{_LETTERS}]+|[{_MARKS}]+|[0-9]+|\n"),        # leading: a run of digits is one
+               False: re.compile(rf"[{_LETTERS}]+|[{_MARKS}]+|[0-9]|\n")}
+# what stands for a byte in a byte-level vocabulary: itself if it is a visible Latin-1 character, else the next free one from 256
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+_AS_BYTES = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in (10, *range(0xC0, 0x100))}
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -49,6 +58,7 @@ class Encoder:
         if leading:                                # ids that begin with the mark of a space
             starts[[i for t, i in self.tok.get_vocab().items() if t.startswith(self.mark)]] = True
         self.starts = starts
+        self.cores: dict[str, bytes] = {}
         self.young: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
@@ -56,22 +66,41 @@ class Encoder:
         return [np.asarray(e.ids, dtype="<u4").tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pre_token(self, text: str) -> bytes:
+        """Ids of one pre-token (after normalising), kept if it is short; none for a line end that is dropped."""
+        if text == "\n" and not self.leading:
+            ids = b""
+        else:
+            shown = text if text.isascii() and text != "\n" else text.translate(_AS_BYTES)
+            found = [t.id for t in self.tok.model.tokenize(shown)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(text) <= MEMO_CHARS:
+            self.cores[text] = ids
+        return ids
+
     def _stretches(self, keys: list[str]) -> dict[str, bytes | None]:
         """Ids of each stretch; None where a cut around it would not be exact."""
         out: dict[str, bytes | None] = {}
-        model, mixed = self.tok.model, []
+        mixed, find, leading, cores = [], _PRE_TOKENS[self.leading].findall, self.leading, self.cores
         for x in keys:
-            plain = _PLAIN.fullmatch(x)
-            if plain:
-                word = self.mark + x[:plain.end(1)] if self.leading else plain[1].lower()
-                ids = [t.id for t in model.tokenize(word)]
-                if plain[2]:
-                    ids += [t.id for t in model.tokenize(plain[2])]
-                out[x] = np.array(ids, dtype="<u4").tobytes()
-            elif self.leading and (not x or x[0].isspace() or x[-1].isspace()):
+            if leading and (not x or x[0].isspace() or x[-1].isspace()):
                 out[x] = None
-            else:
+                continue
+            parts = find(x)
+            if "".join(parts) != x or (leading and "\n\n" in x):
                 mixed.append(x)
+                continue
+            if leading:
+                parts[0] = self.mark + parts[0]
+            else:
+                parts = find(x.lower())
+            ids = []
+            for p in parts:
+                found = cores.get(p)
+                ids.append(self._pre_token(p) if found is None else found)
+            out[x] = b"".join(ids)
+        if len(cores) > MEMO_ENTRIES:
+            cores.clear()
         for i in range(0, len(mixed), 1000):
             part = mixed[i:i + 1000]
             if self.leading:                       # every stretch begins with its space's mark
