@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import pickle
 import zlib
@@ -51,12 +53,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system, where its C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
     """``fit`` of a sample of bounded size, run in one task; only the pickled model comes to the driver."""
     columns = sample.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"model": [pickle.dumps(fit(pd.concat([pd.DataFrame(columns=columns), *batches])))]})
+        model = pickle.dumps(fit(pd.concat([pd.DataFrame(columns=columns), *batches])))
+        give_back()                                # the worker lives on
+        yield pd.DataFrame({"model": [model]})
 
     models = sample.repartition(1).mapInPandas(run, "model binary").collect()
     return pickle.loads(models[0]["model"]) if models else fit(pd.DataFrame(columns=columns))

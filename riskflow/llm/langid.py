@@ -259,6 +259,7 @@ def predict_column(network: Network):
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = network.predict([None if t is None else t for t in texts])
+            common.give_back()
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
     return predicted
 

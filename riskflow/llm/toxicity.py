@@ -41,6 +41,7 @@ SAMPLE = 2500
 SAMPLE_CHARS = 40_000_000
 TEXT_CHARS = 400_000
 WORD_MEMO = 300_000
+CHUNK = 200                 # documents whose features are counted at once
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -123,17 +124,26 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0, steps: i
     word, owner = np.array(found, np.int64), np.array(owner, np.int64)
     sentence = np.repeat(np.arange(len(sizes)), sizes)
     named: dict[str, int] = {}
-    table = [[named.setdefault(f, len(named)) for f in features(w)] for w in number]
-    flat = np.array([f for fs in table for f in fs], np.int64)
-    count = np.array([len(fs) for fs in table], np.int64)
-    # documents that hold each feature, by label
-    pairs = np.unique(owner[sentence] * len(number) + word)
-    at, feature = _spread(flat, count, pairs % max(1, len(number)))
-    held = np.unique((pairs // max(1, len(number)))[at] * max(1, len(named)) + feature)
-    toxic = y[held // max(1, len(named))] == 1
-    inside = np.bincount(held[toxic] % max(1, len(named)), minlength=len(named))
+    entries, sizes_of = array("i"), array("i")
+    for w in number:
+        listed = features(w)
+        entries.extend(named.setdefault(f, len(named)) for f in listed)
+        sizes_of.append(len(listed))
+    flat, count = np.array(entries, np.int64), np.array(sizes_of, np.int64)
+    n_words, n_features = max(1, len(number)), max(1, len(named))
+    # documents that hold each feature, by label, some documents at a time
+    pairs = np.unique(owner[sentence] * n_words + word)
+    inside, outside = np.zeros(len(named)), np.zeros(len(named))
+    edges = np.searchsorted(pairs, np.arange(0, len(y) + CHUNK, CHUNK) * n_words)
+    for first, last in zip(edges, edges[1:]):
+        part = pairs[first:last]
+        at, feature = _spread(flat, count, part % n_words)
+        held = np.unique((part // n_words)[at] * n_features + feature)
+        toxic = y[held // n_features] == 1
+        inside += np.bincount(held[toxic] % n_features, minlength=len(named))
+        outside += np.bincount(held[~toxic] % n_features, minlength=len(named))
     n1, n0 = y.sum(), len(y) - y.sum()
-    a_rate, b_rate = inside / n1, np.bincount(held[~toxic] % max(1, len(named)), minlength=len(named)) / n0
+    a_rate, b_rate = inside / n1, outside / n0
     strength = (a_rate - b_rate) / np.sqrt(a_rate * (1 - a_rate) / n1 + (b_rate + 1 / n0) / n0 + 1e-12)
     names = list(named)
     usable = np.flatnonzero((inside >= 3) & (a_rate > b_rate)).tolist()
@@ -142,11 +152,12 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0, steps: i
     index = np.full(len(names), -1)
     index[picked] = np.arange(len(picked))
 
-    at, feature = _spread(flat, count, word)
-    col = index[feature]
-    loud = col >= 0
-    voiced, row_of = np.unique(sentence[at[loud]], return_inverse=True)
-    col_of, doc_of = col[loud], owner[voiced]
+    # the words' chosen features alone
+    kept = index[flat] >= 0
+    count = np.bincount(np.repeat(np.arange(len(number)), count)[kept], minlength=len(number))
+    at, col_of = _spread(index[flat[kept]], count, word)
+    voiced, row_of = np.unique(sentence[at], return_inverse=True)
+    doc_of = owner[voiced]
     silent = (np.bincount(owner, minlength=len(y)) - np.bincount(doc_of, minlength=len(y))).astype(float)
     weight = np.where(y == 1, 1.0, clean_weight)
     weight /= weight.sum()
