@@ -128,8 +128,10 @@ def shred(docs: DataFrame, doc_col: str, element: str, value_name: str,
                            F.explode(element_texts(d, element, root, engine)).alias(value_name))
     read = xmlparse.shredded(element, list(scalars.values()), root, namespace, texts == "each")
     found = docs.select(*keep, read(d).alias("_found"))
-    return found.select(*keep, *[F.get("_found.scalars", F.lit(i)).alias(n) for i, n in enumerate(scalars)],
-                        F.explode("_found.values").alias(value_name))
+    # an outer explode: the plain one has a filter inferred below it, which would parse every document twice
+    rows = found.select(*keep, *[F.get("_found.scalars", F.lit(i)).alias(n) for i, n in enumerate(scalars)],
+                        F.posexplode_outer("_found.values").alias("_place", value_name))
+    return rows.filter("_place is not null").drop("_place")
 
 
 def declared_namespace(docs: DataFrame, file_col: str = "file", doc_col: str = "doc") -> str:
