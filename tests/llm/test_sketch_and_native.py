@@ -168,3 +168,39 @@ def test_notices_survive_small_edits(spark, notice):
     assert ("whole", label) in found and ("part", label) not in found
     if len(w) >= 16:
         assert ("edited", label) in found
+
+
+def test_license_paragraphs_are_found_without_a_notice(spark):
+    rng = random.Random(6)
+    filler = ["zeta", "omicron", "said", "river", "walks", "the", "of"]
+    prose = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    rows, want = [], {}
+    for i, (body, label) in enumerate(sorted(licenses.BODIES.items())):
+        w = body.split()
+        cut = w[:len(w) // 2] + ["really"] + w[len(w) // 2:]          # a word put in
+        gone = w[:len(w) // 2] + w[len(w) // 2 + 1:]                  # a word left out
+        rows += [(3 * i, f"{prose(30)}\n{body}\n{prose(9)}"), (3 * i + 1, f"{prose(5)} {' '.join(cut)}"), (3 * i + 2, " ".join(w[:len(w) // 4]))]
+        want[3 * i] = want[3 * i + 1] = label
+        if len(w) > 30:
+            rows.append((1000 + i, " ".join(gone)))
+            want[1000 + i] = label
+    rows += [(5000, prose(4000)), (5001, "software " * 3000), (5002, "the software is provided to the authors of any kind " * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in licenses.label_documents(docs, {}, licenses.BODIES).collect()}    # no phrase and no notice helps
+    for i, label in want.items():
+        assert label in got[i].labels.split(","), (i, label)
+    for i in [r[0] for r in rows if r[0] not in want]:
+        assert got[i].labels == "" and got[i].score == 0.0
+
+
+def test_spans_of_long_templates_equal_brute_force(spark):
+    rng = random.Random(8)
+    template = " ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(400))
+    w = template.split()
+    rows = [(str(i), " ".join(["zz"] * i + w[:a] + ["yy"] * gap + w[b:])) for i, (a, b, gap) in enumerate(
+        [(400, 400, 0), (200, 200, 2), (100, 103, 0), (40, 300, 0), (300, 300, 9)])]
+    df = spark.createDataFrame(rows, "key string, text string")
+    grams = {tuple(w[q:q + 4]) for q in range(397)}
+    assert len(grams) == 397                                          # a position is told by its words
+    got = {r.key: (r.first, r.last, round(r.score * 397)) for r in licenses.scan(df, {}, {template: "x"}).collect()}
+    assert got == {"0": (0, 399, 397), "1": (1, 402, 394), "2": (2, 398, 391), "4": (4, 303, 297)}
