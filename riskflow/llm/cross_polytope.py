@@ -299,3 +299,16 @@ def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(vectors).select(
         F.col("id").alias("vec_id"), "n_links", "component_id",
         (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+OP2_SQL = """
+with recursive v as (select vec_id, label::varchar as label, embedding::double[] as e from embeddings),
+bad as (select distinct vec_id from (select vec_id, unnest(e) as c from v) where c is null or not isfinite(c)),
+u as (select * from v where label is not null and len(e) > 0 and list_dot_product(e, e) > 0
+      and vec_id not in (select vec_id from bad)),
+l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+reach(a, b) as (select vec_id, vec_id from v union select reach.a, l.b from reach join l on reach.b = l.a)
+select v.vec_id, coalesce(any_value(n.n), 0)::bigint as n_links, min(reach.b) as component_id, v.vec_id = min(reach.b) as kept
+from v join reach on reach.a = v.vec_id left join (select a, count(*) as n from l group by a) n on n.a = v.vec_id group by v.vec_id
+"""

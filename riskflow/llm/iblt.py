@@ -1,7 +1,8 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraphs, in DataFrame functions.
 
-A text's paragraphs are its lines, cut after sentence ends, without repeats; each has a
-64-bit digest. A sketch has three subtables; a digest goes to one cell of each, and a cell
+A text's paragraphs are its lines, cut after sentence ends, without repeats; one of more than
+``LONG`` code points is cut further after each word whose hash is a multiple of ``SPREAD`` (so equal
+passages are cut alike wherever they stand), white space in it counting as one blank. Each has a 64-bit digest. A sketch has three subtables; a digest goes to one cell of each, and a cell
 holds the number of its digests and the xor of the digests and of their check hashes.
 Subtracting two sketches leaves only the digests in which they differ; peeling recovers
 them: a cell with count 1 or -1 whose check hash fits its digest is pure, its digest is taken
@@ -15,8 +16,10 @@ is the Jaccard similarity of their paragraph sets, from the recovered difference
 Layout: ids are split into ranges at ids that lie on range borders (a sorted pass over ids
 alone); every document goes to its range, and a range's first document also to the range
 before, where it follows the last. So one shuffle of the texts gives each document its
-successor; the digests are written as a table bucketed by range, and sketching, subtracting
-and peeling are aggregates inside a bucket, without a further shuffle.
+successor. A range is cut into blocks of ``BLOCK`` consecutive rows; the digests are shuffled once
+more, by block, into a table bucketed by it, and sketching, subtracting and peeling are aggregates
+inside a bucket, without a further shuffle. A range may grow (its rows pass through a sorted
+window that spills), a block may not.
 
 Defined results: null text is empty; an empty text has no paragraph; two empty texts have
 likeness 1, an empty and another 0; the last document's next is the first (itself, if it is
@@ -34,23 +37,33 @@ from riskflow.operators.materialize import materialize, scratch_folder
 
 BASE = 8
 ROUNDS = 6
-#: Documents in a range, about: a task's aggregates hold the cells of one range.
+#: Documents in a range, about, while there are fewer than RANGES of them.
 DOCUMENTS = 400
-#: Largest number of ranges, which bounds the borders that the driver sees.
+#: Largest number of ranges and buckets, which bounds the borders that the driver sees.
 RANGES = 100_000
+#: Rows in a block: what a join by block gathers in one row.
+BLOCK = 1_000
 LEAST = -(1 << 63)
 
-PARAGRAPH = r"\n+|(?<=[.!?])\s+"
+PARAGRAPH = r"\n+|(?<=[.!?])\s+|(?<=[。！？])"
+#: A paragraph of more code points is cut after words whose hash is a multiple of SPREAD.
+LONG, SPREAD = 400, 16
 
 
 def digests(text: Column) -> Column:
     """The distinct paragraph digests of a text, in order of first appearance."""
-    parts = F.array_remove(F.transform(F.split(text, PARAGRAPH, -1), lambda p: F.trim(p)), "")
+    def cut(p: Column) -> Column:
+        marked = F.transform(F.split(p, r"\s+", -1), lambda w: F.when(
+            F.pmod(F.xxhash64(w), F.lit(SPREAD)) == 0, F.concat(w, F.lit("\n"))).otherwise(w))
+        return F.split(F.array_join(marked, " "), r"\n", -1)
+
+    pieces = F.transform(F.split(text, PARAGRAPH, -1), lambda p: F.when(F.length(p) > LONG, cut(p)).otherwise(F.array(p)))
+    parts = F.array_remove(F.transform(F.flatten(pieces), lambda p: F.trim(p)), "")
     return F.transform(F.array_distinct(parts), lambda p: F.xxhash64(p))
 
 
 def range_count(docs: DataFrame) -> int:
-    """Enough ranges that one holds about DOCUMENTS, and at least as many as shuffle partitions."""
+    """Ranges of about DOCUMENTS, at least as many as shuffle partitions and at most RANGES (then larger ones)."""
     return max(common.shuffle_partitions(docs.sparkSession), min(RANGES, -(-docs.count() // DOCUMENTS)))
 
 
@@ -74,7 +87,7 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
         .otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi"))),
         lambda s: s["lo"])
     placed = docs.select("doc_id", "text", order.alias("o")).withColumn("range", at)
-    border = F.array_contains(listed, F.col("o"))
+    border = F.get(listed, F.col("range")) == F.col("o")
     copies = F.when(border, F.array(F.struct("range", F.lit(False).alias("guest")),
                                     F.struct(F.pmod(F.col("range") - 1, F.lit(n)).alias("range"), F.lit(True).alias("guest")))
                     ).otherwise(F.array(F.struct("range", F.lit(False).alias("guest"))))
@@ -193,7 +206,7 @@ def fingerprints(table: DataFrame) -> DataFrame:
 
 
 def _by_range(rows: DataFrame, name: str, *values: str) -> DataFrame:
-    """One map row -> values for each range: joined on the range alone, it leaves the table where it is."""
+    """One map row -> values for each block (at most BLOCK): joined on the block alone, it leaves the table where it is."""
     return rows.groupBy("range").agg(F.map_from_entries(F.collect_list(F.struct("row", F.struct(*values)))).alias(name))
 
 
@@ -202,12 +215,13 @@ def compare(docs: DataFrame) -> DataFrame:
     docs, spark = common.id_and_text(docs), docs.sparkSession
     changed = edited(F.col("text"), F.col("next_text"))
     ranges = range_count(docs)
+    block = F.shiftleft(F.col("range").cast("long"), 32) + F.floor((F.col("row") - 1) / BLOCK)
     rows = with_next(docs, ranges).withColumn("edited", changed).select(
-        "range", "row", "doc_id", F.length("text").cast("long").alias("n_chars"),
+        block.alias("range"), "row", "doc_id", F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited"), 256).alias("edited_sha256"), digests(F.col("text")).alias("digests"),
         digests(F.col("edited")).alias("edited_digests"), digests(F.col("next_text")).alias("next_digests"))
     name = f"riskflow_paragraphs_{uuid.uuid4().hex}"
-    (rows.write.bucketBy(ranges, "range")
+    (rows.repartition(ranges, "range").write.bucketBy(ranges, "range")
      .option("path", scratch_folder(spark, "paragraphs")).saveAsTable(name))
     table = spark.read.table(name)
     wide = differences(table).groupBy("range", "row").agg(

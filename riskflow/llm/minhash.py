@@ -385,3 +385,17 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents``; one row per document with its component."""
     docs = common.id_and_text(common.table(spark, sf_dir, "documents"))
     return near_duplicates(docs).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+OP10_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+      from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+reach(a, b) as (select doc_id, doc_id from documents union select reach.a, l.b from reach join l on reach.b = l.a)
+select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(reach.b) as component_id, d.doc_id = min(reach.b) as kept
+from documents d join reach on reach.a = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
+"""

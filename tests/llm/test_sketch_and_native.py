@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from riskflow.llm import common, iblt, licenses, pii
@@ -17,7 +18,15 @@ def _pandas(df):
 
 # ------------------------------------------------------------------ fingerprints
 def _paragraphs(t):
-    return {p.strip(" ") for p in re.split(r"\n+|(?<=[.!?])[ \t\n\x0b\f\r]+", t)} - {""}
+    out = set()
+    for p in re.split(r"\n+|(?<=[.!?])[ \t\n\x0b\f\r]+|(?<=[。！？])", t):
+        if len(p) > iblt.LONG:
+            marked = [w + "\n" * (xxhash.xxh64(w.encode(), seed=42).intdigest() % iblt.SPREAD == 0)
+                      for w in re.split(r"[ \t\n\x0b\f\r]+", p)]
+            out |= {x.strip(" ") for x in " ".join(marked).split("\n")}
+        else:
+            out.add(p.strip(" "))
+    return out - {""}
 
 
 def _jaccard(a, b):
@@ -42,6 +51,24 @@ def test_fingerprints_equal_brute_force(spark, messy, messy_rows):
     assert len(by_sha[30.0]) == 1 and by_sha[5.0] == by_sha[31.0] != by_sha[32.0]
 
 
+def test_texts_without_sentence_ends_keep_their_likeness(spark, words):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([900, 700, 2500, 300])]
+    rows += [(10, "これは文です。" * 3 + "次の文です！" + "最後の文？")]
+    got = {r.doc_id: r for r in iblt.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].near_edited > 0.15 and got[i].n_paragraphs > 5 for i in range(4))
+    assert got[10].n_paragraphs == 3
+
+
+def test_blocks_of_a_large_range_and_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(iblt, "BLOCK", 3)
+    rows = [(i // 20, f"one {i % 7}. two {i}. three {i % 3}.") for i in range(120)]
+    got = [(r.doc_id, round(r.near_next, 9)) for r in iblt.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    rows.sort()
+    want = [(d, round(_jaccard(t, n), 9)) for (d, t), (_, n) in zip(rows, rows[1:] + rows[:1])]
+    assert sorted(got) == sorted(want)
+
+
 def test_fingerprints_of_one_and_no_document(spark, nothing):
     one = spark.createDataFrame([(5, "abc. def")], "doc_id long, text string")
     r = iblt.compare(one).first()
