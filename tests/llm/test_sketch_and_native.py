@@ -155,6 +155,36 @@ def test_find_and_redact(spark, messy, messy_rows):
     assert next(r.clean for r in found if r.doc_id == 12) == "[CARD] é😀 [EMAIL] ŰÑ"
 
 
+def test_other_forms_are_added_and_plain_numbers_left(spark):
+    rng = random.Random(12)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    prose = lambda: " ".join(word() for _ in range(8))
+    fill = [lambda: f"write to {word()}.{word()}@{word()}.com now", lambda: f"call +49 {num(3)} {num(7)} today",
+            lambda: f"in 20{num(2)} there were {num(5)} of them", lambda: f"part {num(3)}-{num(3)} {word()}", prose]
+    rows = [(i, ". ".join(f"{prose()} {rng.choice(fill)()} {prose()}" for _ in range(4))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = pii.train(common.id_and_text(docs))
+    assert 0 in model.thresholds
+    probe = [(1, "reach me at jane.doe [at] example [dot] org please"), (2, "or at jane.doe(at)example.org please"),
+             (3, "in 2019 there were 31415 of them"), (4, "part 123-456 of it, at (at) the end [dot]"), (5, "a@b.co")]
+    got = {r.doc_id: [(pii.KINDS[s["kind"]], r.text[s["start"]:s["end"]]) for s in r.pii_added]
+           for r in pii.find(spark.createDataFrame(probe, "doc_id long, text string"), model).collect()}
+    assert got == {1: [("email", "jane.doe [at] example [dot] org")], 2: [("email", "jane.doe(at)example.org")], 3: [], 4: [], 5: []}
+
+
+def test_rewritten_spans_are_no_base_spans_but_candidates(spark):
+    texts = ["x ann@host.co.uk, y", "pay 4111 1111 1111 1111 x", "tel +44 20 7946 0958 x", "10.0.0.1"]
+    picked = spark.createDataFrame(list(enumerate(texts)), "spot long, text string").withColumn("base", pii.base_spans(F.col("text")))
+    got = pii.rewritten_candidates(picked).collect()
+    assert {r.spot for r in got} == {0, 1, 2} and all(r.y == 1 for r in got)
+    forms = [F.lit(0), F.lit(1)]
+    made = picked.select(F.explode("base").alias("b"), "text").select(*[pii.rewritten(F.substring(
+        F.col("text"), F.col("b.start") + 1, F.col("b.end") - F.col("b.start")), F.col("b.kind"), f).alias(f"f{i}") for i, f in enumerate(forms)])
+    shown = [x for r in made.collect() for x in r if x is not None]
+    assert len(shown) == 6 and all(_base(x) == [] for x in shown)
+
+
 # ---------------------------------------------------------------------- licenses
 def _license_words(t):
     t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")

@@ -245,10 +245,9 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch):
     roots = _roots({r[0] for r in rows}, edges)
     got = cross_polytope.near_duplicates(df).collect()
     total, found = sum(n for _, n in want), sum(r.n_links for r in got)
-    assert found <= total and found >= 0.99 * total
-    if found == total:
-        assert sorted((r.id, r.n_links) for r in got) == sorted(want)
-        assert all(r.component_id == roots[r.id] for r in got)
+    assert found == total > 1000                                 # recall 1 on this fixture
+    assert sorted((r.id, r.n_links) for r in got) == sorted(want)
+    assert all(r.component_id == roots[r.id] for r in got)
     empty = df.limit(0)
     assert cross_polytope.near_duplicates(empty).count() == 0
 
