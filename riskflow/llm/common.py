@@ -62,6 +62,20 @@ def give_back() -> None:
         pass
 
 
+_MEMOS: list[Callable[[], bool]] = []
+
+
+def remembers(forget: Callable[[], bool]) -> None:
+    """Register how a module lets go of what it keeps between tasks (true if it kept anything)."""
+    _MEMOS.append(forget)
+
+
+def forget() -> None:
+    """A worker that served another operator before lets go of what that one kept."""
+    if any([clear() for clear in _MEMOS]):
+        give_back()
+
+
 def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
     """``fit`` of a sample of bounded size, run in one task; only the pickled model comes to the driver."""
     columns = sample.columns

@@ -229,6 +229,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, hidden: int = HIDDEN) -> Networ
     picked = usable.filter(F.pmod(spot, F.lit(grain)) < share[F.col("lang")]).withColumn("spot", spot)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.forget()
         for batch in batches:
             yield pd.DataFrame([(lang, at, *_windows(text, at)) for text, lang, at in zip(batch["text"], batch["lang"], batch["spot"])],
                                columns=["lang", "spot", "windows", "valid"])
@@ -257,6 +258,7 @@ def predict_column(network: Network):
     """A column function: whole text -> struct(lang_pred, score)."""
     @F.pandas_udf("lang_pred string, score double")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        common.forget()
         for texts in batches:
             found = network.predict([None if t is None else t for t in texts])
             common.give_back()

@@ -29,7 +29,9 @@ import struct
 
 import numpy as np
 
-MEMO_ENTRIES = 300_000
+from riskflow.llm import common
+
+MEMO_ENTRIES = 150_000
 MEMO_CHARS = 48
 
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
@@ -170,6 +172,15 @@ def encoder(path: str, leading: bool) -> Encoder:
     return _ENCODERS[key]
 
 
+def _forget() -> bool:
+    held = bool(_ENCODERS)
+    _ENCODERS.clear()
+    return held
+
+
+common.remembers(_forget)
+
+
 def in_blocks(texts, max_chars: int = 4_000_000):
     """(first, last) ranges of texts of about ``max_chars`` characters, to bound memory."""
     start, size = 0, 0

@@ -299,3 +299,11 @@ def test_different_texts_of_one_id_all_link(spark, words):
         got = minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()
         assert len(got) == len(rows)
         assert [(r.doc_id, r.component_id) for r in got if r.component_id != want[r.doc_id]] == []
+
+
+def test_a_worker_lets_go_of_the_encoders():
+    a = tokens.encoder(WORD, False)
+    assert tokens.encoder(WORD, False) is a
+    common.forget()
+    b = tokens.encoder(WORD, False)
+    assert b is not a and b(["some words"]) == a(["some words"])
