@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -56,6 +57,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def give_back() -> None:
     """Return freed memory of this process to the system, where its C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):

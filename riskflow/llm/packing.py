@@ -55,6 +55,8 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, leading: b
                               for p, a in enumerate(range(0, n, capacity))]
                 out = pd.DataFrame(found, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
                 yield out.assign(doc_id=keys.iloc[out["doc_id"]].to_numpy(object, na_value=None))
+            del batch, texts
+            common.give_back()
 
     return common.id_and_text(docs).mapInPandas(pieces, PIECE)
 

@@ -225,8 +225,11 @@ def score_column(model: Model):
     def scored(texts: pd.Series) -> pd.DataFrame:
         common.forget()
         found = [model.score(t or "") for t in texts]
-        return pd.DataFrame({"score": [f[0] for f in found],
-                             "offending": [[{"start": a, "end": b, "score": p} for a, b, p in f[1]] for f in found]})
+        out = pd.DataFrame({"score": [f[0] for f in found],
+                            "offending": [[{"start": a, "end": b, "score": p} for a, b, p in f[1]] for f in found]})
+        del found
+        common.give_back()
+        return out
     return scored
 
 
