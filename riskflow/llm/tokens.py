@@ -31,7 +31,7 @@ import numpy as np
 
 from riskflow.llm import common
 
-MEMO_ENTRIES = 100_000
+MEMO_ENTRIES = 150_000
 MEMO_CHARS = 48
 
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
@@ -181,7 +181,7 @@ def _forget() -> bool:
 common.remembers(_forget)
 
 
-def in_blocks(texts, max_chars: int = 1_000_000):
+def in_blocks(texts, max_chars: int = 2_000_000):
     """(first, last) ranges of texts of about ``max_chars`` characters, to bound memory."""
     start, size = 0, 0
     for i, t in enumerate(texts):
