@@ -17,8 +17,10 @@ characters at any place; a chunk carries ``margin`` characters of its neighbours
 3. Every chunk backtraces between its own two states, independently, into ids.
 
 Texts within one chunk skip 1 and 2. Inside a chunk, a place that no piece of the vocabulary
-crosses (here: before a run of space marks) has a single state; the stretches between such
-places are encoded once and remembered (``MEMO_ENTRIES``; speed only).
+crosses has a single state: one before a run of space marks, and one between two characters
+that stand side by side in no piece (of the model at hand: between a letter and a comma, or two
+digits). The stretches between such places are encoded once and remembered (``MEMO_ENTRIES``;
+speed only).
 
 Normalisation is the model's own: a space mark put first, spaces written as marks, nothing
 else changed; a mark in the text itself decodes to a space, as in the library.
@@ -39,11 +41,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from riskflow.llm import common
+from riskflow.llm.tokens import in_blocks
 from riskflow.operators.materialize import materialize
 
 CHUNK = 16_384
 FAN_IN = 64
 MEMO_ENTRIES = 300_000
+SEARCHED = 8192                 # words in one path search
 MARK = "▁"
 START = (0, 0)
 _MODELS: dict[str, "Pieces"] = {}
@@ -71,23 +75,33 @@ class Pieces:
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
         self.longest = max(map(len, self.ids))
         self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        self.joined = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.unit = re.compile(r".+" if crossing else f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.S)
-        self.crossing = crossing
         self.pairs: dict[tuple[str, str], bool] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.follows: dict[int, bool] = {}
+        # the prefixes as a tree: (node, character) -> node, and the piece that ends there
+        nodes = {x: i for i, x in enumerate(["", *sorted(self.prefixes)])}
+        steps = sorted((nodes[x[:-1]] << 21 | ord(x[-1]), i) for x, i in nodes.items() if x)
+        self.steps, self.child = (np.array(c, dtype=np.int64) for c in zip(*steps))
+        self.piece_at = np.array([self.ids.get(x, -1) for x in nodes], dtype=np.int64)
+        self.piece_of = {i: x for x, i in self.ids.items()} | {size: ""}
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text by its definition: best score first, then leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores),
-                       default=None)
-            if best is None:
-                break
-            i = -best[1]
+        parts, score, none = list(text), self.scores.get, -float("inf")
+        scores = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > none:
+            i = scores.index(best)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = score(parts[i - 1] + parts[i], none)
+            if i < len(scores):
+                scores[i] = score(parts[i] + parts[i + 1], none)
         return parts
 
     def compatible(self, a: str, b: str) -> bool:
@@ -119,6 +133,70 @@ class Pieces:
                     break
         return last
 
+    def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``compatible`` of many (piece id, piece id); the id behind the last stands for none."""
+        known, size = self.follows, len(self.bytes_of)
+        if len(known) > 2 * MEMO_ENTRIES:
+            known.clear()
+        keys = (a << 32 | b).tolist()
+        for key in {k for k in keys if k not in known}:
+            x, y = self.piece_of[key >> 32], self.piece_of[key & 0xFFFFFFFF]
+            known[key] = self.merged(x + y) == ([x, y] if key >> 32 != size else [y])
+        return np.fromiter(map(known.__getitem__, keys), dtype=bool, count=len(keys))
+
+    def search(self, words: list[str]) -> list[bytes]:
+        """Ids of words whose every character is a piece: the path search of ``forward``, one place
+        at a time for all words together."""
+        n, lengths = len(words), np.array([len(w) for w in words])
+        width = int(lengths.max())
+        text = np.zeros((n, width), dtype=np.int64)
+        text[np.arange(width) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
+        reached = np.full((n, width + 1), -1, dtype=np.int64)    # the piece that ends at a place
+        back = np.zeros((n, width + 1), dtype=np.int64)          # and its length
+        reached[:, 0] = len(self.bytes_of)
+        for q in range(width):
+            w = np.flatnonzero((reached[:, q] >= 0) & (lengths > q))
+            node = np.zeros(len(w), dtype=np.int64)
+            for k in range(1, self.longest + 1):
+                inside = lengths[w] >= q + k
+                w, node = w[inside], node[inside]
+                key = node << 21 | text[w, q + k - 1] if len(w) else node
+                at = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+                hit = self.steps[at] == key
+                w, node = w[hit], self.child[at[hit]]
+                if not len(w):
+                    break
+                piece = self.piece_at[node]
+                new = (piece >= 0) & (reached[w, q + k] < 0)
+                here, piece = w[new], piece[new]
+                allowed = self.may_follow(reached[here, q], piece)
+                here, piece = here[allowed], piece[allowed]
+                reached[here, q + k], back[here, q + k] = piece, k
+        ids, at = np.full((n, width), -1, dtype=np.int64), lengths.copy()
+        for column in range(width - 1, -1, -1):
+            w = np.flatnonzero(at)
+            ids[w, column] = reached[w, at[w]]
+            at[w] -= back[w, at[w]]
+        data = ids[ids >= 0].astype("<u4").tobytes()
+        ends = (4 * np.cumsum((ids >= 0).sum(axis=1))).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, texts: list[str]) -> None:
+        """Encode the stretches of some normalised texts that are not remembered yet, together."""
+        units = set().union(*map(self.unit.findall, texts))
+        parts = {u: self.parts(u) for u in units if u not in self.young and u not in self.old}
+        if len(self.cores) >= MEMO_ENTRIES:
+            self.cores.clear()
+        plain = [x for x in {x for found in parts.values() for x in found}
+                 if x not in self.cores and len(x) <= 4 * self.longest and all(map(self.ids.__contains__, x))]
+        plain.sort(key=len)
+        for i in range(0, len(plain), SEARCHED):
+            block = plain[i:i + SEARCHED]
+            self.cores.update(zip(block, self.search(block)))
+        if len(self.young) >= MEMO_ENTRIES:
+            self.old, self.young = self.young, {}
+        self.young.update((u, b"".join(map(self.core, found))) for u, found in parts.items() if len(u) <= 4 * self.longest)
+
     def trace(self, text: str, last: dict[int, int], begin: int, end: int) -> list[str]:
         out = []
         while end > begin:
@@ -133,13 +211,30 @@ class Pieces:
             out += [i] if i is not None else [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
         return np.array(out, dtype="<u4").tobytes()
 
+    def parts(self, text: str) -> list[str]:
+        """The text, cut wherever no piece crosses."""
+        joined = self.joined
+        at = [0, *(p for p in range(1, len(text)) if text[p - 1:p + 1] not in joined), len(text)]
+        return [text[p:q] for p, q in zip(at, at[1:])]
+
+    def core(self, text: str) -> bytes:
+        """Ids of one part."""
+        ids = self.cores.get(text)
+        if ids is None:
+            ids = self.to_ids(self.trace(text, self.forward(text, 0, "", len(text)), 0, len(text)))
+            if len(self.cores) >= MEMO_ENTRIES:
+                self.cores.clear()
+            if len(text) <= 4 * self.longest:
+                self.cores[text] = ids
+        return ids
+
     def free(self, text: str) -> bytes:
         """Ids of a stretch between two places that no piece crosses."""
         ids = self.young.get(text)
         if ids is None:
             ids = self.old.get(text)
             if ids is None:
-                ids = self.to_ids(self.trace(text, self.forward(text, 0, "", len(text)), 0, len(text)))
+                ids = b"".join(map(self.core, self.parts(text)))
             if len(self.young) >= MEMO_ENTRIES:
                 self.old, self.young = self.young, {}
             self.young[text] = ids
@@ -150,10 +245,9 @@ class Pieces:
         return b"".join(map(self.free, self.unit.findall(text)))
 
     def cuts(self, text: str, begin: int, end: int) -> list[int]:
-        """Places in (begin, end) that no piece crosses."""
-        if self.crossing:
-            return []
-        return [p for p in (m.start() for m in re.finditer(f"(?<=[^{MARK}]){MARK}", text[begin:end])) if p]
+        """Places in (begin, end) that no piece crosses, counted from ``begin``."""
+        joined = self.joined
+        return [p - begin for p in range(begin + 1, end) if text[p - 1:p + 1] not in joined]
 
     def entries(self, text: str, a: int) -> Iterator[State]:
         """Boundary states at place ``a`` that the text allows."""
@@ -217,15 +311,12 @@ class Pieces:
             return b""
         before = text[begin - entry[1]:begin] if entry[1] else ""
         stop = end - exit_[1]
-        cuts = [begin] + [a + c for c in self.cuts(text, a, b) if begin < a + c <= stop] + [stop]
-        out = []
-        for i, (p, q) in enumerate(zip(cuts, cuts[1:])):
-            if i == 0 and before:
-                out.append(self.to_ids(self.trace(text, self.forward(text, p, before, q), p, q)))
-            elif q == stop:
-                out.append(self.to_ids(self.trace(text, self.forward(text, p, "", q), p, q)))
-            else:
-                out.append(b"".join(map(self.free, self.unit.findall(text[p:q]))))
+        near = next((c for c in range(begin + 1, stop) if text[c - 1:c + 1] not in self.joined), stop)
+        out = [self.to_ids(self.trace(text, self.forward(text, begin, before, near), begin, near))] if begin < near else []
+        if near < stop:
+            far = next((c for c in range(stop, near, -1) if text[c - 1:c + 1] not in self.joined), near)
+            out += map(self.free, self.unit.findall(text[near:far]))
+            out.append(self.to_ids(self.trace(text, self.forward(text, far, "", stop), far, stop)))
         out.append(self.to_ids([text[stop:end]]))
         return b"".join(out)
 
@@ -299,9 +390,10 @@ def solve(matrices: DataFrame) -> DataFrame:
                              "x0": [s[0] for s in states[1:]], "x1": [s[1] for s in states[1:]]})
 
     schema = "key string, k long, e0 long, e1 long, x0 long, x1 long"
+    many = common.shuffle_partitions(matrices.sparkSession)      # a few bytes a chunk, but work: not to be coalesced
     most = matrices.agg(F.max("k")).first()[0] or 0
     if most < FAN_IN:
-        return matrices.groupBy("key").applyInPandas(down, schema)
+        return matrices.repartition(many, "key").groupBy("key").applyInPandas(down, schema)
     block = F.expr(f"k div {FAN_IN}")
     above = materialize(matrices.groupBy("key", block.alias("block")).applyInPandas(up, "key string, k long, matrix string"), "blocks")
     states = solve(above).withColumnRenamed("k", "block")
@@ -379,8 +471,10 @@ def encode_chunks(texts: DataFrame, model: str, size: int = CHUNK, keep_ids: boo
     def backtrace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(model)
         for b in batches:
-            found = []
-            for r in b.itertuples(index=False):
+            found, block, slices = [], 64, b["slice"].tolist()
+            for i, r in enumerate(b.itertuples(index=False)):
+                if i % block == 0:
+                    p.learn(slices[i:i + block])
                 ids = p.between(r.slice, r.a, r.a + r.n, (r.e0, r.e1), (r.x0, r.x1))
                 found.append((ids, p.decode(ids, r.k == 0)))
             yield pd.DataFrame({"key": b["key"], "k": b["k"], **_coded(found, keep_ids)})
@@ -397,10 +491,10 @@ def encode(docs: DataFrame, model: str, size: int = CHUNK) -> DataFrame:
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(model)
         for b in batches:
-            found = []
-            for t in b["text"]:
-                ids = p.encode(normalised(t))
-                found.append((ids, p.decode(ids)))
+            found, texts = [], list(map(normalised, b["text"]))
+            for first, last in in_blocks(texts, 1_000_000):
+                p.learn(texts[first:last])
+                found += [(ids, p.decode(ids)) for ids in map(p.encode, texts[first:last])]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_chunks": [1 if t else 0 for t in b["text"]],
                                 **_coded(found, False)}).drop(columns=["ids_bytes", "decoded_bytes", "ids"])
 

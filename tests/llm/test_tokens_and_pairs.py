@@ -164,6 +164,23 @@ def _chunked(p, text, size):
     return b"".join(p.between(x, a, a + n, states[k], states[k + 1]) for k, (x, a, n) in enumerate(rows))
 
 
+def test_words_searched_together_equal_the_library(words, monkeypatch):
+    monkeypatch.setattr(piece_scan, "SEARCHED", 50)
+    monkeypatch.setattr(piece_scan, "MEMO_ENTRIES", 100)
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=PIECE), random.Random(8)
+    p = piece_scan.Pieces(PIECE)
+    texts = [t for t in ODD if t] + [" ".join(rng.choice(words) + rng.choice(("", ",", "ing", "1972", "é", "日本", "\x01")) for _ in range(40))
+                                     for _ in range(40)] + ["z" * 200 + " x" * 40, "ab" * 33]
+    for first in range(0, len(texts), 7):
+        block = texts[first:first + 7]
+        p.learn(list(map(piece_scan.normalised, block)))
+        assert [np.frombuffer(p.encode(piece_scan.normalised(t)), "<u4").tolist() for t in block] == list(map(library.encode, block))
+    alone = piece_scan.Pieces(PIECE)
+    plain = [w for w in words if all(c in alone.ids for c in w)]
+    assert p.search(plain) == [alone.core(w) for w in plain]
+    p.learn([])
+
+
 def test_pieces_equal_the_library_at_any_chunk_size():
     p, library, rng = piece_scan.pieces(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE), random.Random(3)
     texts = [t for t in ODD if t] + ["".join(rng.choice(a) for _ in range(rng.randint(1, 60)))
