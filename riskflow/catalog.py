@@ -18,7 +18,7 @@ from riskflow.operators.materialize import materialize, scratch_folder
 from riskflow.operators.overlap import interval_join
 from riskflow.plans import collections as col
 from riskflow.plans import retry_cost as rc
-from riskflow.sources.sinks import read_table
+from riskflow.sources.sinks import read_table, write_documents
 from riskflow.sources.testdata import PARAMS, TestData
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,7 +429,7 @@ def q_xml_codes(spark, sf_dir):
 def q_xml_files_csv(spark, sf_dir):
     """Reports stored one to a file, shredded to a CSV, which is read back."""
     path, out = scratch_folder(spark, "xml-files"), scratch_folder(spark, "xml-csv")
-    TestData(spark, sf_dir).supplier_reports.select("id", "doc").write.partitionBy("id").text(path)
+    write_documents(TestData(spark, sf_dir).supplier_reports.select("doc"), path)
     ig.xml_folder_to_csv(spark, path, out, namespace=REPORT_NAMESPACE)
     return spark.read.option("header", "true").schema("CODE string, ID string").csv(out)
 

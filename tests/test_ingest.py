@@ -225,3 +225,14 @@ def test_declared_namespace_is_the_first_files(spark):
     _write(d, "b.xml", '<r xmlns="urn:second"/>')
     _write(d, "a.xml", '<p:r xmlns:p="urn:first"/>')
     assert declared_namespace(read_documents(spark, d)) == "urn:first"
+
+
+def test_reports_one_to_a_file_lie_in_one_folder(spark, tmp_path, monkeypatch):
+    # a folder for every report is what listing and committing cannot bear when there are many
+    from riskflow import catalog
+    monkeypatch.setattr(catalog, "scratch_folder", lambda session, name: str(tmp_path / name))
+    sf = "/root/testdata/sf0.001"
+    catalog.q_xml_files_csv(spark, sf).count()
+    stored = [f for f in os.listdir(tmp_path / "xml-files") if not f.startswith((".", "_"))]
+    assert not [f for f in stored if os.path.isdir(tmp_path / "xml-files" / f)]
+    assert len(stored) == spark.read.parquet(f"{sf}/supplier.parquet").count()
