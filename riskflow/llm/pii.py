@@ -11,10 +11,10 @@ The trees are trained with the base rules as weak labels. A candidate is positiv
 span of its kind, or a base span written in another form where it stands (``rewritten``: [at] and [dot] in
 addresses, a phone number without its plus, a card with other separators), which the base
 rules do not match; what only tells the rules apart, a leading plus, is not a feature. Thresholds are
-calibrated by kind on the documents of a held-out hash fold: the lowest score at which at least
-``PRECISION`` of the candidates, rewritten ones included, are positives, or none. Training sees at most ``SAMPLE_DOCS`` documents (a hash-chosen share) and
-``SAMPLE_CANDIDATES`` candidates; the trees become one SQL expression, and scoring covers every whole
-text in the same pass, without Python or a shuffle.
+calibrated by kind on the documents of a held-out hash fold: the lowest score, in steps of 1 / ``STEPS``, at which at least
+``PRECISION`` of the candidates, rewritten ones included, are positives, or none. Training and calibration see every
+candidate of every text, counted by their bins (``train``); the trees become one SQL expression, and scoring covers every whole
+text in one pass, without Python or a shuffle.
 
 Positions are code points, from the lengths of the matches and of the texts between them.
 The base patterns are written so that Java's matcher takes linear time and no recursion; they match as the
@@ -27,15 +27,18 @@ nothing is added; repeated rows get equal results.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from riskflow.llm import common
+from riskflow.operators.materialize import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 20_000
-SAMPLE_CANDIDATES = 30_000
+CELLS_HELD = 30_000         # counted cells that the driver learns from by itself
 PRECISION = 0.99
+STEPS = 10_000              # thresholds are multiples of 1 / STEPS
 TREES, DEPTH, RATE = 30, 3, 0.3
+SHARES = np.linspace(0, 1, 33)[1:-1]
+BINS = len(SHARES) + 1
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _HOST = "[A-Za-z0-9-]"
@@ -184,6 +187,9 @@ class Trees:
         return 1 / (1 + F.exp(-total))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.total(x)))
+
+    def total(self, x: np.ndarray) -> np.ndarray:
         def node(tree, rows: np.ndarray) -> np.ndarray:
             if not isinstance(tree, tuple):
                 return np.full(len(rows), float(tree))
@@ -191,78 +197,216 @@ class Trees:
             low, out = rows[:, f] <= cut, np.empty(len(rows))
             out[low], out[~low] = node(below, rows[low]), node(above, rows[~low])
             return out
-        return 1 / (1 + np.exp(-(self.start + sum((node(t, x) for t in self.trees), np.zeros(len(x))))))
-
-
-def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> Trees:
-    """Gradient boosting with second-order leaf values; cuts at quantiles of each feature."""
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        return self.start + sum((node(t, x) for t in self.trees), np.zeros(len(x)))
+
+
+def _open_nodes(tree, bins: np.ndarray) -> np.ndarray:
+    """The number of the open node where every row ends, -1 at a leaf. In a growing tree an open node
+    is its number (int), a leaf its value (float)."""
+    out = np.full(len(bins), -1)
+
+    def walk(node, rows: np.ndarray) -> None:
+        if isinstance(node, tuple):
+            f, cut, below, above = node
+            low = bins[rows, f] <= cut
+            walk(below, rows[low])
+            walk(above, rows[~low])
+        elif isinstance(node, int):
+            out[rows] = node
+
+    walk(tree, np.arange(len(bins)))
+    return out
+
+
+def _closed(tree, instead: list):
+    """A growing tree with its open nodes replaced."""
+    if isinstance(tree, tuple):
+        return tree[0], tree[1], _closed(tree[2], instead), _closed(tree[3], instead)
+    return instead[tree] if isinstance(tree, int) else tree
+
+
+def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """Cell of every row: each feature's bin (the cuts below its value), and the kind."""
+    out = np.empty((len(x), len(cuts) + 1), int)
+    for f, places in enumerate(cuts):
+        out[:, f] = np.searchsorted(places, x[:, f])
+    out[:, -1] = x[:, 0]
+    return out
+
+
+class Held:
+    """Sums over cells (bins by feature, then the kind) that are in memory, with their negatives and positives."""
+
+    def __init__(self, cells: np.ndarray, no: np.ndarray, yes: np.ndarray, held_out: np.ndarray):
+        self.kept, self.other = [(cells[fold], no[fold], yes[fold]) for fold in (~held_out, held_out)]
+
+    def totals(self) -> tuple[float, float]:
+        return self.kept[1].sum(), self.kept[2].sum()
+
+    def by_bin(self, model: Trees, tree, nodes: int) -> np.ndarray:
+        """Gradients, curvatures and numbers of the training fold: [3, feature, open node, bin]."""
+        cells, no, yes = self.kept
+        p, spots = model.predict(cells), _open_nodes(tree, cells)
+        here = spots >= 0
+        return np.array([[np.bincount(spots[here] * BINS + cells[here, f], w[here], nodes * BINS).reshape(nodes, BINS)
+                          for f in range(len(FEATURES))] for w in (no * p + yes * (p - 1), (no + yes) * p * (1 - p), no + yes)])
+
+    def by_score(self, model: Trees) -> np.ndarray:
+        """Positives and numbers of the held-out fold: [2, kind, step of the score]."""
+        cells, no, yes = self.other
+        spots = cells[:, -1] * (STEPS + 1) + np.floor(model.predict(cells) * STEPS).astype(int)
+        return np.array([np.bincount(spots, w, len(KINDS) * (STEPS + 1)).reshape(-1, STEPS + 1) for w in (yes, no + yes)])
+
+
+class Spread:
+    """The same sums over a table of any number of cells: an aggregate each."""
+
+    def __init__(self, cells: DataFrame):
+        self.kept, self.other = cells.filter("not held_out"), cells.filter("held_out")
+
+    def totals(self) -> tuple[float, float]:
+        return tuple(self.kept.agg(F.sum("no").cast("double"), F.sum("yes").cast("double")).first())
+
+    def by_bin(self, model: Trees, tree, nodes: int) -> np.ndarray:
+        def node(part) -> Column:
+            if not isinstance(part, tuple):
+                return F.lit(part if isinstance(part, int) else -1)
+            return F.when(F.get("cell", F.lit(part[0])) <= part[1], node(part[2])).otherwise(node(part[3]))
+
+        p, n = F.col("p"), F.col("no") + F.col("yes")
+        spread = (self.kept.select("*", model.column(F.col("cell")).alias("p"), node(tree).alias("node")).filter("node >= 0")
+                  .select("node", (n * p - F.col("yes")).alias("g"), (n * p * (1 - p)).alias("h"), n.alias("n"),
+                          F.posexplode(F.slice("cell", 1, len(FEATURES))).alias("f", "bin")))
+        out = np.zeros((3, len(FEATURES), nodes, BINS))
+        for r in spread.groupBy("f", "node", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).collect():
+            out[:, r["f"], r["node"], r["bin"]] = r["g"], r["h"], r["n"]
+        return out
+
+    def by_score(self, model: Trees) -> np.ndarray:
+        step = F.floor(model.column(F.col("cell")) * STEPS).cast("int")
+        out = np.zeros((2, len(KINDS), STEPS + 1))
+        for r in (self.other.groupBy(F.get("cell", F.lit(len(FEATURES))).alias("kind"), step.alias("step"))
+                  .agg(F.sum("yes").alias("yes"), F.sum(F.col("no") + F.col("yes")).alias("n")).collect()):
+            out[:, r["kind"], r["step"]] = r["yes"], r["n"]
+        return out
+
+
+def boost(sums: Held | Spread, cuts: list[np.ndarray], trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> Trees:
+    """Gradient boosting with second-order leaf values, over bins (a cut is its place in ``cuts``). Trees
+    grow level by level, from sums by node, feature and bin."""
+    negatives, positives = sums.totals()
+    share = np.clip(positives / (negatives + positives), 1e-3, 1 - 1e-3)
     model = Trees(float(np.log(share / (1 - share))), [], {})
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1], method="lower")) for f in range(x.shape[1])]
 
-    def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, left: int):
-        value = -rate * g[rows].sum() / (h[rows].sum() + 1.0)
-        if not left or len(rows) < 20:
-            return round(float(value), 6)
-        best, parent = (1e-3, None), g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
+    def best_cut(g: np.ndarray, h: np.ndarray, n: np.ndarray):
+        best, found, parent = 1e-3, None, g[0].sum() ** 2 / (h[0].sum() + 1.0)
         for f, places in enumerate(cuts):
-            for cut in places:
-                low = x[rows, f] <= cut
-                if 5 <= low.sum() <= len(rows) - 5:
-                    gl, hl = g[rows[low]].sum(), h[rows[low]].sum()
-                    gr, hr = g[rows[~low]].sum(), h[rows[~low]].sum()
-                    gain = gl ** 2 / (hl + 1) + gr ** 2 / (hr + 1) - parent
-                    if gain > best[0]:
-                        best = (gain, (f, float(cut), low))
-        if best[1] is None:
-            return round(float(value), 6)
-        f, cut, low = best[1]
-        return f, cut, grow(rows[low], g, h, left - 1), grow(rows[~low], g, h, left - 1)
-
-    rows, z = np.arange(len(x)), np.full(len(x), model.start)
+            gl, hl, nl = (np.cumsum(v[f])[:len(places)] for v in (g, h, n))
+            gr, hr, nr = g[f].sum() - gl, h[f].sum() - hl, n[f].sum() - nl
+            gain = np.where((nl >= 5) & (nr >= 5), gl ** 2 / (hl + 1) + gr ** 2 / (hr + 1) - parent, -1.0)
+            if len(places) and gain.max() > best:
+                at = int(gain.argmax())
+                best, found = gain[at], (f, at, (gl[at], hl[at]), (gr[at], hr[at]))
+        return found
+
+    def value(g: float, h: float) -> float:
+        return round(float(-rate * g / (h + 1.0)), 6)
+
     for _ in range(trees):
-        p = 1 / (1 + np.exp(-z))
-        tree = grow(rows, p - y, p * (1 - p), depth)
+        tree, nodes = 0, 1
+        for left in range(depth, 0, -1):
+            g, h, n = sums.by_bin(model, tree, nodes)
+            instead, opened = [], 0
+            for k in range(nodes):
+                found = best_cut(g[:, k], h[:, k], n[:, k]) if n[0, k].sum() >= 20 else None
+                if found is None:
+                    instead.append(value(g[0, k].sum(), h[0, k].sum()))
+                elif left == 1:
+                    instead.append((*found[:2], value(*found[2]), value(*found[3])))
+                else:
+                    instead.append((*found[:2], opened, opened + 1))
+                    opened += 2
+            tree, nodes = _closed(tree, instead), opened
+            if not opened:
+                break
         model.trees.append(tree)
-        one = Trees(0.0, [tree], {}).predict(x)
-        z += np.log(one / (1 - one))
     return model
 
 
-def fit(x: np.ndarray, y: np.ndarray, held_out: np.ndarray) -> Trees:
+def learn(sums: Held | Spread, cuts: list[np.ndarray]) -> Trees:
     """Boost on the training fold, calibrate each kind's threshold on the held-out fold."""
-    train = ~held_out
-    if not train.any() or y[train].min() == y[train].max():
-        return Trees(0.0, [], {})
-    model = boost(x[train], y[train])
-    p = model.predict(x[held_out])
+    model = boost(sums, cuts)
+    hits, n = sums.by_score(model)
     for kind in range(len(KINDS)):
-        here = x[held_out][:, 0] == kind
-        order = np.argsort(-p[here], kind="stable")
-        score, hits = p[here][order], np.cumsum(y[held_out][here][order])
-        good = np.flatnonzero((hits / np.arange(1, len(hits) + 1) >= PRECISION) & (np.append(score[1:], -1) < score))
-        if len(good) and hits[good[-1]] >= 10:
-            model.thresholds[kind] = float(score[good[-1]])
+        hit, all_ = np.cumsum(hits[kind][::-1]), np.cumsum(n[kind][::-1])
+        good = np.flatnonzero((n[kind][::-1] > 0) & (hit >= PRECISION * all_))
+        if len(good) and hit[good[-1]] >= 10:
+            model.thresholds[kind] = float(STEPS - good[-1]) / STEPS
+
+    def at_values(tree):
+        return tree if not isinstance(tree, tuple) else (tree[0], float(cuts[tree[0]][tree[1]]), at_values(tree[2]), at_values(tree[3]))
+
+    model.trees = [at_values(t) for t in model.trees]
     return model
 
 
-def train(docs: DataFrame) -> Trees:
-    """Fit on a bounded share of (doc_id, text)."""
-    total = docs.count()
-    grain = 1 << 20
+def fit(x: np.ndarray, y: np.ndarray, held_out: np.ndarray) -> Trees:
+    """``learn`` from candidates held in memory."""
+    kept = x[~held_out]
+    if not len(kept) or y[~held_out].min() == y[~held_out].max():
+        return Trees(0.0, [], {})
+    cuts = [np.unique(np.quantile(kept[:, f], SHARES, method="lower")) for f in range(x.shape[1])]
+    return learn(Held(binned(x, cuts), 1 - y, y, held_out), cuts)
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """(x, held_out, no, yes): every candidate of every text, equal ones counted; written once."""
     spot = F.xxhash64("doc_id", "text")
-    picked = docs.filter(F.pmod(spot, F.lit(grain)) < max(1, min(grain, SAMPLE_DOCS * grain // max(1, total))))
-    based = picked.select(spot.alias("spot"), "text", base_spans(F.col("text")).alias("base"))
+    based = docs.select(spot.alias("spot"), "text", base_spans(F.col("text")).alias("base"))
     found = (based.select("spot", "base", F.explode(candidates(F.col("text"))).alias("c"))
-             .select("spot", F.col("c.start").alias("start"), F.col("c.x").alias("x"),
+             .select("spot", F.col("c.x").alias("x"),
                      F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] == F.col("c.start"))
                               & (b["end"] == F.col("c.end"))).cast("int").alias("y")))
-    rows = (found.union(rewritten_candidates(based))
-            .orderBy(F.xxhash64("spot", "start"), "x").limit(SAMPLE_CANDIDATES).collect())
-    if not rows:
+    rows = found.union(rewritten_candidates(based).select("spot", "x", "y"))
+    return materialize(rows.groupBy("x", (F.pmod("spot", F.lit(4)) == 0).alias("held_out"))
+                       .agg(F.sum(1 - F.col("y")).alias("no"), F.sum("y").alias("yes")), "pii-candidates")
+
+
+def quantile_cuts(kept: DataFrame, n: int) -> list[np.ndarray]:
+    """The lower quantiles at ``SHARES`` of every feature over ``n`` counted candidates; exact."""
+    places = F.array(*[F.lit(int((n - 1) * q)) for q in SHARES])
+    values = (kept.select(F.posexplode("x").alias("f", "v"), (F.col("no") + F.col("yes")).alias("w"))
+              .groupBy("f", "v").agg(F.sum("w").alias("w")))
+    upto = F.sum("w").over(Window.partitionBy("f").orderBy("v"))     # one row per distinct value of a feature
+    held = (values.withColumn("upto", upto).filter(F.exists(places, lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("w"))))
+            .select("f", "v").collect())
+    return [np.array(sorted(r["v"] for r in held if r["f"] == f)) for f in range(len(FEATURES))]
+
+
+def _below(value: Column):
+    return lambda cut: cut < value
+
+
+def train(docs: DataFrame, most_held: int = CELLS_HELD) -> Trees:
+    """Fit on every candidate of (doc_id, text).
+
+    The trees cut at quantiles only, so candidates of equal bins are one cell with two counts, and the cells
+    give the same trees as their candidates. Up to ``most_held`` cells come to the driver; of more, it
+    gets each tree level's sums alone.
+    """
+    rows = labelled(docs)
+    counts = rows.filter("not held_out").agg(F.sum("no"), F.sum("yes")).first()
+    if not counts[0] or not counts[1]:
         return Trees(0.0, [], {})
-    return fit(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], dtype=float),
-               np.array([r["spot"] % 4 == 0 for r in rows]))
+    cuts = quantile_cuts(rows.filter("not held_out"), counts[0] + counts[1])
+    value = [F.get("x", F.lit(f)) for f in range(len(FEATURES))]
+    bins = [F.size(F.filter(F.array(*[F.lit(float(c)) for c in places]), _below(v))) for places, v in zip(cuts, value)]
+    cells = materialize(rows.groupBy(F.array(*bins, value[0].cast("int")).alias("cell"), "held_out")
+                        .agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")), "pii-cells")
+    if cells.count() > most_held:
+        return learn(Spread(cells), cuts)
+    found = cells.orderBy("cell", "held_out").collect()
+    return learn(Held(*[np.array([r[c] for r in found]) for c in ("cell", "no", "yes", "held_out")]), cuts)
 
 
 def added_spans(model: Trees, base: Column, proposed: Column) -> Column:

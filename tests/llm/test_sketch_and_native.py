@@ -173,6 +173,29 @@ def test_other_forms_are_added_and_plain_numbers_left(spark):
     assert got == {1: [("email", "jane.doe [at] example [dot] org")], 2: [("email", "jane.doe(at)example.org")], 3: [], 4: [], 5: []}
 
 
+def test_every_candidate_is_learned_from_held_or_spread(spark):
+    texts = F.expr("""concat('write to u', id % 977, '.x@host', id % 31, '.com or call +49 ', 100 + id % 800, ' ', 1000000 + id * 7,
+                      ', room ', id % 90, '-', 1000 + id % 9000)""")
+    docs = spark.range(0, 45_000, 1, 4).select(F.col("id").alias("doc_id"), texts.alias("text"))
+    counts = pii.labelled(docs).agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).first()
+    proposed = docs.select(F.explode(pii.candidates(F.col("text")))).count()
+    other = pii.rewritten_candidates(docs.select(F.col("doc_id").alias("spot"), "text", pii.base_spans(F.col("text")).alias("base"))).count()
+    assert proposed > 45_000 * 2 and counts.no + counts.yes > proposed + 45_000 and other > 45_000
+    one, many = pii.train(docs), pii.train(docs, most_held=0)
+    assert len(one.trees) == pii.TREES and one.thresholds and one.thresholds.keys() == many.thresholds.keys()
+    x = np.array([r[0] for r in pii.labelled(docs.limit(300)).select("x").collect()])
+    assert np.allclose(one.predict(x), many.predict(x), atol=1e-3)
+
+
+def test_quantiles_of_counted_candidates_are_exact(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 60, (900, len(pii.FEATURES))).astype(float)
+    rows = spark.createDataFrame([(r.tolist(), 1, 2) for r in x], "x array<double>, no long, yes long")
+    got = pii.quantile_cuts(rows, 2700)
+    for f in range(x.shape[1]):
+        assert got[f].tolist() == np.unique(np.quantile(np.repeat(x[:, f], 3), pii.SHARES, method="lower")).tolist()
+
+
 def test_rewritten_spans_are_no_base_spans_but_candidates(spark):
     texts = ["x ann@host.co.uk, y", "pay 4111 1111 1111 1111 x", "tel +44 20 7946 0958 x", "10.0.0.1"]
     picked = spark.createDataFrame(list(enumerate(texts)), "spot long, text string").withColumn("base", pii.base_spans(F.col("text")))
