@@ -190,15 +190,15 @@ class _Features:
         td = self.td
         return rk.risk_codes(td.lease_view, td.fp_applicant, td.fp_risk_indicators)
 
-    def master(self):
+    def master(self, columns=None):
         from riskflow.plans.batch import assemble
-        return assemble(self.td.table, self.cohort, self.lease_attrs)
+        return assemble(self.td.table, self.cohort, self.lease_attrs, columns)
 
     def bins(self):
         # flags travel packed in two longs through the joins and are unpacked once in
         # the final assembly projection; inlining all 2 x 71 bit reads into the score
         # expression would exceed the 64 KB generated-method limit
-        return fe.bin_features(fe.with_distance(self.master()), PARAMS.quintile_cutover)
+        return fe.bin_features(fe.with_distance(self.master(fe.BIN_INPUTS)), PARAMS.quintile_cutover)
 
     def coefs(self):
         return sc.testdata_coefficients(self.spark)
@@ -322,9 +322,9 @@ def q_feature_master(spark, sf_dir):
 
 @register("geo_distance")
 def q_geo_distance(spark, sf_dir):
-    m = fe.with_distance(_Features(spark, sf_dir).master())
-    return rounded(m.select("approvalid", "customer_zip", "zip", "cus_lat", "cus_long",
-                            "store_lat", "store_long", "distance"))
+    places = ["approvalid", "customer_zip", "zip", "cus_lat", "cus_long", "store_lat", "store_long"]
+    m = fe.with_distance(_Features(spark, sf_dir).master(places))
+    return rounded(m.select(*places, "distance"))
 
 
 @register("feature_bins")

@@ -33,12 +33,11 @@ def with_group_statistics(rows: DataFrame, key: Column, found: DataFrame, names:
     heavy = F.col("_rows") * split > total
     few = found.filter(heavy).select("_key", *names)                   # less than ``split`` keys
     keyed = rows.select("*", key.alias("_key"))
-    here = keyed.join(F.broadcast(few), "_key")
-    there = keyed.join(F.broadcast(few.select("_key")), "_key", "left_anti")
-    # a NULL key meets nothing: its rows stay out of the exchange as well
-    there, none = there.filter("_key is not null"), there.filter("_key is null")
-    there = there.join(found.filter(~heavy).select("_key", *names), "_key", "left")
-    for n in names:
-        none = none.withColumn(n, F.lit(None).cast(found.schema[n].dataType))
+    # a NULL key meets nothing: its rows stay out of the exchange as well. One condition over both sides of the
+    # join, so that nothing is filtered below it and both branches share what ``rows`` shuffles.
+    marked = keyed.join(F.broadcast(few.withColumn("_few", F.lit(True))), "_key", "left")
+    settled = F.coalesce("_few", F.col("_key").isNull())
+    here = marked.filter(settled)
+    there = marked.filter(~settled).drop("_few", *names).join(found.filter(~heavy).select("_key", *names), "_key", "left")
     columns = [*rows.columns, *names]
-    return here.select(*columns).unionByName(there.select(*columns)).unionByName(none.select(*columns))
+    return here.select(*columns).unionByName(there.select(*columns))

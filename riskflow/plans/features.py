@@ -4,9 +4,9 @@ Every attribute table is one aggregate or top-1 on its own key; the assembly
 is a chain of left joins grouped by key (approval keys first, then client keys,
 then card, zip and store keys) so Spark re-shuffles the wide row only when the
 key changes. Key-membership filters (``IN (SELECT ...)``) are left-semi joins
-against distinct keys; group-size filters (``HAVING COUNT(*) = 1``) are an
-aggregate plus a semi join, never a window, so a hot key is combined map-side
-and AQE can split it in the join.
+against distinct keys; the group-size filter (``HAVING COUNT(*) = 1``) is one
+aggregate that also holds the group's only row, never a window, so a hot key is
+combined map-side.
 """
 
 from __future__ import annotations
@@ -31,10 +31,14 @@ SEASONED_DAYS = 150
 ADD_ON_MARGIN = 100
 
 
-def _in_keys(df: DataFrame, col: str, keys: DataFrame, key_col: str) -> DataFrame:
-    """``WHERE col IN (SELECT key_col FROM keys)``."""
+def in_keys(df: DataFrame, col: str, keys: DataFrame, key_col: str) -> DataFrame:
+    """``WHERE col IN (SELECT key_col FROM keys)``.
+
+    The distinct keys of a partition are hashed, one small entry each, so that the rows,
+    of which most go, are not sorted first.
+    """
     k = keys.select(F.col(key_col).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
-    return df.join(k, df[col] == k["_k"], "left_semi")
+    return df.join(k.hint("shuffle_hash"), df[col] == k["_k"], "left_semi")
 
 
 # ------------------------------------------------------------------- P01, P02
@@ -42,9 +46,11 @@ def single_lease_cohort(lease_view: DataFrame, lease_period: DataFrame,
                         dim_approval: DataFrame, fact_leasesum: DataFrame,
                         dim_store: DataFrame, as_of) -> DataFrame:
     """Leases of clients with exactly one lease, with the fraud label and season flag."""
-    single = (lease_view.groupBy("clientid").agg(F.count("clientid").alias("_n"))
-              .filter(F.col("_n") == 1).select("clientid"))
-    lv = lease_view.join(single, "clientid", "left_semi")
+    # a client's only lease is the largest of its leases: one aggregate counts them and holds the row
+    lv = (lease_view.groupBy("clientid")
+          .agg(F.count("clientid").alias("_n"),
+               *[F.max(c).alias(c) for c in ("approvalid", "totalpaymentsmade", "leaseaddeddate")])
+          .filter(F.col("_n") == 1).drop("_n"))
     lp = lease_period.select("approvalid", "firstrentpayment", "additionaldownpayment")
     store = (dim_approval.select("approvalid", "approvalbkey")
              .join(fact_leasesum.select("approvalbkey", "storebkey"), "approvalbkey", "left")
@@ -69,7 +75,7 @@ LEASE_ATTR_COLUMNS = ["leaseid", "clientid", "approvalid", "storeid", "clientsta
 
 
 def lease_attributes(lease_view: DataFrame, cohort: DataFrame) -> DataFrame:
-    return _in_keys(lease_view.select(*LEASE_ATTR_COLUMNS), "approvalid", cohort, "approvalid")
+    return in_keys(lease_view.select(*LEASE_ATTR_COLUMNS), "approvalid", cohort, "approvalid")
 
 
 def cohort_tables(lease_view: DataFrame, lease_period: DataFrame, dim_approval: DataFrame,
@@ -91,7 +97,7 @@ def cohort_tables(lease_view: DataFrame, lease_period: DataFrame, dim_approval:
 # ------------------------------------------------------------------- P03 - P08
 def bank_top1(bank: DataFrame, lease_attrs: DataFrame) -> DataFrame:
     """One active payment record per client: latest first, then the other columns."""
-    b = _in_keys(bank.filter(F.col("active") == 1), "clientid", lease_attrs, "clientid")
+    b = in_keys(bank.filter(F.col("active") == 1), "clientid", lease_attrs, "clientid")
     order = [("ts", "desc"), ("primarypaymentmethod", "asc"), ("cardnumbertoken", "asc"),
              ("expdate", "asc"), ("active", "asc"), ("accounttype", "asc"), ("debitorcredit", "asc"),
              ("routingnumber", "asc"), ("cardname", "asc")]
@@ -101,7 +107,7 @@ def bank_top1(bank: DataFrame, lease_attrs: DataFrame) -> DataFrame:
 def card_sharing(bank: DataFrame, lease_attrs: DataFrame, cutoff: int | None = None) -> DataFrame:
     """Number of distinct clients per card token; with ``cutoff``, tokens shared by so many
     clients or more (placeholders) are left out."""
-    b = _in_keys(bank, "clientid", lease_attrs, "clientid")
+    b = in_keys(bank, "clientid", lease_attrs, "clientid")
     counts = b.groupBy("cardnumbertoken").agg(F.count_distinct("clientid").alias("card_appear_number"))
     if cutoff is not None:
         counts = counts.filter(F.col("card_appear_number") < cutoff)
@@ -110,7 +116,7 @@ def card_sharing(bank: DataFrame, lease_attrs: DataFrame, cutoff: int | None = N
 
 
 def store_attributes(stores: DataFrame, lease_attrs: DataFrame) -> DataFrame:
-    s = _in_keys(stores, "storeid", lease_attrs, "storeid")
+    s = in_keys(stores, "storeid", lease_attrs, "storeid")
     return s.select("storeid", "zip", F.left("zip", F.lit(1)).alias("zipgroup1"), "state",
                     "city")
 
@@ -133,11 +139,15 @@ def client_attributes(client_info: DataFrame, lease_attrs: DataFrame, cohort_onl
     ``cohort_only`` gives the rows of clients with lease attributes alone.
     """
     held = folded("driverslicense")
-    licences = group_statistics(client_info, held, {"license_appear_number": F.count("clientid")})
-    wanted = _in_keys(client_info, "clientid", lease_attrs, "clientid") if cohort_only else client_info
+    # read by the statistics and by the rows that get them
+    clients = materialize(client_info, "clients")
+    licences = group_statistics(clients, held, {"license_appear_number": F.count("clientid")})
     lv = lease_attrs.select(F.col("clientid").alias("_cid"), "leaseaddeddate")
-    c = (with_group_statistics(wanted, held, licences, ["license_appear_number"])
-         .join(lv, F.col("clientid") == F.col("_cid"), "left"))
+    same = F.col("clientid") == F.col("_cid")
+    if cohort_only:
+        c = with_group_statistics(clients.join(lv.hint("shuffle_hash"), same), held, licences, ["license_appear_number"])
+    else:
+        c = with_group_statistics(clients, held, licences, ["license_appear_number"]).join(lv, same, "left")
     return c.select("clientid", "driverslicense", "driverslicensestate", "dob",
                     year_boundaries("dob", "leaseaddeddate").alias("age"),
                     "firstname", "lastname", "ipaddress", "ts", "idtype", "languagepreference",
@@ -146,7 +156,7 @@ def client_attributes(client_info: DataFrame, lease_attrs: DataFrame, cohort_onl
 
 def fp_attributes(fp_results: DataFrame, cohort: DataFrame) -> DataFrame:
     """Third-party score fields per approval (string MAX is lexical, then padded)."""
-    fp = _in_keys(fp_results, "approvalid", cohort, "approvalid")
+    fp = in_keys(fp_results.withColumn("ts", F.to_date("ts")), "approvalid", cohort, "approvalid")
 
     def idx(c):
         return F.nullif(pad_right2(F.max(c)), F.lit("0"))
@@ -156,25 +166,25 @@ def fp_attributes(fp_results: DataFrame, cohort: DataFrame) -> DataFrame:
         F.max("cvi").alias("cvi"),
         idx("napindex").alias("napindex"),
         idx("nasindex").alias("nasindex"),
-        F.max(F.to_date("ts")).alias("fp_timestamp"))
+        F.max("ts").alias("fp_timestamp"))
 
 
 def approval_amount(approval: DataFrame, cohort: DataFrame) -> DataFrame:
     """Approval amount of cohort leases (one row per approval row; no MAX applied)."""
-    return _in_keys(approval.select("approvalid", "approvalamount"), "approvalid", cohort,
+    return in_keys(approval.select("approvalid", "approvalamount"), "approvalid", cohort,
                     "approvalid")
 
 
 def payment_at_origination(lease_attrs: DataFrame, bank: DataFrame) -> DataFrame:
     """ACH and card payment records dated on the lease date, per client."""
-    same_day = F.to_date("leaseaddeddate") == F.to_date("ts")
+    same_day = F.to_date("leaseaddeddate") == F.col("_day")
     m = "primarypaymentmethod"
-    j = lease_attrs.select("clientid", "leaseaddeddate").join(
-        bank.select("clientid", "primarypaymentmethod", "ts"), "clientid", "left")
+    # of a payment record, its day and what it is; the leases are hashed, few and narrow beside the records
+    paid = bank.select("clientid", F.to_date("ts").alias("_day"), same_text(m, "ACH").alias("_ach"), same_text(m, "CreditCard").alias("_cc"))
+    j = lease_attrs.select("clientid", "leaseaddeddate").hint("shuffle_hash").join(paid, "clientid", "left")
     return j.groupBy("clientid").agg(
-        F.sum(F.when(same_text(m, "ACH") & same_day, 1).otherwise(0)).cast("long").alias("ach_orig"),
-        F.sum(F.when(same_text(m, "CreditCard") & same_day, 1).otherwise(0)).cast("long")
-         .alias("cc_orig"))
+        F.sum(F.when(F.col("_ach") & same_day, 1).otherwise(0)).cast("long").alias("ach_orig"),
+        F.sum(F.when(F.col("_cc") & same_day, 1).otherwise(0)).cast("long").alias("cc_orig"))
 
 
 def store_inception(lease_view: DataFrame) -> DataFrame:
@@ -200,32 +210,75 @@ def online_approvals(decision_system: DataFrame) -> DataFrame:
             .select(F.col("approvalid").alias("_online_id")).distinct())
 
 
+MASTER_COLUMNS = (
+    "_mc_v2_z_sum", "origination_date", "storetype", "fraud", "seasoned_lease",
+    "leaseid", "clientid", "approvalid", "storeid", "clientstatus", "monthlyincome", "clientaddeddate", "latestfrauddate",
+    "leaseaddeddate", "leasecost", "leaseamount", "paymentfrequency", "primarypaymentmethod", "cardnumbertoken", "expdate",
+    "accounttype", "debitorcredit", "routingnumber", "cardname", "ipaddress", "driverslicense", "firstname", "lastname",
+    "distinct_sku_count", "sku_count", "sku_ratio", "sku_dif", "card_appear_number",
+    "driverslicensestate", "age", "idtype", "languagepreference", "license_appear_number", "zip", "zipgroup1", "state", "city",
+    "fraudscore", "cvi", "nasindex", "napindex", "fp_timestamp", "approvalamount", "ach_orig", "cc_orig", "customer_zip",
+    "st_inception_date", "store_lat", "store_long", "cus_lat", "cus_long", *RISK_FLAG_COLUMNS, NONE_FLAG,
+    "storeage", "seasonality", "state_flag", "online", "add_flag", "ltc", "lease_yyyymm")
+# Columns of the master that the bins and the scores read.
+BIN_INPUTS = ("approvalid", "storetype", "leaseaddeddate", "storeid", "fraud", "online", "monthlyincome", "add_flag",
+              "paymentfrequency", "seasonality", "state_flag", "zipgroup1", "age", "ltc", "primarypaymentmethod",
+              "card_appear_number", "sku_dif", "languagepreference", "idtype", "cc_orig", "nasindex", "napindex", "cvi",
+              "fraudscore", "fp_timestamp", "storeage", "store_lat", "store_long", "cus_lat", "cus_long",
+              "_mc_v2_z_sum", *RISK_FLAG_COLUMNS, NONE_FLAG)
+# What the derived columns of the master are made from.
+_MADE_FROM = {
+    "storeage": ("st_inception_date", "leaseaddeddate"), "seasonality": ("origination_date",),
+    "state_flag": ("driverslicensestate", "state"), "add_flag": ("leasecost", "leaseamount"),
+    "ltc": ("leaseamount", "approvalamount"), "lease_yyyymm": ("origination_date",),
+}
+
+
+# Read by the bins but by no model: single columns, which are dropped below the joins where they are not read.
+_SINGLE = ("fraud", "napindex")
+
+
+def _packed(df: DataFrame, name: str, columns, keys=()) -> list[Column]:
+    """``keys`` as they are and the other columns of ``df`` (those of ``columns``, if given) as one struct ``name``.
+
+    A struct is copied as one field by every later join, sort and exchange. Single columns would
+    add up to joins of so many fields that the JVM does not compile their generated code. All
+    fields of a struct must be read in the end, or the optimizer takes it apart below the joins.
+    """
+    rest = [c for c in df.columns if c not in keys and (columns is None or c in columns)]
+    inner, single = [c for c in rest if c not in _SINGLE], [c for c in rest if c in _SINGLE]
+    return [*keys, *single, *([F.struct(*inner).alias(name)] if inner else [])]
+
+
+def _looked_up(j: DataFrame, key: str, lookup: DataFrame, lookup_key: str, columns, keys=()) -> DataFrame:
+    """``j`` left-joined with the packed ``lookup``; ``keys`` of it stay single columns."""
+    right = lookup.withColumnRenamed(lookup_key, "_key")
+    right = right.select(*_packed(right, f"_packed{len(j.columns)}", columns, ["_key", *keys]))
+    return j.join(right, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
 def feature_master(cohort, lease_attrs, bank1, cart, cards, clients, stores, fp, approval,
-                   pay_orig, zips, inception, risk, zip_codes, online) -> DataFrame:
+                   pay_orig, zips, inception, risk, zip_codes, online, columns=None) -> DataFrame:
     """Join every attribute table onto the cohort (one row per cohort lease).
 
     ``risk`` is the packed risk-code table (``risk_codes.risk_masks``): two longs go
-    through the joins, and the 71 flag columns are produced at the end.
+    through the joins, and the 71 flag columns are produced at the end. With ``columns``,
+    only these columns of the master are given, and no others go through the joins.
     """
-    from riskflow.plans.risk_codes import risk_flag_exprs
+    from riskflow.plans.risk_codes import RISK_MASKS, risk_flag_exprs
+    carried = None if columns is None else {*columns, *RISK_MASKS, *[c for d in columns for c in _MADE_FROM.get(d, ())]}
     ll = cohort.select("approvalid", "origination_date", "storetype", "fraud", "seasoned_lease")
-    la = lease_attrs.withColumnRenamed("approvalid", "_la_id")
+    j = ll.select(*_packed(ll, "_packed", carried, ["approvalid"]))
     # approval-keyed lookups
-    j = (ll.join(la, ll["approvalid"] == la["_la_id"], "left")
-         .join(cart, "approvalid", "left")
-         .join(fp, "approvalid", "left")
-         .join(approval, "approvalid", "left")
-         .join(risk, ll["approvalid"] == risk["appid"], "left")
-         .join(online, ll["approvalid"] == online["_online_id"], "left"))
+    j = _looked_up(j, "approvalid", lease_attrs, "approvalid", carried, ["clientid", "storeid"])
+    for lookup, key in ((cart, "approvalid"), (fp, "approvalid"), (approval, "approvalid"), (risk, "appid")):
+        j = _looked_up(j, "approvalid", lookup, key, carried)
+    j = j.join(online, F.col("approvalid") == F.col("_online_id"), "left")
     # client-keyed lookups
-    j = (j.join(bank1.drop("active", "ts").withColumnRenamed("clientid", "_b_cid"),
-                F.col("clientid") == F.col("_b_cid"), "left")
-         .join(clients.drop("dob", "ts").withColumnRenamed("clientid", "_c_cid"),
-               F.col("clientid") == F.col("_c_cid"), "left")
-         .join(pay_orig.withColumnRenamed("clientid", "_p_cid"),
-               F.col("clientid") == F.col("_p_cid"), "left")
-         .join(zips.withColumnRenamed("clientid", "_z_cid"),
-               F.col("clientid") == F.col("_z_cid"), "left"))
+    j = _looked_up(j, "clientid", bank1.drop("active", "ts"), "clientid", carried, ["cardnumbertoken"])
+    j = _looked_up(j, "clientid", clients.drop("dob", "ts"), "clientid", carried)
+    j = _looked_up(j, "clientid", pay_orig, "clientid", carried)
+    j = _looked_up(j, "clientid", zips, "clientid", carried, ["customer_zip"])
     # card, store and zip lookups
     geo_c = zip_codes.select(F.col("zip").alias("_gc_zip"), F.col("latitude").alias("cus_lat"),
                              F.col("longitude").alias("cus_long"))
@@ -239,35 +292,20 @@ def feature_master(cohort, lease_attrs, bank1, cart, cards, clients, stores, fp,
                F.col("storeid") == F.col("_i_id"), "left")
          .join(geo_c, F.col("customer_zip") == F.col("_gc_zip"), "left")
          .join(geo_s, F.col("zip") == F.col("_gs_zip"), "left"))
+    j = j.select(*[f"{c}.*" if c.startswith("_packed") else c for c in j.columns])
     exprs = risk_flag_exprs()
-    flags = [F.expr(f"{exprs[c]} AS `{c}`") for c in RISK_FLAG_COLUMNS]
-    return j.select(
-        F.coalesce(F.col("_mc_v2_z_sum"), F.lit(1)).alias("_mc_v2_z_sum"),
-        "origination_date", "storetype", "fraud", "seasoned_lease",
-        "leaseid", "clientid", "approvalid", "storeid", "clientstatus", "monthlyincome",
-        "clientaddeddate", "latestfrauddate",
-        "leaseaddeddate", "leasecost", "leaseamount", "paymentfrequency",
-        "primarypaymentmethod", "cardnumbertoken", "expdate",
-        "accounttype", "debitorcredit", "routingnumber", "cardname",
-        "ipaddress", "driverslicense", "firstname", "lastname",
-        "distinct_sku_count", "sku_count", "sku_ratio", "sku_dif", "card_appear_number",
-        "driverslicensestate", "age", "idtype", "languagepreference", "license_appear_number",
-        "zip", "zipgroup1", "state", "city",
-        "fraudscore", "cvi", "nasindex", "napindex", "fp_timestamp", "approvalamount",
-        "ach_orig", "cc_orig", "customer_zip", "st_inception_date",
-        "store_lat", "store_long", "cus_lat", "cus_long",
-        *flags,
-        F.expr(exprs[NONE_FLAG]).alias(NONE_FLAG),
-        month_boundaries("st_inception_date", "leaseaddeddate").alias("storeage"),
-        F.month("origination_date").alias("seasonality"),
-        F.when(folded("driverslicensestate") != folded("state"), 1).otherwise(0)
-         .alias("state_flag"),
-        F.when(F.col("_online_id").isNotNull(), 1).otherwise(0).alias("online"),
-        F.when(F.col("leasecost") - F.col("leaseamount") > ADD_ON_MARGIN, 1).otherwise(0)
-         .alias("add_flag"),
-        safe_ratio("leaseamount", "approvalamount").alias("ltc"),
-        yyyymm("origination_date").alias("lease_yyyymm"),
-    )
+    derived = {
+        "_mc_v2_z_sum": F.coalesce(F.col("_mc_v2_z_sum"), F.lit(1)),
+        **{c: F.expr(exprs[c]) for c in [*RISK_FLAG_COLUMNS, NONE_FLAG]},
+        "storeage": month_boundaries("st_inception_date", "leaseaddeddate"),
+        "seasonality": F.month("origination_date"),
+        "state_flag": F.when(folded("driverslicensestate") != folded("state"), 1).otherwise(0),
+        "online": F.when(F.col("_online_id").isNotNull(), 1).otherwise(0),
+        "add_flag": F.when(F.col("leasecost") - F.col("leaseamount") > ADD_ON_MARGIN, 1).otherwise(0),
+        "ltc": safe_ratio("leaseamount", "approvalamount"),
+        "lease_yyyymm": yyyymm("origination_date"),
+    }
+    return j.select(*[derived[c].alias(c) if c in derived else c for c in MASTER_COLUMNS if columns is None or c in columns])
 
 
 # ------------------------------------------------------------------------ P17

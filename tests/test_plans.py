@@ -60,3 +60,17 @@ def test_physical_plan_without_broadcasts(no_broadcasts, key):
 def test_balance_reads_the_journal_once(spark):
     plan = entry.queries()["balance_by_day"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "events.parquet" not in plan        # the aggregated days are a written table
+
+
+def test_clients_are_made_once_for_the_master(spark):
+    """Licence counts and client attributes read one written table of clients, not the clients' view each."""
+    plan = entry.queries()["feature_master"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "customer.parquet" not in plan
+
+
+def test_cohort_takes_single_leases_in_one_aggregate(spark):
+    from riskflow.plans import features as fe
+    from riskflow.sources.testdata import PARAMS, TestData
+    td = TestData(spark, SF)
+    cohort = fe.single_lease_cohort(td.lease_view, td.lease_period, td.dim_approval, td.fact_leasesum, td.dim_store, PARAMS.scoring_as_of)
+    assert "LeftSemi" not in cohort._jdf.queryExecution().executedPlan().toString()
