@@ -38,6 +38,7 @@ from riskflow.operators.materialize import materialize, scratch_folder
 MASK_DELTA = 0xA282EAD8
 FRAME = struct.Struct("<QI")
 HEAD = struct.Struct("<BBq")
+BLOCK_CHARS = 4_000_000                          # a larger block names fewer of its distinct words again
 ENTRY = np.dtype([("offset", "<u8"), ("length", "<u8"), ("ids_before", "<u8")])
 MANIFEST = "shard int, path string, records long, ids long"
 RECORD = "shard int, position long, doc_id long, start long, n_tokens long, ids binary"
@@ -105,7 +106,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, leading: b
         for batch in batches:
             texts = batch["text"].tolist()
             keys = batch["doc_id"].astype("Int64").tolist()
-            for first, last in tokens.in_blocks(texts):
+            for first, last in tokens.in_blocks(texts, BLOCK_CHARS):
                 for key, ids in zip(keys[first:last], encode(texts[first:last])):
                     if out is None:
                         store, root = _filesystem(folder)

@@ -36,6 +36,44 @@ def test_memoised_encoding_is_exact(path, leading, messy_rows, monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
 
 
+@pytest.mark.parametrize("path,leading", [(BYTE, True), (WORD, False)])
+def test_line_ends_and_latin_letters_are_cut_exactly(path, leading):
+    rng = random.Random(8)
+    parts = ["\n", "\n\n", "\n\n\n", " ", " ", "  ", "one", "Two,", "Été", "3×4", "12.50", "naïve÷", "ÿÀ", "don't", "—", "\t", "漢字", "\u00a0", "\r\n"]
+    texts = ["", "\n", "\n\n", "a\n\n", "\n\na", "a\n", "\na b\n", "a\n\nb c\n\n\nd", "a \nb", "a\n b", "é\né", "×", "c\n", "\nd"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    got = tokens.Encoder(path, leading)(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == _direct(path, texts)
+
+
+@pytest.mark.parametrize("path,leading", [(BYTE, True), (WORD, False)])
+def test_the_library_meets_each_pre_token_once(path, leading):
+    class Counting:
+        def __init__(self, tok):
+            self.tok, self.model, self.chars = tok, self, 0
+
+        def tokenize(self, text):
+            self.chars += len(text)
+            return self.tok.model.tokenize(text)
+
+        def encode_batch_fast(self, texts, **options):
+            self.chars += sum(map(len, texts))
+            return self.tok.encode_batch_fast(texts, **options)
+
+        def encode(self, words, **options):
+            self.chars += sum(map(len, words))
+            return self.tok.encode(words, **options)
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(150)]
+    texts = [rng.choice(words) + "".join(rng.choice((" ", " ", "\n", "\n\n", ", ")) + rng.choice(words) for _ in range(40)) for _ in range(600)]
+    encode = tokens.Encoder(path, leading)
+    encode.tok = counting = Counting(encode.tok)
+    got = [x for a, b in tokens.in_blocks(texts, 30_000) for x in encode(texts[a:b])]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == _direct(path, texts)
+    assert counting.chars <= sum(2 * len(w) + 1 for w in words) + 10     # each with and without its space, and the marks
+
+
 @pytest.mark.parametrize("path,leading", [(BYTE, True), (WORD, False)])
 def test_operators_encode_special_tokens_as_the_plain_call(path, leading, monkeypatch):
     rng = random.Random(4)
