@@ -64,17 +64,17 @@ def give_back() -> None:
         pass
 
 
-_MEMOS: list[Callable[[], bool]] = []
+_MEMOS: dict[str, Callable[[], bool]] = {}
 
 
-def remembers(forget: Callable[[], bool]) -> None:
+def remembers(module: str, forget: Callable[[], bool]) -> None:
     """Register how a module lets go of what it keeps between tasks (true if it kept anything)."""
-    _MEMOS.append(forget)
+    _MEMOS[module] = forget
 
 
-def forget() -> None:
-    """A worker that served another operator before lets go of what that one kept."""
-    if any([clear() for clear in _MEMOS]):
+def forget(but: str = "") -> None:
+    """A worker that served other operators before lets go of what those kept, all modules but this one."""
+    if any([clear() for module, clear in _MEMOS.items() if module != but]):
         give_back()
 
 
@@ -83,6 +83,7 @@ def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
     columns = sample.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         model = pickle.dumps(fit(pd.concat([pd.DataFrame(columns=columns), *batches])))
         give_back()                                # the worker lives on
         yield pd.DataFrame({"model": [model]})

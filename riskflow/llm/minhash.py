@@ -69,6 +69,15 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
+def _forget() -> bool:
+    held = bool(_WORDS)
+    _WORDS.clear()
+    return held
+
+
+common.remembers(__name__, _forget)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -103,6 +112,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     the texts of one id apart."""
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from hashlib import blake2b
+        common.forget(but=__name__)
         for batch in batches:
             rows = []
             for text in batch["text"]:
@@ -140,6 +150,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                                       F.col("text").alias(f"text_{x}")), [f"doc_{x}", f"mark_{x}"])
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.forget(but=__name__)
         text, left = None, None
         for batch in batches:
             keep = np.zeros(len(batch), bool)
@@ -234,7 +245,7 @@ def _suspects(open_: DataFrame, nodes: DataFrame) -> DataFrame:
         across = (rows["b0"] != rows["b1"]).to_numpy()
         first, size = _groups(rows, columns)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for i, j in _row_pairs(first, size, 200_000):
+        for i, j in _row_pairs(first, size, 50_000):
             met = (label[i] != label[j]) & (~across[i] | (block[i] != block[j]))
             i, j = i[met], j[met]
             hit = np.count_nonzero(marks[i] == marks[j], axis=1) >= MATCHES

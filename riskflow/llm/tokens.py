@@ -215,6 +215,7 @@ class Encoder:
 
 def encoder(path: str, leading: bool) -> Encoder:
     """One encoder for each worker process."""
+    common.forget(but=__name__)
     key = (path, leading)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path, leading, special_as_text=False)
@@ -227,7 +228,7 @@ def _forget() -> bool:
     return held
 
 
-common.remembers(_forget)
+common.remembers(__name__, _forget)
 
 
 def in_blocks(texts, max_chars: int = 2_000_000):

@@ -68,6 +68,8 @@ class Model:
         return sum(self.weights.get(f, 0.0) for f in features(word))
 
     def sentence_scores(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
+        if self.key not in _MEMO:                 # a worker outlives a run; only its last model's words stay
+            _MEMO.clear()
         memo = _MEMO.setdefault(self.key, {})
         if len(memo) > WORD_MEMO:
             memo.clear()
@@ -216,6 +218,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return common.fitted(rows.filter(F.col("spot") <= last).select("doc_id", "toxic", "text"), fit_sample)
 
 
+def _forget() -> bool:
+    held = bool(_MEMO)
+    _MEMO.clear()
+    return held
+
+
+common.remembers(__name__, _forget)
+
 SCORED = "score double, offending array<struct<start:int,end:int,score:double>>"
 
 
@@ -223,7 +233,7 @@ def score_column(model: Model):
     """A column function: whole text -> (score, offending sentences)."""
     @F.pandas_udf(SCORED)
     def scored(texts: pd.Series) -> pd.DataFrame:
-        common.forget()
+        common.forget(but=__name__)
         found = [model.score(t or "") for t in texts]
         out = pd.DataFrame({"score": [f[0] for f in found],
                             "offending": [[{"start": a, "end": b, "score": p} for a, b, p in f[1]] for f in found]})

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from riskflow.llm import langid, toxicity
+from riskflow.llm import common, langid, minhash, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -109,3 +109,16 @@ def test_toxicity_of_messy_texts(spark, messy, nothing):
     assert next(r.s.score for r in got if r.text == "") == 0.0
     assert toxicity.train(common.id_and_text(nothing), labels).score("anything")[0] == 0.0
     assert toxicity.train(docs, labels.limit(0)).score("anything")[0] == 0.0
+
+
+def test_a_worker_keeps_the_words_of_one_model_and_one_operator():
+    texts, labels, _ = _corpus(60, 3)
+    models = [toxicity.fit(texts, labels, steps=n) for n in (5, 6, 7)]
+    for model in models:
+        model.score(texts[0])
+    assert list(toxicity._MEMO) == [models[-1].key]
+    minhash.shingles("a b c d e f")
+    common.forget(but=minhash.__name__)
+    assert not toxicity._MEMO and minhash._WORDS
+    common.forget()
+    assert not minhash._WORDS
