@@ -17,10 +17,11 @@ characters at any place; a chunk carries ``margin`` characters of its neighbours
 3. Every chunk backtraces between its own two states, independently, into ids.
 
 Texts within one chunk skip 1 and 2. Inside a chunk, a place that no piece of the vocabulary
-crosses has a single state: one before a run of space marks, and one between two characters
-that stand side by side in no piece (of the model at hand: between a letter and a comma, or two
-digits). The stretches between such places are encoded once and remembered (``MEMO_ENTRIES``;
-speed only).
+crosses has a single state: one between two characters that stand side by side in no piece (of the
+model at hand: between a letter and a space mark or a comma, or two digits). A block of texts is cut at
+all such places (numpy over its code points); Arrow counts each distinct stretch between them once
+and deals its ids back to the places, and those not remembered are searched together
+(``MEMO_ENTRIES`` stretches in each of two generations; speed only). Arrow decodes the ids of a block, too.
 
 Normalisation is the model's own: a space mark put first, spaces written as marks, nothing
 else changed; a mark in the text itself decodes to a space, as in the library.
@@ -32,12 +33,12 @@ characters outside the vocabulary become their UTF-8 bytes' pieces.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from riskflow.llm import common
@@ -48,6 +49,7 @@ CHUNK = 16_384
 FAN_IN = 64
 MEMO_ENTRIES = 300_000
 SEARCHED = 8192                 # words in one path search
+BLOCK = 2_000_000               # characters of whole texts encoded together
 MARK = "▁"
 START = (0, 0)
 _MODELS: dict[str, "Pieces"] = {}
@@ -76,12 +78,18 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         self.joined = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
-        crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.unit = re.compile(r".+" if crossing else f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.S)
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        # characters of joined pairs by number (0: in none), and which numbers are joined
+        paired = sorted({c for x in self.joined for c in x})
+        number = {c: i for i, c in enumerate(paired, 1)}
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in paired]] = np.arange(1, len(paired) + 1)
+        self.side = np.zeros((len(paired) + 1, len(paired) + 1), bool)
+        for a, b in self.joined:
+            self.side[number[a], number[b]] = True
+        self.texts_of = pa.array(self.bytes_of, pa.large_binary())
         self.follows: dict[int, bool] = {}
         # the prefixes as a tree: (node, character) -> node, and the piece that ends there
         nodes = {x: i for i, x in enumerate(["", *sorted(self.prefixes)])}
@@ -181,21 +189,56 @@ class Pieces:
         ends = (4 * np.cumsum((ids >= 0).sum(axis=1))).tolist()
         return [data[a:b] for a, b in zip([0, *ends], ends)]
 
+    def _ids(self, stretches: list[bytes]) -> list[bytes]:
+        """Ids of distinct stretches, from the memo or new."""
+        young, most = self.young, 4 * self.longest
+        out = list(map(young.get, stretches))
+        plain: list[tuple[str, int]] = []
+        for i, ids in enumerate(out):
+            if ids is None:
+                ids = self.old.get(stretches[i])
+                if ids is None:
+                    text = stretches[i].decode("utf-8", "surrogatepass")
+                    if len(text) <= most and all(map(self.ids.__contains__, text)):
+                        plain.append((text, i))
+                        continue
+                    ids = self.core(text)
+                    if len(text) > most:
+                        out[i] = ids
+                        continue
+                out[i] = young[stretches[i]] = ids
+        plain.sort(key=lambda x: len(x[0]))
+        for a in range(0, len(plain), SEARCHED):
+            block = plain[a:a + SEARCHED]
+            for (_, i), ids in zip(block, self.search([x for x, _ in block])):
+                out[i] = young[stretches[i]] = ids
+        if len(young) > MEMO_ENTRIES:
+            self.old, self.young = young, {}
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each of some normalised texts, cut wherever no piece crosses."""
+        text = "".join(texts)
+        if not text:
+            return [b""] * len(texts)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        bounds = np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))
+        begin, number = np.ones(len(points), bool), self.number[points]
+        np.logical_not(self.side[number[:-1], number[1:]], out=begin[1:])
+        begin[bounds[:-1][np.diff(bounds) > 0]] = True
+        begins = np.flatnonzero(begin)
+        width = np.ones(len(points), np.int64)
+        for least in (0x80, 0x800, 0x10000):
+            width += points >= least
+        data = text.encode("utf-8", "surrogatepass")
+        offsets = np.append(np.add.reduceat(width, begins).cumsum() - np.add.reduceat(width, begins), len(data))
+        found = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        known = self._ids(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+        return _dealt(pa.array(known, pa.large_binary()).take(found.indices), np.searchsorted(begins, bounds))
+
     def learn(self, texts: list[str]) -> None:
-        """Encode the stretches of some normalised texts that are not remembered yet, together."""
-        units = set().union(*map(self.unit.findall, texts))
-        parts = {u: self.parts(u) for u in units if u not in self.young and u not in self.old}
-        if len(self.cores) >= MEMO_ENTRIES:
-            self.cores.clear()
-        plain = [x for x in {x for found in parts.values() for x in found}
-                 if x not in self.cores and len(x) <= 4 * self.longest and all(map(self.ids.__contains__, x))]
-        plain.sort(key=len)
-        for i in range(0, len(plain), SEARCHED):
-            block = plain[i:i + SEARCHED]
-            self.cores.update(zip(block, self.search(block)))
-        if len(self.young) >= MEMO_ENTRIES:
-            self.old, self.young = self.young, {}
-        self.young.update((u, b"".join(map(self.core, found))) for u, found in parts.items() if len(u) <= 4 * self.longest)
+        """Remember the stretches of some normalised texts."""
+        self.encode_all(texts)
 
     def trace(self, text: str, last: dict[int, int], begin: int, end: int) -> list[str]:
         out = []
@@ -211,38 +254,13 @@ class Pieces:
             out += [i] if i is not None else [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
         return np.array(out, dtype="<u4").tobytes()
 
-    def parts(self, text: str) -> list[str]:
-        """The text, cut wherever no piece crosses."""
-        joined = self.joined
-        at = [0, *(p for p in range(1, len(text)) if text[p - 1:p + 1] not in joined), len(text)]
-        return [text[p:q] for p, q in zip(at, at[1:])]
-
     def core(self, text: str) -> bytes:
-        """Ids of one part."""
-        ids = self.cores.get(text)
-        if ids is None:
-            ids = self.to_ids(self.trace(text, self.forward(text, 0, "", len(text)), 0, len(text)))
-            if len(self.cores) >= MEMO_ENTRIES:
-                self.cores.clear()
-            if len(text) <= 4 * self.longest:
-                self.cores[text] = ids
-        return ids
-
-    def free(self, text: str) -> bytes:
-        """Ids of a stretch between two places that no piece crosses."""
-        ids = self.young.get(text)
-        if ids is None:
-            ids = self.old.get(text)
-            if ids is None:
-                ids = b"".join(map(self.core, self.parts(text)))
-            if len(self.young) >= MEMO_ENTRIES:
-                self.old, self.young = self.young, {}
-            self.young[text] = ids
-        return ids
+        """Ids of one stretch, by the path search of ``forward``."""
+        return self.to_ids(self.trace(text, self.forward(text, 0, "", len(text)), 0, len(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole normalised text."""
-        return b"".join(map(self.free, self.unit.findall(text)))
+        return self.encode_all([text])[0]
 
     def cuts(self, text: str, begin: int, end: int) -> list[int]:
         """Places in (begin, end) that no piece crosses, counted from ``begin``."""
@@ -304,34 +322,63 @@ class Pieces:
                 found[o, n] = ways
         return found
 
-    def between(self, text: str, a: int, b: int, entry: State, exit_: State) -> bytes:
-        """Ids of the pieces that start in text[a:b] on the path between two states."""
+    def middle(self, text: str, a: int, b: int, entry: State, exit_: State) -> tuple[bytes, str, bytes]:
+        """The pieces that start in text[a:b] on the path between two states: the ids up to the first
+        place that no piece crosses, the text from there to the last such place, the ids behind it."""
         begin, end = a + entry[0], b + exit_[0]
         if begin >= b:
-            return b""
+            return b"", "", b""
         before = text[begin - entry[1]:begin] if entry[1] else ""
         stop = end - exit_[1]
         near = next((c for c in range(begin + 1, stop) if text[c - 1:c + 1] not in self.joined), stop)
-        out = [self.to_ids(self.trace(text, self.forward(text, begin, before, near), begin, near))] if begin < near else []
+        head = self.to_ids(self.trace(text, self.forward(text, begin, before, near), begin, near)) if begin < near else b""
+        far, tail = near, b""
         if near < stop:
             far = next((c for c in range(stop, near, -1) if text[c - 1:c + 1] not in self.joined), near)
-            out += map(self.free, self.unit.findall(text[near:far]))
-            out.append(self.to_ids(self.trace(text, self.forward(text, far, "", stop), far, stop)))
-        out.append(self.to_ids([text[stop:end]]))
-        return b"".join(out)
+            tail = self.to_ids(self.trace(text, self.forward(text, far, "", stop), far, stop))
+        return head, text[near:far], tail + self.to_ids([text[stop:end]])
+
+    def between(self, text: str, a: int, b: int, entry: State, exit_: State) -> bytes:
+        """Ids of the pieces that start in text[a:b] on the path between two states."""
+        head, inner, tail = self.middle(text, a, b, entry, exit_)
+        return head + self.encode(inner) + tail
+
+    def decode_all(self, found: list[bytes]) -> list[bytes]:
+        """UTF-8 of the texts, the mark put first still there."""
+        ids = np.frombuffer(b"".join(found), "<u4")
+        if not len(ids):
+            return [b""] * len(found)
+        return _dealt(self.texts_of.take(pa.array(ids)), np.append(0, np.cumsum([len(x) // 4 for x in found])))
 
     def decode(self, ids: bytes, first: bool = True) -> bytes:
         """UTF-8 of the text; the mark put first is taken off again."""
-        data = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        (data,) = self.decode_all([ids])
         return data[1:] if first and data[:1] == b" " else data
 
 
+def _dealt(values: pa.Array, bounds: np.ndarray) -> list[bytes]:
+    """The bytes of each run of values between two bounds."""
+    places = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1)[bounds].tolist()
+    view = memoryview(values.buffers()[2] or b"")
+    return [bytes(view[a:b]) for a, b in zip(places, places[1:])]
+
+
 def pieces(path: str) -> Pieces:
+    common.forget(but=__name__)
     if path not in _MODELS:
         _MODELS[path] = Pieces(path)
     return _MODELS[path]
 
 
+def _forget() -> bool:
+    held = bool(_MODELS)
+    _MODELS.clear()
+    return held
+
+
+common.remembers(__name__, _forget)
+
+
 def normalised(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
@@ -471,12 +518,12 @@ def encode_chunks(texts: DataFrame, model: str, size: int = CHUNK, keep_ids: boo
     def backtrace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(model)
         for b in batches:
-            found, block, slices = [], 64, b["slice"].tolist()
-            for i, r in enumerate(b.itertuples(index=False)):
-                if i % block == 0:
-                    p.learn(slices[i:i + block])
-                ids = p.between(r.slice, r.a, r.a + r.n, (r.e0, r.e1), (r.x0, r.x1))
-                found.append((ids, p.decode(ids, r.k == 0)))
+            found, rows = [], list(b.itertuples(index=False))
+            for i in range(0, len(rows), 64):
+                block = rows[i:i + 64]
+                parts = [p.middle(r.slice, r.a, r.a + r.n, (r.e0, r.e1), (r.x0, r.x1)) for r in block]
+                ids = [head + inner + tail for (head, _, tail), inner in zip(parts, p.encode_all([x for _, x, _ in parts]))]
+                found += [(x, d[1:] if r.k == 0 and d[:1] == b" " else d) for r, x, d in zip(block, ids, p.decode_all(ids))]
             yield pd.DataFrame({"key": b["key"], "k": b["k"], **_coded(found, keep_ids)})
 
     cut = materialize(chunks(texts, model, size), "chunks")
@@ -491,12 +538,13 @@ def encode(docs: DataFrame, model: str, size: int = CHUNK) -> DataFrame:
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(model)
         for b in batches:
-            found, texts = [], list(map(normalised, b["text"]))
-            for first, last in in_blocks(texts, 1_000_000):
-                p.learn(texts[first:last])
-                found += [(ids, p.decode(ids)) for ids in map(p.encode, texts[first:last])]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_chunks": [1 if t else 0 for t in b["text"]],
-                                **_coded(found, False)}).drop(columns=["ids_bytes", "decoded_bytes", "ids"])
+            keys, texts = b["doc_id"].astype("Int64"), b["text"].tolist()
+            for first, last in in_blocks(texts, BLOCK):
+                ids = p.encode_all(list(map(normalised, texts[first:last])))
+                found = [(x, d[1:] if d[:1] == b" " else d) for x, d in zip(ids, p.decode_all(ids))]
+                yield pd.DataFrame({"doc_id": keys.iloc[first:last].to_numpy(object, na_value=None),
+                                    "n_chunks": [1 if t else 0 for t in texts[first:last]],
+                                    **_coded(found, False)}).drop(columns=["ids_bytes", "decoded_bytes", "ids"])
 
     @F.pandas_udf("long")
     def shifted(crc: pd.Series, n: pd.Series) -> pd.Series:

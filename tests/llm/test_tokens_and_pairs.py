@@ -219,6 +219,21 @@ def test_words_searched_together_equal_the_library(words, monkeypatch):
     p.learn([])
 
 
+def test_a_block_of_pieces_looks_up_each_stretch_once(words, monkeypatch):
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=PIECE), random.Random(9)
+    p, asked = piece_scan.Pieces(PIECE), []
+    look_up = p._ids
+    monkeypatch.setattr(p, "_ids", lambda stretches: asked.append(stretches) or look_up(stretches))
+    texts = [*ODD, "", " ".join(rng.choice(words) for _ in range(3000)), "▁▁ a▁b", "xy" * 90, *ODD[::-1]]
+    texts = [t or "" for t in texts]
+    for _ in range(2):
+        got = p.encode_all(list(map(piece_scan.normalised, texts)))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == list(map(library.encode, texts))
+        assert [x[1:] for x in p.decode_all(got)] == [t.replace("▁", " ").encode() for t in texts]
+    assert len(asked) == 2 and all(len(x) == len(set(x)) < 1500 for x in asked)
+    assert p.encode_all([]) == p.decode_all([]) == [] and p.encode_all([""]) == p.decode_all([b""]) == [b""]
+
+
 def test_pieces_equal_the_library_at_any_chunk_size():
     p, library, rng = piece_scan.pieces(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE), random.Random(3)
     texts = [t for t in ODD if t] + ["".join(rng.choice(a) for _ in range(rng.randint(1, 60)))
